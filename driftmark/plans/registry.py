@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftmark.sources.tables import Tables
 
-MODULES = ("statistics", "detectors")
+MODULES = ("statistics", "detectors", "projections")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
