@@ -69,3 +69,31 @@ CROSS_SOURCE_TTL_SECONDS = 600
 SIMILARITY_THRESHOLD = 0.85
 CANDIDATES_PER_HOUR = 200
 SUMMARY_BATCH = 20
+
+# Low-priced items of these words are left out, as are the listed SKUs of one store.
+LOW_PRICE_MAX = 30.0
+LOW_PRICE_WORDS = (
+    "kid", "kids", "child", "children", "toddler", "toy", "play", "playset", "pretend", "ages", "age",
+    "play kitchen", "doctor kit", "magnetic tiles",
+)
+LOW_PRICE_STORE = "walmart"
+LOW_PRICE_SKUS = ("5116478924", "780568056", "5152678945", "10025719060", "16501550266")
+GLOBAL_MIN_PRICE = 50.0
+GLOBAL_MIN_DISCOUNT = 50.0
+DELTA_TTL_SECONDS = 3600
+VELOCITY_SECONDS = 600
+VELOCITY_MAX_PRICES = 3
+
+# The detection rules used by the registered queries.
+RULES = (
+    # id, name, type, threshold, enabled, priority
+    (1, "seventy percent off", "percent_drop", 0.3, True, 50),
+    (2, "under a dollar", "absolute", 1.0, True, 90),
+    (3, "tenth of MSRP", "msrp_deviation", 0.1, True, 80),
+    (4, "half of MSRP", "msrp_ratio", 0.5, True, 40),
+    (5, "penny price", "penny_pricing", 50.0, True, 100),
+    (6, "currency slip", "currency_error", 0.0, True, 60),
+    (7, "fast repricing", "velocity", 3.0, True, 95),
+    (8, "any discount", "percent_drop", 0.93, True, 10),
+    (9, "switched off", "absolute", 100000.0, False, 99),
+)

@@ -90,7 +90,9 @@ def main() -> None:
             else:
                 result = f"ok rows-only {fn(spark, folder).count()}"
         except Exception as exc:  # report and go on with the next query
-            result = f"{type(exc).__name__}: {str(exc)[:900]}"
+            result = f"{type(exc).__name__}: {str(exc)[:600]}"
+            if isinstance(exc, duckdb.Error):
+                con = duck(folder)
         if not result.startswith("ok"):
             failed.append(name)
         print(f"{name:36s} {time.time() - start:6.2f}s  {result}", flush=True)
