@@ -151,7 +151,7 @@ def enrich_cross_store(deals: DataFrame, matches: DataFrame, attributes: DataFra
     return d.withColumn("cheaper_matches", n).withColumn("confidence", raised)
 
 
-def candidate_deal(d: DataFrame) -> DataFrame:
+def candidate_deal(d: DataFrame, *keys: str) -> DataFrame:
     """Deal record of a verified candidate, nested as the alert sink takes it.
 
     Reads candidate, signal and detection columns of one row: ``product_id, retailer, sku, title, url,
@@ -165,6 +165,7 @@ def candidate_deal(d: DataFrame) -> DataFrame:
         F.when(F.col("escalated"), F.lit("two_pass")).otherwise("datacenter_pass"),
     ))
     return d.select(
+        *keys,
         F.struct(
             F.col("sku"), F.coalesce("title", "product_id").alias("title"), "url", "current_price",
             F.col("msrp").alias("original_price"), "msrp", F.col("retailer").alias("store"),

@@ -37,20 +37,25 @@ def sliced_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     return rows.drop("border", SLICE)
 
 
-def sliced_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], unit: str, name: str = "rank") -> DataFrame:
-    """Adds the 1-based position of the row within its key, oldest first."""
-    rows = with_slice(df, order[0], unit)
-    sizes = rows.groupBy(*keys, SLICE).agg(F.count("*").alias("n"))
+def sliced_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, unit: str, name: str) -> DataFrame:
+    """Adds the running sum of ``value`` over the rows of the key, oldest first."""
+    rows = with_slice(df.withColumn("_v", value), order[0], unit)
+    sizes = rows.groupBy(*keys, SLICE).agg(F.sum("_v").alias("n"))
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(*keys, SLICE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order)
+    inside = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         rows.join(sizes, [*keys, SLICE])
-        .withColumn(name, F.col("offset") + F.row_number().over(inside))
-        .drop("offset", SLICE)
+        .withColumn(name, F.col("offset") + F.sum("_v").over(inside))
+        .drop("offset", "_v", SLICE)
     )
 
 
+def sliced_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], unit: str, name: str = "rank") -> DataFrame:
+    """Adds the 1-based position of the row within its key, oldest first."""
+    return sliced_sum(df, keys, order, F.lit(1), unit, name)
+
+
 def sliced_trailing(
     df: DataFrame, keys: Sequence[str], ts: str, seconds: int, aggregates: dict[str, Column]
 ) -> DataFrame:
