@@ -94,3 +94,15 @@ def split_items(page: Column, selectors) -> Column:
         pieces = F.split(F.regexp_replace(page, pattern, "\u0001$0"), "\u0001")
         cut = F.when(page.rlike(pattern), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(cut)
     return cut
+
+
+def join_fragments(pieces: Column, links) -> Column:
+    """Pieces without a link belong to the item before them: they start at an element inside it."""
+    has_link = "(?is)" + "|".join(start_tag(s)[len("(?is)"):] for s in links)
+
+    def step(done: Column, piece: Column) -> Column:
+        n = F.size(done)
+        grown = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.get(done, n - 1), piece)))
+        return F.when((n > 0) & ~piece.rlike(has_link), grown).otherwise(F.concat(done, F.array(piece)))
+
+    return F.aggregate(pieces, F.array().cast("array<string>"), step)

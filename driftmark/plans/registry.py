@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftmark.sources.tables import Tables
 
-MODULES = ("statistics", "detectors", "projections", "listings", "matching", "queues", "pages")
+MODULES = ("statistics", "detectors", "projections", "listings", "matching", "queues", "pages", "operations", "learned")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
