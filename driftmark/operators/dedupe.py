@@ -1,9 +1,11 @@
 """Suppression of repeated alerts and signals, and admission under a budget.
 
 Whether a row is let through depends on which earlier rows of its key were.  A quiet time as long as
-the TTL resets that dependence, so a key is cut into runs at its quiet times and each run is
-folded on its own: rows are shuffled by key and run, sorted within the partition by Spark, and passed
-through a fold that keeps only the last accepted row, never the run itself.
+the TTL resets that dependence, so a key is cut into runs at its quiet times.  A run that goes on for
+long is cut again into time slices: each slice is first summed up as a function from the state it is
+entered with to the state it is left with, the short summaries are walked slice by slice, and then all
+slices are folded at once, each from its known state.  The folds see rows that Spark has shuffled and
+sorted and keep only the last accepted row, never a run.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -67,26 +70,117 @@ class Budget:
         return True
 
 
+SLICES_PER_TTL = 16
+ENTRY, STEP, RECORD = 0, 1, 2
+SUMMARY_COLUMNS = f"_key string, {RUN} long, _slice long, kind int, at long, price double, exit_at long, exit_price double"
+STATE_COLUMNS = f"_key string, {RUN} long, _slice long, in_at long, in_price double"
+
+
 def _fold(make: Callable[[], Cooldown | Budget]):
-    """Runs a policy over sorted rows, batch by batch, starting anew with every key and run."""
+    """Runs a policy over sorted rows, batch by batch, starting anew with every key, run and slice.
 
+    A row without an id carries the state its slice is entered with.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         policy, current = make(), None
         for batch in batches:
             verdicts = []
-            for group, at, price in zip(zip(batch["_key"], batch[RUN]), batch["_at"], batch["_price"]):
+            groups = zip(batch["_key"], batch[RUN], batch["_slice"])
+            for group, at, price, entry in zip(groups, batch["_at"], batch["_price"], batch["_entry"]):
                 if group != current:
                     current = group
                     policy.reset()
-                verdicts.append(policy.admit(at, price))
-            yield batch[["_key", "_id", "_at", "_price"]].assign(accepted=verdicts)
+                if entry:
+                    policy.at, policy.price = at, price
+                    verdicts.append(False)
+                else:
+                    verdicts.append(policy.admit(at, price))
+            yield batch.assign(accepted=verdicts).loc[~batch["_entry"], ["_key", "_id", "_at", "_price", "accepted"]]
+
+    return run
+
+
+def slice_summary(at: np.ndarray, price: np.ndarray, start: int, ttl: int, cheaper: bool) -> list[tuple]:
+    """What a slice does to a state: a step function of time, and the records of falling prices.
+
+    Entered with the last acceptance (t, p), the slice's first acceptance is its first row at or after
+    t + ttl, or its first row below p if that comes earlier.  From there on the chain is fixed, so each
+    such row leads to one last acceptance.
+    """
+    n = len(at)
+    nxt = np.searchsorted(at, at + ttl)
+    if cheaper:
+        stack: list[int] = []
+        for i in range(n - 1, -1, -1):
+            while stack and price[stack[-1]] >= price[i]:
+                stack.pop()
+            if stack:
+                nxt[i] = min(nxt[i], stack[-1])
+            stack.append(i)
+    last = np.arange(n)
+    for i in range(n - 1, -1, -1):
+        if nxt[i] < n:
+            last[i] = last[nxt[i]]
+    reach = min(n, int(np.searchsorted(at, start + ttl)) + 1)
+    rows = [(ENTRY, int(at[0]), float(price[0]), int(at[last[0]]), float(price[last[0]]))]
+    for i in range(reach):
+        if i + 1 == reach or last[i] != last[i + 1]:
+            rows.append((STEP, int(at[i]), 0.0, int(at[last[i]]), float(price[last[i]])))
+    if cheaper:
+        lowest = np.inf
+        for i in range(reach):
+            if price[i] < lowest:
+                lowest = price[i]
+                rows.append((RECORD, int(at[i]), float(price[i]), int(at[last[i]]), float(price[last[i]])))
+    return rows
+
+
+def _summaries(ttl: int, cheaper: bool, span: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_at", "_id"])
+        rows = slice_summary(pdf["_at"].to_numpy(), pdf["_price"].to_numpy(), int(key[2]) * span, ttl, cheaper)
+        return pd.DataFrame([tuple(key) + r for r in rows], columns=["_key", RUN, "_slice", "kind", "at", "price", "exit_at", "exit_price"])
+
+    return run
+
+
+def _walk(ttl: int):
+    """Entry state of every slice but the first of its run, from the summaries in order."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, state, here, steps, records = None, None, None, [], []
+
+        def passed(t: int, p: float) -> tuple[int, float]:
+            """State after the slice just read, entered with (t, p)."""
+            record = next((r for r in records if r[1] < p), None)
+            if record and record[0] < t + ttl:
+                return record[2:]
+            step = next((s for s in steps if s[0] >= t + ttl), None)
+            return step[2:] if step else (t, p)
+
+        for batch in batches:
+            out = []
+            for key, runs, piece, kind, at, price, exit_at, exit_price in batch.itertuples(index=False):
+                if (key, runs, piece) != here:
+                    if (key, runs) != chain:
+                        # entries sort first, and the first slice of a run starts with its first row
+                        chain, state = (key, runs), (exit_at, exit_price)
+                        steps, records = [], []
+                        first = piece
+                    else:
+                        state = passed(*state)
+                        steps, records = [], []
+                        out.append((key, runs, piece, *state))
+                    here = (key, runs, piece)
+                if piece != first and kind != ENTRY:
+                    (steps if kind == STEP else records).append((at, price, exit_at, exit_price))
+            yield pd.DataFrame(out, columns=["_key", RUN, "_slice", "in_at", "in_price"])
 
     return run
 
 
 def ordered_fold(
     df: DataFrame, keys: Sequence[str], ts: str, row_id: str, quiet_seconds: int, make, price: str | None = None,
-    unit: str = "DAY",
+    unit: str = "DAY", slice_seconds: int | None = None,
 ) -> DataFrame:
     """Adds ``accepted`` by folding a policy over each key's rows in time order.
 
@@ -94,12 +188,24 @@ def ordered_fold(
     """
     slim = df.select(*keys, ts, row_id, *([price] if price else []))
     runs = _runs(slim, keys, ts, row_id, quiet_seconds, unit)
+    span = (slice_seconds or quiet_seconds * SLICES_PER_TTL) * 1_000_000
+    policy = make()
+    sliced = isinstance(policy, Cooldown)
     rows = runs.select(
         F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]).alias("_key"), RUN,
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(row_id).alias("_id"),
         (F.col(price).cast("double") if price else F.lit(0.0)).alias("_price"),
-    )
-    placed = rows.repartition("_key", RUN).sortWithinPartitions("_key", RUN, "_at", "_id")
+    ).withColumn("_slice", F.floor(F.col("_at") / span) if sliced else F.lit(0).cast("long"))
+    placed = rows.withColumn("_entry", F.lit(False))
+    if sliced:
+        group = ["_key", RUN, "_slice"]
+        extent = rows.groupBy("_key", RUN).agg(F.min("_slice").alias("lo"), F.max("_slice").alias("hi")).filter("hi > lo")
+        long_runs = rows.join(extent.select("_key", RUN), ["_key", RUN], "left_semi")
+        sums = long_runs.groupBy(*group).applyInPandas(_summaries(policy.ttl, policy.cheaper, span), SUMMARY_COLUMNS)
+        walked = sums.repartition("_key", RUN).sortWithinPartitions(*group, "kind", "at").mapInPandas(_walk(policy.ttl), STATE_COLUMNS)
+        entries = walked.select("_key", RUN, F.col("in_at").alias("_at"), F.lit(None).cast("long").alias("_id"), F.col("in_price").alias("_price"), "_slice", F.lit(True).alias("_entry"))
+        placed = placed.unionByName(entries)
+    placed = placed.repartition("_key", RUN, "_slice").sortWithinPartitions("_key", RUN, "_slice", F.desc("_entry"), "_at", "_id")
     verdicts = placed.mapInPandas(_fold(make), FOLD_COLUMNS)
     return df.join(verdicts.select(F.col("_id").alias(row_id), "accepted"), row_id)
 
