@@ -64,45 +64,55 @@ def strip_tags(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "<[^>]+>", ""))
 
 
-def first_text(page: Column, selectors) -> Column:
-    """Text of the first selector that matches; NULL when none does."""
-    found = [F.when(page.rlike(start_tag(s)), strip_tags(F.regexp_extract(page, element_text_pattern(s), 2))) for s in selectors]
-    return F.coalesce(*found, F.lit(None).cast("string"))
+def attribute_pattern(name: str) -> str:
+    """Pattern of an attribute's value within a start tag."""
+    return rf"(?is)\s{_quoted(name)}\s*=\s*\"([^\"]*)\"[^>]*>$"
 
 
-def first_attribute(page: Column, selectors, attribute: str) -> Column:
-    """Attribute of the element of the first selector that matches."""
-    grab = rf"(?is)\s{_quoted(attribute)}\s*=\s*\"([^\"]*)\"[^>]*>$"
+def extract(text: Column, pattern: Column, group: int) -> Column:
+    """``regexp_extract`` with the pattern in a column."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(group))
 
-    def one(selector: str) -> Column:
-        tag = F.regexp_extract(page, start_tag(selector), 0)
-        return F.when(tag != "", F.nullif(F.regexp_extract(tag, grab, 1), F.lit("")))
 
-    return F.coalesce(*[one(s) for s in selectors], F.lit(None).cast("string"))
+def first_of(values: Column) -> Column:
+    """First value of an array that is not NULL."""
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+
+
+def first_text(page: Column, selectors: Column) -> Column:
+    """Text of the first selector that matches; ``selectors`` is an array of ``start, text`` patterns."""
+    return first_of(F.transform(selectors, lambda s: F.when(F.rlike(page, s["start"]), strip_tags(extract(page, s["text"], 2)))))
+
+
+def first_attribute(page: Column, starts: Column, attribute: Column) -> Column:
+    """Attribute of the element of the first start-tag pattern that matches and carries it."""
+    def one(start: Column) -> Column:
+        return F.nullif(extract(extract(page, start, 0), attribute, 1), F.lit(""))
+
+    return first_of(F.transform(starts, one))
 
 
 def count_elements(page: Column, selector: str) -> Column:
     return F.size(F.regexp_extract_all(page, F.lit(start_tag(selector)), F.lit(0)))
 
 
-def split_items(page: Column, selectors) -> Column:
-    """The page cut at every start tag of the first selector that occurs; an item ends where the next begins."""
-    cut = F.array().cast("array<string>")
-    for s in reversed(selectors):
-        alternatives = "|".join(start_tag(x.strip())[len("(?is)"):] for x in s.split(","))
-        pattern = f"(?is)(?:{alternatives})"
-        pieces = F.split(F.regexp_replace(page, pattern, "\u0001$0"), "\u0001")
-        cut = F.when(page.rlike(pattern), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(cut)
-    return cut
+def any_of(selectors) -> str:
+    """One pattern for the start tag of any of the selectors."""
+    return "(?is)(?:" + "|".join(start_tag(s.strip())[len("(?is)"):] for s in selectors) + ")"
 
 
-def join_fragments(pieces: Column, links) -> Column:
-    """Pieces without a link belong to the item before them: they start at an element inside it."""
-    has_link = "(?is)" + "|".join(start_tag(s)[len("(?is)"):] for s in links)
+def split_items(page: Column, patterns: Column) -> Column:
+    """The page cut at every match of the first pattern that occurs; an item ends where the next begins."""
+    pattern = F.get(F.filter(patterns, lambda p: F.rlike(page, p)), F.lit(0))
+    pieces = F.split(F.regexp_replace(page, pattern, F.lit("\u0001$0")), "\u0001")
+    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
 
+
+def join_fragments(pieces: Column, has_link: Column) -> Column:
+    """Pieces without a link belong to the item before them: they start at an element inside it."""
     def step(done: Column, piece: Column) -> Column:
         n = F.size(done)
         grown = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.get(done, n - 1), piece)))
-        return F.when((n > 0) & ~piece.rlike(has_link), grown).otherwise(F.concat(done, F.array(piece)))
+        return F.when((n > 0) & ~F.rlike(piece, has_link), grown).otherwise(F.concat(done, F.array(piece)))
 
     return F.aggregate(pieces, F.array().cast("array<string>"), step)

@@ -9,17 +9,9 @@ from driftmark.functions.numbers import clamp, fixed_text, mean_of_decimals, per
 from driftmark.operators import baseline as B, skew
 
 
-def quartile_fences(history: DataFrame) -> DataFrame:
+def quartile_fences(profile: DataFrame) -> DataFrame:
     """Positional quartiles ``s[n // 4]`` and ``s[3n // 4]`` and the lower fence, from 4 prices on."""
-    counts = skew.value_counts(history.filter(F.col("price") > 0), ["product_id"], "price")
-    n = F.col("total")
-    q = counts.groupBy("product_id").agg(
-        F.first("total").alias("n_priced"),
-        skew.value_at(F.floor(n / 4), "price").alias("q1"),
-        skew.value_at(F.floor(n * 3 / 4), "price").alias("q3"),
-    ).filter(F.col("n_priced") >= 4)
-    low = F.col("q1").cast("double") - params.IQR_MULTIPLIER * (F.col("q3") - F.col("q1")).cast("double")
-    return q.withColumn("lower_bound", low)
+    return profile.filter(F.col("n") >= 4).select("product_id", "q1", "q3").withColumn("n", F.lit(4)).withColumn("lower_bound", lower_fence()).drop("n")
 
 
 def recent_mean(history: DataFrame, order, rows: int = 5) -> DataFrame:
@@ -29,14 +21,20 @@ def recent_mean(history: DataFrame, order, rows: int = 5) -> DataFrame:
     return newest.groupBy("product_id").agg(mean_of_decimals(p).alias("recent_mean"))
 
 
-def detector_inputs(history: DataFrame, current: DataFrame, products: DataFrame, order, as_of: Column) -> DataFrame:
-    """One row per product with everything the statistical detectors read."""
-    profile = B.current_baseline(B.product_profile(history, as_of), products)
-    return (
-        current.join(profile, "product_id")
-        .join(quartile_fences(history), "product_id", "left")
-        .join(recent_mean(history, order), "product_id", "left")
-    )
+def lower_fence() -> Column:
+    """Lower fence from ``q1`` and ``q3``, where at least four prices stand behind them."""
+    low = F.col("q1").cast("double") - params.IQR_MULTIPLIER * (F.col("q3") - F.col("q1")).cast("double")
+    return F.when(F.col("n") >= 4, low)
+
+
+def detector_inputs(observations: DataFrame, products: DataFrame, order, as_of: Column) -> DataFrame:
+    """One row per product with everything the statistical detectors read: its newest observation and
+    the profile of those before it."""
+    profile = B.current_baseline(B.profile_before_newest(observations, order, as_of), products)
+    newest = skew.newest_rows(observations, ["product_id"], order, 6).filter(F.col("newest_rank") > 1)
+    p = F.when(F.col("price") > 0, F.col("price"))
+    recent = newest.groupBy("product_id").agg(mean_of_decimals(p).alias("recent_mean"))
+    return profile.withColumn("lower_bound", lower_fence()).join(recent, "product_id", "left")
 
 
 def zscore(d: DataFrame) -> DataFrame:

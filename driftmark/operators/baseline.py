@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftmark import params
 from driftmark.functions.numbers import clamp, mean_of_decimals, percent_off, positive
@@ -22,36 +22,94 @@ def history_scan(history: DataFrame, order, as_of: Column | None = None, days: i
     return history
 
 
-def product_profile(history: DataFrame, as_of: Column, keys=("product_id",)) -> DataFrame:
-    """Every statistic of a product in a single pass.
+WINDOWS = (7, 30, 90)
 
-    Exact medians keep one counter per distinct price and combine on the map side, so a product with
-    very many rows costs its distinct prices, not its rows.  Unused columns are pruned by Catalyst.
+
+def price_counts(history: DataFrame, as_of: Column, newest: Column | None = None) -> DataFrame:
+    """Rows per product and positive price, in all and within each window; NULL gathers other prices.
+
+    Equal prices combine on the map side and a product's prices spread over the reducers, so a product
+    with very many rows costs its distinct prices, not its rows.  ``newest`` is a struct to keep the
+    maximum of, as ``top``.
     """
-    price = positive("price")
     at = F.col("fetched_at")
+    aggregates = [F.count("*").alias("n"), F.max(at).alias("last_at")]
+    aggregates += [F.count_if(at >= days_before(as_of, d)).alias(f"n{d}") for d in WINDOWS]
+    if newest is not None:
+        aggregates.append(F.max(newest).alias("top"))
+    return history.groupBy("product_id", positive("price").alias("value")).agg(*aggregates)
+
+
+def without_newest(counts: DataFrame, as_of: Column) -> DataFrame:
+    """Takes each product's newest observation out of its counts and puts it beside them as ``newest``."""
+    d = counts.withColumn("newest", F.max("top").over(W.partitionBy("product_id")))
+    own = F.col("top") == F.col("newest")
+    at = F.col("newest.fetched_at")
+    less = {"n": F.col("n") - own.cast("int")}
+    for days in WINDOWS:
+        less[f"n{days}"] = F.col(f"n{days}") - (own & (at >= days_before(as_of, days))).cast("int")
+    return d.withColumns(less).filter(F.col("n") > 0).drop("top", "last_at")
 
-    def recent(days: int) -> Column:
-        return F.when(at >= days_before(as_of, days), price)
-
-    real = price.cast("double")
-    mean = mean_of_decimals(price)
-    stats = history.groupBy(*keys).agg(
-        F.count("*").alias("observation_count"),
-        F.count(price).alias("n"),
-        mean.alias("mean"),
-        F.coalesce(F.stddev_samp(real), F.lit(0.0)).alias("std_dev"),
-        F.percentile(real, F.lit(0.5)).alias("median"),
-        F.min(price).alias("min_price"),
-        F.max(price).alias("max_price"),
-        mean_of_decimals(recent(7)).alias("avg_7d"),
-        mean_of_decimals(recent(30)).alias("avg_30d"),
-        F.percentile(recent(30).cast("double"), F.lit(0.5)).alias("median_30d"),
-        F.percentile(recent(90).cast("double"), F.lit(0.5)).alias("median_90d"),
-        F.max(at).alias("last_at"),
+
+def profile_of_counts(counts: DataFrame, *keep: str) -> DataFrame:
+    """Every statistic of a product from its price counts; unused ones are pruned by Catalyst.
+
+    Medians and quartiles are read off running counts over the distinct prices.  Deviations are taken
+    from the lowest price, so a constant price has a deviation of exactly zero.
+    """
+    whole = W.partitionBy("product_id")
+    upto = whole.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    priced = F.col("value").isNotNull()
+    windows = [d for d in WINDOWS if d != 7]
+    d = counts.withColumns({f"p{x}": F.when(priced, F.col(f"n{x}")).otherwise(0) for x in ("", *WINDOWS)})
+    d = d.withColumns({
+        **{f"c{x}": F.sum(f"p{x}").over(upto) for x in ("", *windows)}, **{f"t{x}": F.sum(f"p{x}").over(whole) for x in ("", *windows)},
+        "over_low": F.col("value") - F.min("value").over(whole),
+    })
+
+    def at(position: Column, x: str = "") -> Column:
+        return F.min(F.when(F.col(f"c{x}") > position, F.col("value")))
+
+    def median(x: str = "") -> Column:
+        t = F.col(f"t{x}")
+        return (at(F.floor((t - 1) / 2), x).cast("double") + at(F.floor(t / 2), x).cast("double")) / 2
+
+    def mean(x: str) -> Column:
+        n = F.sum(f"p{x}")
+        return F.sum(F.col("value") * F.col(f"p{x}")).cast("double") / F.nullif(n, F.lit(0))
+
+    n = F.sum("p")
+    first = F.sum(F.col("over_low").cast("double") * F.col("p"))
+    second = F.sum(F.col("over_low").cast("double") * F.col("over_low").cast("double") * F.col("p"))
+    variance = F.greatest(F.lit(0.0), (second - first * first / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)))
+    stats = d.groupBy("product_id", *keep).agg(
+        F.sum("n").alias("observation_count"), n.alias("n"), mean("").alias("mean"), F.coalesce(F.sqrt(variance), F.lit(0.0)).alias("std_dev"),
+        median().alias("median"), F.min("value").alias("min_price"), F.max("value").alias("max_price"),
+        mean("7").alias("avg_7d"), mean("30").alias("avg_30d"), median("30").alias("median_30d"), median("90").alias("median_90d"),
+        at(F.floor(F.col("t") / 4)).alias("q1"), at(F.floor(F.col("t") * 3 / 4)).alias("q3"),
+        *([F.max("last_at").alias("last_at")] if "last_at" in counts.columns else []),
     )
-    cv = F.when(F.col("mean") > 0, F.col("std_dev") / F.col("mean"))
-    return stats.withColumn("cv", cv).withColumn("stability", clamp(F.lit(1.0) - F.col("cv"), 0.0, 1.0))
+    stats = stats.withColumn("cv", F.when(F.col("mean") > 0, F.col("std_dev") / F.col("mean")))
+    return stats.withColumn("stability", clamp(F.lit(1.0) - F.col("cv"), 0.0, 1.0))
+
+
+def product_profile(history: DataFrame, as_of: Column) -> DataFrame:
+    """Statistics and baseline inputs of every product in the history."""
+    return profile_of_counts(price_counts(history, as_of))
+
+
+def profile_before_newest(observations: DataFrame, order, as_of: Column) -> DataFrame:
+    """Profile of each product's history before its newest observation, with that one as ``current_…``.
+
+    One scan and one aggregate: the newest row is taken out of the counts instead of joined away.
+    """
+    newest = F.struct(*order, "price", "original_price", "availability", "confidence")
+    d = profile_of_counts(without_newest(price_counts(observations, as_of, newest), as_of), "newest")
+    c = F.col("newest")
+    return d.withColumns({
+        "current_price": c["price"], "current_original": c["original_price"], "current_availability": c["availability"],
+        "current_confidence": c["confidence"], "current_at": c["fetched_at"],
+    }).drop("newest")
 
 
 def last_price(history: DataFrame, order) -> DataFrame:

@@ -136,7 +136,7 @@ def slice_summary(at: np.ndarray, price: np.ndarray, start: int, ttl: int, cheap
 
 
 def _summaries(ttl: int, cheaper: bool, span: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_at", "_id"])
         rows = slice_summary(pdf["_at"].to_numpy(), pdf["_price"].to_numpy(), int(key[2]) * span, ttl, cheaper)
         return pd.DataFrame([tuple(key) + r for r in rows], columns=["_key", RUN, "_slice", "kind", "at", "price", "exit_at", "exit_price"])

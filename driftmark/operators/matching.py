@@ -102,7 +102,7 @@ def _best_pairs(left: pd.DataFrame, right: pd.DataFrame, k: int, threshold: floa
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str], k: int, threshold: float, other_group: bool) -> DataFrame:
-    def block(_key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def block(_key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _best_pairs(a, b, k, threshold, other_group)
 
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, MATCH_SCHEMA)

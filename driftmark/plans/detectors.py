@@ -16,7 +16,7 @@ from driftmark.sources.tables import Tables
 
 
 def inputs(t: Tables):
-    return A.detector_inputs(t.history(), t.current_prices(), t.products(), ORDER, t.as_of())
+    return A.detector_inputs(t.observations(), t.products(), ORDER, t.as_of())
 
 
 QUARTILES = """, sorted AS (
@@ -60,7 +60,7 @@ def with_detectors(body: str, *more: str) -> str:
 @query("e01_zscore", with_detectors(f"""
     SELECT product_id, {r('z')} AS z_score, z_hit, {r('CASE WHEN z_hit THEN least(1.0, abs(z) / 4) END')} AS z_points FROM det"""))
 def zscore(t: Tables):
-    d = A.zscore(profile(t).join(t.current_prices(), "product_id"))
+    d = A.zscore(B.profile_before_newest(t.observations(), ORDER, t.as_of()))
     return d.select("product_id", round_to("z_score").alias("z_score"), "z_hit", round_to("z_points").alias("z_points"))
 
 
@@ -69,7 +69,7 @@ def zscore(t: Tables):
            coalesce(current_price < q1 - 1.5 * (q3 - q1), false) AS iqr_hit
     FROM fences JOIN current_prices USING (product_id)"""))
 def iqr(t: Tables):
-    d = A.iqr(A.quartile_fences(t.history()).join(t.current_prices(), "product_id"))
+    d = A.iqr(A.quartile_fences(profile(t)).join(t.current_prices(), "product_id"))
     return d.select("product_id", "q1", "q3", round_to("lower_bound").alias("lower_bound"), "iqr_hit")
 
 
@@ -86,7 +86,7 @@ def rate_of_change(t: Tables):
     SELECT product_id, min_hit, {r('CASE WHEN min_hit THEN below END')} AS below_min_percent,
            {r('CASE WHEN min_hit THEN least(1.0, below / 50) END')} AS min_points FROM det"""))
 def below_minimum(t: Tables):
-    d = A.below_minimum(profile(t).join(t.current_prices(), "product_id"))
+    d = A.below_minimum(B.profile_before_newest(t.observations(), ORDER, t.as_of()))
     return d.select("product_id", "min_hit", round_to("below_min_percent").alias("below_min_percent"), round_to("min_points").alias("min_points"))
 
 
@@ -141,7 +141,7 @@ def detector_confidence(t: Tables):
     SELECT product_id, n >= 3 AND reasons <> '' AS is_anomaly,
            CASE WHEN n >= 3 THEN reasons ELSE 'Insufficient price history' END AS reason FROM why"""))
 def baseline_anomaly(t: Tables):
-    d = B.current_baseline(profile(t), t.products()).join(t.current_prices(), "product_id")
+    d = B.current_baseline(B.profile_before_newest(t.observations(), ORDER, t.as_of()), t.products())
     return A.baseline_anomaly(d).select("product_id", "is_anomaly", "reason")
 
 

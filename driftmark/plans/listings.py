@@ -12,7 +12,6 @@ from driftmark.plans.detectors import DETECT_SQL, inputs, with_detectors
 from driftmark.plans.projections import ATTR_SQL, attr_title
 from driftmark.plans.registry import query
 from driftmark.plans.sqlviews import r, txt, with_views
-from driftmark.plans.statistics import profile
 from driftmark.sources.tables import Tables, pick
 
 def cut(price, by):
@@ -170,7 +169,7 @@ def rule_prices(t: Tables):
     k = F.col("product_id") % 10
     c = F.col("current_price")
     p = F.when(k == 0, cut(c, 1000)).when(k == 1, cut(F.col("msrp"), 100)).when(k == 2, cut(c, 11)).when(k == 3, cut(c, 2.5)).otherwise(c)
-    base = B.current_baseline(profile(t), t.products()).select("product_id", F.col("current_baseline").alias("baseline_price"), "baseline_source")
+    base = B.current_baseline(B.profile_before_newest(t.observations(), t.NEWEST, t.as_of()), t.products()).select("product_id", F.col("current_baseline").alias("baseline_price"), "baseline_source")
     d = t.listings().withColumn("current_price", p).join(base, "product_id")
     kk = F.col("product_id")
     return d.withColumns({

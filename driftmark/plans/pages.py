@@ -188,7 +188,7 @@ FORM_URL = {s: f.split('href="')[1].split('"')[0] for s, f in ITEM_FORMS.items()
       replace(replace(CASE store """ + " ".join(f"WHEN '{s}' THEN '{u if u.startswith('http') else P.LAYOUTS[s].base_url + u}'" for s, u in FORM_URL.items()) + """ END, '{id9}', lpad(CAST(product_id AS VARCHAR), 9, '0')), '{id}', CAST(product_id AS VARCHAR)) AS url,
       CAST(current_price AS DECIMAL(20,4)) AS current_price, CASE WHEN store = 'costco' THEN NULL ELSE CAST(original_price AS DECIMAL(20,4)) END AS original_price FROM listings"""))
 def page_listings(t: Tables):
-    return P.all_listings(listing_pages(t)).select("page_id", "store", "sku", "title", "url", "current_price", "original_price")
+    return P.page_listings(listing_pages(t), P.layout_table(t.spark)).select("page_id", "store", "sku", "title", "url", "current_price", "original_price")
 
 
 def product_pages(t: Tables):
