@@ -31,10 +31,7 @@ def detector_inputs(observations: DataFrame, products: DataFrame, order, as_of:
     """One row per product with everything the statistical detectors read: its newest observation and
     the profile of those before it."""
     profile = B.current_baseline(B.profile_before_newest(observations, order, as_of), products)
-    newest = skew.newest_rows(observations, ["product_id"], order, 6).filter(F.col("newest_rank") > 1)
-    p = F.when(F.col("price") > 0, F.col("price"))
-    recent = newest.groupBy("product_id").agg(mean_of_decimals(p).alias("recent_mean"))
-    return profile.withColumn("lower_bound", lower_fence()).join(recent, "product_id", "left")
+    return profile.withColumn("lower_bound", lower_fence())
 
 
 def zscore(d: DataFrame) -> DataFrame:
@@ -75,16 +72,18 @@ METHODS = (("z_hit", "z_score"), ("iqr_hit", "iqr"), ("rate_hit", "rate_of_chang
 
 def fuse_scores(d: DataFrame) -> DataFrame:
     """Mean of the scores of the methods that fired, raised when two or three of them agree."""
-    points = F.array_compact(F.array("z_points", "iqr_points", "rate_points", "min_points"))
+    hits = sum((F.col(c).cast("int") for c, _ in METHODS), F.lit(0))
+    points = sum((F.coalesce(c, F.lit(0.0)) for c in ("z_points", "iqr_points", "rate_points", "min_points")), F.lit(0.0))
+    d = d.withColumns({"n_methods": hits, "_points": points})
+    k, one = F.col("n_methods"), F.lit(1.0)
+    score = (
+        F.when(k == 0, 0.0).when(k == 1, F.col("_points")).when(k == 2, F.least(one, F.col("_points") / 2 * 1.2))
+        .otherwise(F.least(one, F.least(one, F.col("_points") / k * 1.2) * 1.1))
+    )
     methods = F.array_compact(F.array(*[F.when(F.col(c), F.lit(name)) for c, name in METHODS]))
-    d = d.withColumn("methods", methods).withColumn("n_methods", F.size("methods"))
-    total = F.aggregate(points, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(F.size(points) > 0, total / F.nullif(F.size(points), F.lit(0)))
-    raised = F.when(F.col("n_methods") >= 2, F.least(F.lit(1.0), mean * 1.2)).otherwise(mean)
-    raised = F.when(F.col("n_methods") >= 3, F.least(F.lit(1.0), raised * 1.1)).otherwise(raised)
-    d = d.withColumn("anomaly_score", F.coalesce(raised, F.lit(0.0)))
-    d = d.withColumn("is_anomaly", (F.col("anomaly_score") > 0.5) | (F.col("n_methods") > 0))
-    significant = F.col("is_anomaly") & ((F.col("n_methods") >= 2) | (F.col("anomaly_score") >= 0.8))
+    # a score above one half needs a method that fired, so the count alone decides
+    d = d.withColumns({"anomaly_score": score, "methods": methods, "is_anomaly": k > 0}).drop("_points")
+    significant = F.col("is_anomaly") & ((k >= 2) | (F.col("anomaly_score") >= 0.8))
     return d.withColumn("is_significant", significant)
 
 

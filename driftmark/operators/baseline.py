@@ -25,33 +25,44 @@ def history_scan(history: DataFrame, order, as_of: Column | None = None, days: i
 WINDOWS = (7, 30, 90)
 
 
-def price_counts(history: DataFrame, as_of: Column, newest: Column | None = None) -> DataFrame:
+def price_counts(history: DataFrame, as_of: Column) -> DataFrame:
     """Rows per product and positive price, in all and within each window; NULL gathers other prices.
 
     Equal prices combine on the map side and a product's prices spread over the reducers, so a product
-    with very many rows costs its distinct prices, not its rows.  ``newest`` is a struct to keep the
-    maximum of, as ``top``.
+    with very many rows costs its distinct prices, not its rows.
     """
     at = F.col("fetched_at")
-    aggregates = [F.count("*").alias("n"), F.max(at).alias("last_at")]
-    aggregates += [F.count_if(at >= days_before(as_of, d)).alias(f"n{d}") for d in WINDOWS]
-    if newest is not None:
-        aggregates.append(F.max(newest).alias("top"))
-    return history.groupBy("product_id", positive("price").alias("value")).agg(*aggregates)
-
-
-def without_newest(counts: DataFrame, as_of: Column) -> DataFrame:
-    """Takes each product's newest observation out of its counts and puts it beside them as ``newest``."""
-    d = counts.withColumn("newest", F.max("top").over(W.partitionBy("product_id")))
-    own = F.col("top") == F.col("newest")
-    at = F.col("newest.fetched_at")
+    recent = [F.count_if(at >= days_before(as_of, d)).alias(f"n{d}") for d in WINDOWS]
+    return history.groupBy("product_id", positive("price").alias("value")).agg(F.count("*").alias("n"), F.max(at).alias("last_at"), *recent)
+
+
+CURRENT = {
+    "price": "current_price", "original_price": "current_original", "availability": "current_availability",
+    "confidence": "current_confidence", "fetched_at": "current_at",
+}
+
+
+def newest_and_recent(observations: DataFrame, order, recent: int = 5) -> DataFrame:
+    """Each product's newest observation as ``current_…`` and the mean of the positive prices of the
+    ``recent`` ones before it."""
+    rows = skew.newest_rows(observations, ["product_id"], order, recent + 1)
+    first = F.col("newest_rank") == 1
+    picked = [F.max(F.when(first, F.col(c))).alias(name) for c, name in CURRENT.items()]
+    before = F.when(~first & (F.col("price") > 0), F.col("price"))
+    return rows.groupBy("product_id").agg(*picked, mean_of_decimals(before).alias("recent_mean"))
+
+
+def without_current(counts: DataFrame, current: DataFrame, as_of: Column) -> DataFrame:
+    """Takes each product's newest observation out of its counts and puts it beside them."""
+    d = counts.drop("last_at").join(current, "product_id")
+    own = F.col("value").eqNullSafe(positive("current_price"))
     less = {"n": F.col("n") - own.cast("int")}
     for days in WINDOWS:
-        less[f"n{days}"] = F.col(f"n{days}") - (own & (at >= days_before(as_of, days))).cast("int")
-    return d.withColumns(less).filter(F.col("n") > 0).drop("top", "last_at")
+        less[f"n{days}"] = F.col(f"n{days}") - (own & (F.col("current_at") >= days_before(as_of, days))).cast("int")
+    return d.withColumns(less).filter(F.col("n") > 0)
 
 
-def profile_of_counts(counts: DataFrame, *keep: str) -> DataFrame:
+def profile_of_counts(counts: DataFrame, beside=()) -> DataFrame:
     """Every statistic of a product from its price counts; unused ones are pruned by Catalyst.
 
     Medians and quartiles are read off running counts over the distinct prices.  Deviations are taken
@@ -82,7 +93,8 @@ def profile_of_counts(counts: DataFrame, *keep: str) -> DataFrame:
     first = F.sum(F.col("over_low").cast("double") * F.col("p"))
     second = F.sum(F.col("over_low").cast("double") * F.col("over_low").cast("double") * F.col("p"))
     variance = F.greatest(F.lit(0.0), (second - first * first / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)))
-    stats = d.groupBy("product_id", *keep).agg(
+    stats = d.groupBy("product_id").agg(
+        *[F.first(c).alias(c) for c in beside],
         F.sum("n").alias("observation_count"), n.alias("n"), mean("").alias("mean"), F.coalesce(F.sqrt(variance), F.lit(0.0)).alias("std_dev"),
         median().alias("median"), F.min("value").alias("min_price"), F.max("value").alias("max_price"),
         mean("7").alias("avg_7d"), mean("30").alias("avg_30d"), median("30").alias("median_30d"), median("90").alias("median_90d"),
@@ -101,15 +113,11 @@ def product_profile(history: DataFrame, as_of: Column) -> DataFrame:
 def profile_before_newest(observations: DataFrame, order, as_of: Column) -> DataFrame:
     """Profile of each product's history before its newest observation, with that one as ``current_…``.
 
-    One scan and one aggregate: the newest row is taken out of the counts instead of joined away.
+    The newest row is taken out of the counts, so the history is not scanned or joined again.
     """
-    newest = F.struct(*order, "price", "original_price", "availability", "confidence")
-    d = profile_of_counts(without_newest(price_counts(observations, as_of, newest), as_of), "newest")
-    c = F.col("newest")
-    return d.withColumns({
-        "current_price": c["price"], "current_original": c["original_price"], "current_availability": c["availability"],
-        "current_confidence": c["confidence"], "current_at": c["fetched_at"],
-    }).drop("newest")
+    current = newest_and_recent(observations, order)
+    beside = [*CURRENT.values(), "recent_mean"]
+    return profile_of_counts(without_current(price_counts(observations, as_of), current, as_of), beside)
 
 
 def last_price(history: DataFrame, order) -> DataFrame:

@@ -26,9 +26,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.schemas: dict = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One table; its schema is read from the file once."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
 
     def products(self) -> DataFrame:
         p = self.raw("part")
