@@ -186,11 +186,14 @@ def ordered_fold(
 
     Only the key, time, price and id travel to Python; the verdict is joined back by ``row_id``.
     """
+    policy = make()
+    sliced = isinstance(policy, Cooldown)
     slim = df.select(*keys, ts, row_id, *([price] if price else []))
+    if sliced:
+        # of rows with one key, time and price only the first can be accepted: copies combine here
+        slim = slim.groupBy(*keys, ts, *([price] if price else [])).agg(F.min(row_id).alias(row_id))
     runs = _runs(slim, keys, ts, row_id, quiet_seconds, unit)
     span = (slice_seconds or quiet_seconds * SLICES_PER_TTL) * 1_000_000
-    policy = make()
-    sliced = isinstance(policy, Cooldown)
     rows = runs.select(
         F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]).alias("_key"), RUN,
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(row_id).alias("_id"),
@@ -207,7 +210,8 @@ def ordered_fold(
         placed = placed.unionByName(entries)
     placed = placed.repartition("_key", RUN, "_slice").sortWithinPartitions("_key", RUN, "_slice", F.desc("_entry"), "_at", "_id")
     verdicts = placed.mapInPandas(_fold(make), FOLD_COLUMNS)
-    return df.join(verdicts.select(F.col("_id").alias(row_id), "accepted"), row_id)
+    judged = df.join(verdicts.select(F.col("_id").alias(row_id), "accepted"), row_id, "left")
+    return judged.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def alert_dedupe(alerts: DataFrame, ts: str, row_id: str, ttl_hours: int = params.DEDUPE_TTL_HOURS) -> DataFrame:

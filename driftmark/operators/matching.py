@@ -206,7 +206,8 @@ def cross_store_match(pairs: DataFrame, top_matches: DataFrame, depth: int = 5)
 def semantic_duplicates(alerts: DataFrame, edges: DataFrame, ttl_hours: int = params.DEDUPE_TTL_HOURS) -> DataFrame:
     """Alerts kept when no similar product was alerted within the time before them.
 
-    Time is cut into slices of the TTL, so the test is an equi join on product and slice.
+    Time is cut into slices of the TTL; each product's alerts are counted per slice with those of the
+    slice before as context.
     """
     span = ttl_hours * 3600
     sec = F.unix_micros(F.col("sent_at").cast("timestamp"))
@@ -214,12 +215,15 @@ def semantic_duplicates(alerts: DataFrame, edges: DataFrame, ttl_hours: int = pa
     both = edges.select(F.col("product_id_1").alias("p"), F.col("product_id_2").alias("q")).unionByName(
         edges.select(F.col("product_id_2").alias("p"), F.col("product_id_1").alias("q"))
     )
-    probe = alerts.select("alert_id", "product_id", "sent_at", slice_.alias("s")).join(both, F.col("product_id") == F.col("p"))
-    probe = probe.select("alert_id", "q", sec.alias("at"), F.explode(F.array("s", F.col("s") - 1)).alias("s"))
-    # per product, slice and time one row is enough
-    past = alerts.select(F.col("product_id").alias("q"), slice_.alias("s"), sec.alias("was")).distinct()
-    near = probe.join(past, ["q", "s"]).filter((F.col("was") < F.col("at")) & (F.col("at") - F.col("was") < span * 1_000_000))
-    return alerts.join(near.select("alert_id").distinct(), "alert_id", "left_anti")
+    probe = alerts.select("alert_id", "product_id", sec.alias("at"), slice_.alias("s")).join(both, F.col("product_id") == F.col("p"))
+    probe = probe.select("q", "s", "at", "alert_id", F.lit(0).alias("past"))
+    past = alerts.select(F.col("product_id").alias("q"), sec.alias("at"), slice_.alias("s")).distinct()
+    past = past.select("q", F.explode(F.array("s", F.col("s") + 1)).alias("s"), "at", F.lit(None).cast("long").alias("alert_id"), F.lit(1).alias("past"))
+    # how many alerts of the similar product lie within the time before: a count, never the pairs
+    before = W.partitionBy("q", "s").orderBy("at").rangeBetween(-(span * 1_000_000 - 1), -1)
+    seen = probe.unionByName(past).withColumn("near", F.sum("past").over(before))
+    doomed = seen.filter(F.col("alert_id").isNotNull() & (F.col("near") > 0)).select("alert_id").distinct()
+    return alerts.join(doomed, "alert_id", "left_anti")
 
 
 def product_sets(products: DataFrame, dependents: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:

@@ -100,15 +100,16 @@ def sitemap_docs(t: Tables):
     leaf = t.products().select("store", F.floor(k / 100).alias("n"), F.struct(k.alias("k"), url.alias("u")).alias("x")).groupBy("store", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     name = F.concat(F.lit("https://s.example/"), "store", F.lit("/"), F.lpad(F.col("n").cast("string"), 6, "0"), F.lit(".xml"))
     entries = F.array_join(F.transform("xs", lambda x: F.concat(F.lit("<url><loc> "), x["u"], F.lit(" </loc></url>"))), "\n")
-    leaves = leaf.select("store", name.alias("doc_url"), F.concat(F.lit("<urlset>"), entries, F.lit("</urlset>")).alias("xml"))
+    leaves = leaf.select("store", F.floor(F.col("n") / 15).alias("block"), name.alias("doc_url"), F.concat(F.lit("<urlset>"), entries, F.lit("</urlset>")).alias("xml"))
     locs = F.array_join(F.transform(F.sort_array(F.collect_list("doc_url")), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), "")
-    index = leaves.groupBy("store").agg(F.concat(F.lit("<sitemapindex>"), locs, F.lit("</sitemapindex>")).alias("xml"))
-    index = index.select("store", F.concat(F.lit("https://s.example/"), "store", F.lit(".xml")).alias("doc_url"), "xml")
+    # an index names at most fifteen sitemaps
+    index = leaves.groupBy("store", "block").agg(F.concat(F.lit("<sitemapindex>"), locs, F.lit("</sitemapindex>")).alias("xml"))
+    index = index.select("store", "block", F.concat(F.lit("https://s.example/"), "store", F.lit("-"), F.col("block").cast("string"), F.lit(".xml")).alias("doc_url"), "xml")
     return leaves.unionByName(index), index.select("doc_url")
 
 
-SITEMAP_SQL = """, leaf AS (SELECT store, product_id // 100 AS n, url FROM products WHERE product_id % 3 <> 0), ord AS (SELECT store, n, dense_rank() OVER (PARTITION BY store ORDER BY n) AS rk FROM (SELECT DISTINCT store, product_id // 100 AS n FROM products)),
-    site AS (SELECT DISTINCT 'https://s.example/' || store || '.xml' AS root, url FROM leaf JOIN ord USING (store, n) WHERE rk <= 10)
+SITEMAP_SQL = """, leaf AS (SELECT store, product_id // 100 AS n, url FROM products WHERE product_id % 3 <> 0), ord AS (SELECT store, n, dense_rank() OVER (PARTITION BY store, n // 15 ORDER BY n) AS rk FROM (SELECT DISTINCT store, product_id // 100 AS n FROM products)),
+    site AS (SELECT DISTINCT 'https://s.example/' || store || '-' || (n // 15) || '.xml' AS root, url FROM leaf JOIN ord USING (store, n) WHERE rk <= 10)
 """
 
 
