@@ -67,7 +67,7 @@ def knn_cosine(t: Tables):
 @query("f05_ann_index")
 def ann_index(t: Tables):
     e = t.embeddings()
-    return M.approximate_knn(e, e, 10, LEVEL, dims=64)
+    return M.approximate_knn(e, e, 10, LEVEL, dims=64, tables=8, bits=4)
 
 
 def product_facts(t: Tables):

@@ -206,12 +206,10 @@ def product_pages(t: Tables):
 @query("a11_page_category", with_views("products", body="""
     , x AS (SELECT product_id, product_id % 4 AS k, CASE WHEN (product_id // 4) % 2 = 0 THEN 'bestbuy' ELSE 'target' END AS store, regexp_replace(lower(category), '[^a-z]+', '-', 'g') AS cat, category FROM products)
     SELECT product_id AS page_id, store, 'https://www.' || store || '.com' || CASE k WHEN 0 THEN '/site/' || cat || '/c/' WHEN 1 THEN '/c/' || cat ELSE '/site/' || cat END AS category_url,
-      CASE k WHEN 0 THEN category WHEN 1 THEN lower('Shop ' || category) ELSE 'Discovered from Product' END AS category_name, CASE k WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.6 END::DOUBLE AS category_confidence
+      CASE k WHEN 0 THEN CASE WHEN store = 'target' AND lower(category) = 'home' THEN 'Discovered Category' ELSE category END WHEN 1 THEN lower('Shop ' || category) ELSE 'Discovered from Product' END AS category_name, CASE k WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.6 END::DOUBLE AS category_confidence
     FROM x WHERE k < 2 OR (k = 2 AND store = 'bestbuy')"""))
 def page_category(t: Tables):
-    pages = product_pages(t)
-    out = P.page_category(pages, "bestbuy", P.CATEGORY_LINKS["bestbuy"])
-    return out.unionByName(P.page_category(pages, "target", P.CATEGORY_LINKS["target"]))
+    return P.page_categories(product_pages(t))
 
 
 def payloads(t: Tables):

@@ -233,3 +233,16 @@ def test_history_scan_prunes_and_pushes(spark, tables):
 
 def test_rule_constants():
     assert len(params.CATEGORY_THRESHOLDS) == 25 and len(params.TEST_STORES) == 18
+
+
+def test_category_links(spark):
+    rows = [
+        (1, "amazon_us", '<div class="a-breadcrumb"><a href="/x">All</a><a href="/y">Toys</a><a href="/s?k=puzzle">Puzzles</a></div>'),
+        (2, "amazon_us", '<a href="/s?k=tv&b=1">TV Deals</a>'), (3, "costco", '<div class="breadcrumb"><a href="/">Home</a><a href="/Browse/a?b">Audio</a></div>'),
+        (4, "lowes", '<div class="breadcrumb"><a href="/">Home</a><a href="/pl/saws?x">Saws</a></div>'), (5, "walmart", '<a href="/browse/tv?x=1">See all TVs</a>'), (6, "homedepot", "<p>none</p>"),
+    ]
+    got = {r["page_id"]: (r["category_url"], r["category_name"], r["category_confidence"]) for r in P.page_categories(spark.createDataFrame(rows, "page_id int, store string, html string")).collect()}
+    assert got == {
+        1: ("https://www.amazon.com/s?k=puzzle", "Toys > Puzzles", 0.9), 2: ("https://www.amazon.com/s?k=tv&b=1", "TV Deals", 0.7), 3: ("https://www.costco.com/Browse/a", "Audio", 0.8),
+        4: ("https://www.lowes.com/pl/saws", "Saws", 0.9), 5: ("https://www.walmart.com/browse/tv", "see all tvs", 0.7),
+    }
