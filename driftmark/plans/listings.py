@@ -166,16 +166,17 @@ def filtered_list(t: Tables):
 
 # prices for the rules: the current price cut down on some products so that every rule type fires
 def rule_prices(t: Tables):
-    k = F.col("product_id") % 10
-    c = F.col("current_price")
-    p = F.when(k == 0, cut(c, 1000)).when(k == 1, cut(F.col("msrp"), 100)).when(k == 2, cut(c, 11)).when(k == 3, cut(c, 2.5)).otherwise(c)
-    base = B.current_baseline(B.profile_before_newest(t.observations(), t.NEWEST, t.as_of()), t.products()).select("product_id", F.col("current_baseline").alias("baseline_price"), "baseline_source")
-    d = t.listings().withColumn("current_price", p).join(base, "product_id")
+    base = B.current_baseline(B.profile_before_newest(t.observations(), t.NEWEST, t.as_of()), t.products())
+    d = base.join(t.products().drop("msrp"), "product_id")
     kk = F.col("product_id")
-    return d.withColumns({
-        "seller_type": F.when(kk % 4 == 0, "fba").when(kk % 4 == 1, "third"), "signal_type": F.when(kk % 5 == 0, "clearance"),
-        "sold_median": F.when(kk % 3 == 0, F.col("msrp") * F.lit("0.8").cast("decimal(2,1)")), "ml_score": F.when(kk % 6 == 0, 0.75).when(kk % 6 == 1, 0.5),
-    })
+    k, c = kk % 10, F.col("current_price")
+    p = F.when(k == 0, cut(c, 1000)).when(k == 1, cut(F.col("msrp"), 100)).when(k == 2, cut(c, 11)).when(k == 3, cut(c, 2.5)).otherwise(c)
+    return d.select(
+        "product_id", "store", "category", "sku", "title", "url", "msrp", p.alias("current_price"), F.col("current_baseline").alias("baseline_price"), "baseline_source",
+        F.col("current_availability").alias("availability"), F.col("current_confidence").alias("confidence"),
+        F.when(kk % 4 == 0, "fba").when(kk % 4 == 1, "third").alias("seller_type"), F.when(kk % 5 == 0, "clearance").alias("signal_type"),
+        F.when(kk % 3 == 0, F.col("msrp") * F.lit("0.8").cast("decimal(2,1)")).alias("sold_median"), F.when(kk % 6 == 0, 0.75).when(kk % 6 == 1, 0.5).alias("ml_score"),
+    )
 
 
 RULES_SQL = f""", rp AS (SELECT l.product_id, store, msrp, availability, l.confidence, category, sku, title, url,
