@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 96, piece: int = 1024) -> dict[str, bytes]:
-    """A dictionary per language: ``rows`` passages of ``piece`` characters, taken in the order of a hash of the text.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 256, piece: int = 384) -> dict[str, bytes]:
+    """A dictionary per language: ``rows`` passages of ``piece`` characters, lower-cased, in the order of a hash of the text.
+
+    Languages come in the order of their training rows, most first.
 
     This bounded sample (``rows`` x ``piece`` per language) is all that reaches the driver.  Rows without a language
     or without text teach nothing.  Passages from the middle of long texts are used, as openings are often alike.
@@ -20,12 +22,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text = F.col(text_col).cast("string")
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("h"), text.alias("t"))
     middle = F.greatest(F.lit(1), F.floor((F.length("t") - piece) / 2)).cast("int")
-    passages = known.select("lang", "h", F.substring(F.col("t"), middle, F.lit(piece)).alias("p"))
+    passages = known.select("lang", "h", F.lower(F.substring(F.col("t"), middle, F.lit(piece))).alias("p"))
     first = passages.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "p"))).where(F.col("k") <= rows)
     found: dict[str, list[str]] = {}
     for row in first.orderBy("lang", F.desc("k")).select("lang", "p").collect():
         found.setdefault(row.lang, []).append(row.p)
-    return {lang: "\n".join(parts).encode() for lang, parts in sorted(found.items())}
+    rows_of = dict(known.groupBy("lang").count().collect())
+    return {lang: "\n".join(found[lang]).encode() for lang in sorted(found, key=lambda x: (-rows_of[x], x))}
 
 
 def _compressors(dictionaries: dict[str, bytes], level: int):
@@ -48,7 +51,7 @@ def _classify(batches, dictionaries, level, margin):
                 pred.append(UNKNOWN)
                 score.append(0.0)
                 continue
-            raw = raw.encode() if isinstance(raw, str) else raw
+            raw = raw.lower().encode()
             size = np.array([len(c.compress(raw)) for c in compressors], float)
             best = int(size.argmin())
             second = np.delete(size, best).min() if len(size) > 1 else 2 * size[best]
@@ -60,11 +63,11 @@ def _classify(batches, dictionaries, level, margin):
         )
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 3, margin: float = 0.004, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 6, margin: float = 0.002, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score and rejected for each row (and the columns in ``keep``, of any name but these).
 
-    The whole text is compressed with each dictionary; the smallest output wins, equal ones go to the first
-    language in alphabetical order.  ``score`` is by how much the second best is larger, as a share of it.
+    The whole text, lower-cased, is compressed with each dictionary; the smallest output wins, equal ones go to the language
+    with the most training rows.  ``score`` is by how much the second best is larger, as a share of it.
     Below ``margin`` the language is rejected.  Null texts and texts without a letter are ``und`` with score 0 and
     rejected; so is everything if nothing was learned.  Rows are classified one by one, repeated ones alike.
     The dictionaries travel with the task: their size is bounded by ``train``.
