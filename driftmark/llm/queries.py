@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import langid, packing
+from driftmark.llm import decontamination, langid, packing, toxicity
 from driftmark.llm.tables import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,20 @@ def query(fn):
     return fn
 
 
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    weights = toxicity.train(docs, read(spark, folder, "labels").where(~held_out))
+    return toxicity.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
