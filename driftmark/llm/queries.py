@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontamination, langid, packing, sharding, toxicity
+from driftmark.llm import decontamination, embeddings, langid, minhash, packing, sharding, toxicity
 from driftmark.llm.tables import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,17 @@ def query(fn):
     return fn
 
 
+@query
+def op1_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, folder, "embeddings"))
+
+
+@query
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "n_class", "kept")
+
+
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
