@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontamination, embeddings, langid, minhash, packing, sharding, toxicity
+from driftmark.llm import decontamination, embeddings, langid, minhash, packing, sharding, suffixarray, toxicity
 from driftmark.llm.tables import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_class", "kept")
 
 
+@query
+def op3_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixarray.remove_repeats(read(spark, folder, "documents")).drop("kept")
+
+
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
