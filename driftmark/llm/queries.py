@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontamination, embeddings, langid, minhash, packing, sharding, suffixarray, toxicity
+from driftmark.llm import decontamination, embeddings, langid, minhash, packing, sharding, suffixarray, suffixtree, toxicity
 from driftmark.llm.tables import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op5_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixtree.remove_passages(read(spark, folder, "documents")).drop("kept")
+
+
 @query
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
