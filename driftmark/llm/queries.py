@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontamination, embeddings, langid, minhash, packing, sharding, suffixarray, suffixtree, toxicity
+from driftmark.llm import decontamination, embeddings, langid, minhash, packing, pitmanyor, sharding, suffixarray, suffixtree, toxicity
 from driftmark.llm.tables import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op5_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return suffixtree.remove_passages(read(spark, folder, "documents")).drop("kept")
 
 
+@query
+def op6_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    return pitmanyor.score(docs, pitmanyor.fit(docs.where(~held_out)), held_out)
+
+
 @query
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
