@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.graph import components, stars
@@ -153,6 +153,12 @@ def _verified(batches, size, threshold):
         yield solved()
 
 
+def fingerprint(text: Column) -> tuple[Column, Column]:
+    """Two numbers (h1, h2) that tell texts apart; null counts as empty."""
+    given = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(given).alias("h1"), (F.shiftleft(F.crc32(F.encode(given, "UTF-8")), 31) + F.length(given)).alias("h2")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 7,
                     block_docs: int = 192, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, class_id (smallest id of its class), n_class and kept for every row, with the text's fingerprint (h1, h2).
@@ -169,8 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` marks the row with the smallest id of its class (rows that repeat that id and text are all marked); null ids come last.  Null texts count as
     empty; texts without words are only like their own copies.  No rows give no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.shiftleft(F.crc32(F.encode("text", "UTF-8")), 31) + F.length("text")})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    marked = docs.select(F.col(id_col).alias("doc_id"), text, *fingerprint(F.col(text_col)))
     banded = stored(marked.select("h1", "h2", "text").mapInArrow(lambda b: _bands(b, size, bands, rows), "h1 long, h2 long, band long"), "bands")
     node = F.struct("h1", "h2")
     crowded = banded.groupBy("band").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low != high").select("band", "low")

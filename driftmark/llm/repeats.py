@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.tables import parts_for, stored
@@ -37,11 +37,14 @@ def word_units(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     return w.hash, w.first
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and text with a key without nulls: id (0 for null) and a hash of the text and of whether the id is null."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text with a key without nulls: id (0 for null) and a hash of the text and of whether the id is null.
+
+    The columns in ``keep`` travel along as the struct ``rest``.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = F.col(id_col).cast("long")
-    return docs.select(F.coalesce(given, F.lit(0).cast("long")).alias("id"), F.xxhash64(text, given.isNull()).alias("h"), given.alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(given, F.lit(0).cast("long")).alias("id"), F.xxhash64(text, given.isNull()).alias("h"), given.alias("doc_id"), text.alias("text"), *([F.struct(*keep).alias("rest")] if keep else []))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -202,12 +205,12 @@ def lists_of(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("id", "h").agg(F.collect_list(F.struct(*columns)).alias("spans"))
 
 
-def beside(docs: DataFrame, lists: DataFrame, *more: Column) -> DataFrame:
+def beside(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """Documents with their ``spans`` (null if none).
 
     Always a left join of the whole ``keyed`` table: within one query its exchange is made once and reused.
     """
-    return docs.join(lists, ["id", "h"], "left").select("id", "h", "doc_id", "text", "spans", *more)
+    return docs.join(lists, ["id", "h"], "left").select(*docs.columns, "spans")
 
 
 def span_arrays(spans, width: int) -> np.ndarray:

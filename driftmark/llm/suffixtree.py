@@ -153,10 +153,11 @@ def _kept(batches, size):
             for c, v in zip(cols, (doc_id.as_py(), n, removed, hashlib.sha256(kept).hexdigest(), kept.decode())):
                 c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        yield out.append_column("rest", batch.column("rest")) if "rest" in batch.schema.names else out
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, gram: int = 5, capacity: int = 1_000_000) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, gram: int = 5, capacity: int = 1_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (words joined by a space) of every document.
 
     Every word under a window of ``size`` words that also starts earlier (in a smaller id, or before in its document)
@@ -172,10 +173,10 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts have no words.  Null ids count as 0 in the order and stay null in the result; equal ids are ordered by
     their texts' hashes.  Rows that repeat id and text wholly are one document: all get its result.  No rows give no
-    rows.
+    rows.  Columns named in ``keep`` come back as the struct ``rest``.
     """
     spark = docs.sparkSession
-    named = keyed(docs, id_col, text_col)
+    named = keyed(docs, id_col, text_col, keep)
     runs = repeated_runs(named, word_units, size, gram)
     place = F.struct("id", "h", "start", "n")
     segments = stored(runs.groupBy("key", "seg").agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("times")), "segments")
@@ -187,5 +188,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = beside(named, lists_of(segments.select("one.*"), "start", "n")).mapInArrow(
         lambda b: _suffixes(b, size, frequent, bits, buckets), "bucket int, kind int, n int, blob binary")
     later = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_subtrees, "id long, h long, start int, n int")
-    return beside(named, lists_of(copies.unionByName(later), "start", "n")).mapInArrow(
-        lambda b: _kept(b, size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    if keep:
+        schema += f", rest {named.schema['rest'].dataType.simpleString()}"
+    return beside(named, lists_of(copies.unionByName(later), "start", "n")).mapInArrow(lambda b: _kept(b, size), schema)
