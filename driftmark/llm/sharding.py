@@ -24,7 +24,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, spread:
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
-    placed = dealt.withColumn("_own", own).join(offsets, same)
+    # rows that lie together by their keys alone must not stay so
+    placed = dealt.repartition(*keys, "_part").withColumn("_own", own).join(offsets, same)
     return placed.withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_p", "_before", "_own", *[f"_k{i}" for i in range(len(keys))])
 
 
