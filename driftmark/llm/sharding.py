@@ -57,15 +57,24 @@ def granted(asked: DataFrame, quota: list[int], into: str, gain: Column) -> Data
 
 
 def propagate(cells: DataFrame, room: list[int]) -> DataFrame:
-    """One round: documents move to the shard that holds most of their neighbours and has room.
+    """One round: documents move to the shards that hold most of their neighbours and have room.
 
-    cells: how many documents of a text are in a shard.  Returns the new cells with ``moved``.
+    cells: how many documents of a text are in a shard.  A text's shards are taken by their number of its documents,
+    most first (of equal ones the roomier), until what they hold and have room for is enough for all of the text; documents elsewhere ask to move
+    into those rooms in turn.  Returns the new cells with ``moved``.
     """
     whole = Window.partitionBy(*GROUP)
-    goal = F.max(F.when(of_shard(room, F.col("shard")) > 0, F.struct(F.col("n").alias("n"), (-F.col("shard")).alias("s")))).over(whole)
-    seen = cells.withColumn("_goal", goal).withColumn("goal", -F.col("_goal.s")).withColumn("held", F.col("_goal.n")).drop("_goal")
-    wants = (F.col("goal") != F.col("shard")) & ((F.col("n") < F.col("held")) | ((F.col("n") == F.col("held")) & (F.col("shard") > F.col("goal"))))
-    seen = seen.withColumn("wants", F.coalesce(wants, F.lit(False)))
+    ranked_cells = whole.orderBy(F.desc("n"), F.desc("room"), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    room_of = F.greatest(of_shard(room, F.col("shard")), F.lit(0).cast("long"))
+    seen = cells.withColumn("room", room_of).withColumn("held", F.sum("n").over(whole))
+    seen = seen.withColumn("wants", F.coalesce(F.sum(F.col("n") + F.col("room")).over(ranked_cells), F.lit(0)) >= F.col("held"))
+    asked = F.coalesce(F.sum(F.when(F.col("wants"), F.col("n"))).over(ranked_cells), F.lit(0))
+    open_room = F.when(~F.col("wants"), F.col("room"))
+    upto = F.coalesce(F.sum(open_room).over(ranked_cells), F.lit(0)) + open_room
+    seen = seen.withColumn("asked", asked).withColumn("upto", upto)
+    rooms = F.sort_array(F.collect_list(F.when(F.col("upto").isNotNull(), F.struct("upto", "shard"))).over(whole))  # one entry a shard at most
+    first = F.get(F.filter(rooms, lambda r: r["upto"] > F.col("asked")), F.lit(0))["shard"]
+    seen = seen.withColumn("goal", F.when(F.col("wants"), first)).withColumn("wants", F.col("goal").isNotNull())
     moves = granted(seen.where("wants"), room, "goal", F.col("held"))
     kept = seen.where("not wants").select(*GROUP, "shard", "n", F.lit(0).cast("long").alias("moved"))
     gone = moves.select(*GROUP, "shard", (F.col("n") - F.col("take")).alias("n"), F.lit(0).cast("long").alias("moved"))
@@ -78,8 +87,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, by the law ``rows``.
 
     Documents with equal texts are linked.  Each starts in a shard by a hash of its id and then moves, in up to
-    ``rounds`` joins, to the shard that holds most of its neighbours, as far as that shard's quota (its final row
-    count) has room; the largest groups are served first and a group larger than a shard fills several.  Documents
+    ``rounds`` joins, to the shards that hold most of its neighbours, as far as their quotas (final row counts) have
+    room; the largest groups are served first and a group larger than a shard fills several.  Documents
     without links, and those in shards that began over quota, then fill the rest, so that row counts differ by one
     at most.  Only one number a shard comes to the driver.
 
