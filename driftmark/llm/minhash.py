@@ -13,6 +13,7 @@ from driftmark.llm.graph import components, stars
 from driftmark.llm.tables import stored
 from driftmark.llm.words import SPACES, U64, Slice, mix, slices, span_hash, prefix_sums, windows, words
 
+DART_DOCS = 256
 STEP = U64(0xD1B54A32D192ED03)
 
 
@@ -76,7 +77,7 @@ def signatures(doc: np.ndarray, unit: np.ndarray, n: int, k: int) -> np.ndarray:
 def _bands(batches, size, bands, rows):
     for batch in batches:
         h1, h2, value = [], [], []
-        for piece in slices(batch.column(2)):
+        for piece in slices(batch.column(2), docs=DART_DOCS):  # each document throws its own darts
             doc, unit = shingle_units(piece, size)
             some = np.unique(doc)
             if not len(some):

@@ -78,8 +78,8 @@ class Slice:
         return len(self.offsets) - 1
 
 
-def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
-    """The documents of an Arrow string column in slices of about ``limit`` bytes; null is empty."""
+def slices(texts: pa.Array, limit: int = SLICE, docs: int = 1 << 16) -> Iterator[Slice]:
+    """The documents of an Arrow string column in slices of about ``limit`` bytes and at most ``docs``; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else pa.large_string())
@@ -91,7 +91,7 @@ def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
-        last = min(last, n)
+        last = min(last, first + docs, n)
         yield Slice(first, raw[at[first]:at[last]], at[first:last + 1] - at[first])
         first = last
 
