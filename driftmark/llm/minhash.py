@@ -181,13 +181,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = stored(marked.select("h1", "h2", "text").mapInArrow(lambda b: _bands(b, size, bands, rows), "h1 long, h2 long, band long"), "bands")
     node = F.struct("h1", "h2")
     crowded = banded.groupBy("band").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low != high").select("band", "low")
-    met = banded.join(crowded, "band").select(node.alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+    # both joins grow with the corpus: sort-merge at every size
+    met = banded.join(crowded.hint("merge"), "band").select(node.alias("a"), F.col("low").alias("b")).where("a != b").distinct()
     groups = components(met).select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), F.col("component.h1").alias("c1"), F.col("component.h2").alias("c2"))
 
     lowest = marked.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("low"))
     chosen = stored(lowest.join(groups, ["h1", "h2"]).select("h1", "h2", "c1", "c2", "low"), "met")
     same = (marked.h1 == chosen.h1) & (marked.h2 == chosen.h2) & marked.doc_id.eqNullSafe(chosen.low["id"])
-    texts = marked.join(chosen, same).select("c1", "c2", chosen.h1, chosen.h2, marked.text)
+    texts = marked.join(chosen.hint("merge"), same).select("c1", "c2", chosen.h1, chosen.h2, marked.text)
     bulk = texts.select("c1", "c2", F.length("text").alias("n")).groupBy("c1", "c2").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_bytes)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")
     split = texts.join(bulk, ["c1", "c2"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
