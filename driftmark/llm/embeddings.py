@@ -133,7 +133,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pairs = met.select("label", "dim", "code", "other").unionByName(codes.select("label", "dim", "code", F.col("code").alias("other")))
 
     counted = coded.join(codes, ["label", "dim", "code"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / block)))
-    blocks = stored(counted.groupBy("label", "dim", "code", "block").agg(F.collect_list(F.struct("vec_id", "copies", "embedding")).alias("members")), "vector-blocks")
+    dealt = counted.repartition("label", "dim", "code", "block")  # a frequent code's blocks go to many tasks
+    blocks = stored(dealt.groupBy("label", "dim", "code", "block").agg(F.collect_list(F.struct("vec_id", "copies", "embedding")).alias("members")), "vector-blocks")
     left = blocks.select("label", "dim", "code", F.col("block").alias("i"), F.col("members").alias("left"))
     right = blocks.select("label", "dim", F.col("code").alias("other"), F.col("block").alias("j"), F.col("members").alias("right"))
     facing = pairs.join(left, ["label", "dim", "code"]).join(right, ["label", "dim", "other"]).where("code < other or i <= j")
