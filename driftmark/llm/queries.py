@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontamination, embeddings, langid, minhash, packing, pitmanyor, sharding, suffixarray, suffixtree, toxicity
+from driftmark.llm import decontamination, embeddings, langid, minhash, oracles, packing, pitmanyor, sharding, suffixarray, suffixtree, toxicity
 from driftmark.llm.tables import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_embeddings": oracles.EMBEDDINGS,
+    "op3_suffix_array": oracles.SUBSTRINGS,
+    "op4_decontamination": oracles.DECONTAMINATION,
+    "op5_suffix_tree": oracles.PASSAGES,
+}
 
 
 def query(fn):
