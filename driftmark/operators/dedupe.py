@@ -178,24 +178,30 @@ def _walk(ttl: int):
     return run
 
 
+def key_text(keys: Sequence[str]) -> Column:
+    """The key as one text; nulls have a mark of their own, so (null, a) and (a, null) differ."""
+    return F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys])
+
+
 def ordered_fold(
     df: DataFrame, keys: Sequence[str], ts: str, row_id: str, quiet_seconds: int, make, price: str | None = None,
     unit: str = "DAY", slice_seconds: int | None = None,
 ) -> DataFrame:
     """Adds ``accepted`` by folding a policy over each key's rows in time order.
 
-    Only the key, time, price and id travel to Python; the verdict is joined back by ``row_id``.
+    Only the key, time, price and id travel to Python; the verdict is joined back by ``row_id``.  A null key is a
+    key like others.  A row without a time cannot be put in order: it is accepted and suppresses nothing.
     """
     policy = make()
     sliced = isinstance(policy, Cooldown)
-    slim = df.select(*keys, ts, row_id, *([price] if price else []))
+    slim = df.filter(F.col(ts).isNotNull()).select(*keys, ts, row_id, *([price] if price else []))
     if sliced:
         # of rows with one key, time and price only the first can be accepted: copies combine here
         slim = slim.groupBy(*keys, ts, *([price] if price else [])).agg(F.min(row_id).alias(row_id))
     runs = _runs(slim, keys, ts, row_id, quiet_seconds, unit)
     span = (slice_seconds or quiet_seconds * SLICES_PER_TTL) * 1_000_000
     rows = runs.select(
-        F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]).alias("_key"), RUN,
+        key_text(keys).alias("_key"), RUN,
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(row_id).alias("_id"),
         (F.col(price).cast("double") if price else F.lit(0.0)).alias("_price"),
     ).withColumn("_slice", F.floor(F.col("_at") / span) if sliced else F.lit(0).cast("long"))
@@ -211,7 +217,7 @@ def ordered_fold(
     placed = placed.repartition("_key", RUN, "_slice").sortWithinPartitions("_key", RUN, "_slice", F.desc("_entry"), "_at", "_id")
     verdicts = placed.mapInPandas(_fold(make), FOLD_COLUMNS)
     judged = df.join(verdicts.select(F.col("_id").alias(row_id), "accepted"), row_id, "left")
-    return judged.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    return judged.withColumn("accepted", F.coalesce("accepted", F.col(ts).isNull()))
 
 
 def alert_dedupe(alerts: DataFrame, ts: str, row_id: str, ttl_hours: int = params.DEDUPE_TTL_HOURS) -> DataFrame:

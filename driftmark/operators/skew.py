@@ -2,7 +2,7 @@
 
 A plain window over a key sorts every row of that key in a single task.  Here a key is cut into
 time slices; each slice is windowed on its own and a small per-slice summary carries the state over
-the borders.  The results equal those of the plain window.
+the borders.  The results equal those of the plain window: null keys are one key, and null times come first.
 """
 
 from __future__ import annotations
@@ -14,6 +14,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 SLICE = "_slice"
 
 
+def beside(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of the one side row of their key and slice; null keys and times are values like others."""
+    own = [*keys, SLICE]
+    side = side.withColumnsRenamed({k: f"_side_{k}" for k in own})
+    same = F.lit(True)
+    for k in own:
+        same = same & F.col(k).eqNullSafe(F.col(f"_side_{k}"))
+    return rows.join(side, same).drop(*[f"_side_{k}" for k in own])
+
+
 def with_slice(df: DataFrame, ts: str, unit: str) -> DataFrame:
     return df.withColumn(SLICE, F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz"))
 
@@ -29,7 +39,7 @@ def sliced_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     over_slices = W.partitionBy(*keys).orderBy(SLICE)
     borders = borders.select(*keys, SLICE, F.lag("last").over(over_slices).alias("border"))
     inside = W.partitionBy(*keys, SLICE).orderBy(*order)
-    rows = rows.join(borders, [*keys, SLICE])
+    rows = beside(rows, borders, keys)
     first = F.row_number().over(inside) == 1
     rows = rows.withColumns(
         {f"prev_{v}": F.when(first, F.col(f"border.{v}")).otherwise(F.lag(v).over(inside)) for v in values}
@@ -45,7 +55,7 @@ def sliced_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     sizes = sizes.select(*keys, SLICE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        rows.join(sizes, [*keys, SLICE])
+        beside(rows, sizes, keys)
         .withColumn(name, F.col("offset") + F.sum("_v").over(inside))
         .drop("offset", "_v", SLICE)
     )
@@ -62,15 +72,15 @@ def sliced_trailing(
     """Aggregates over the rows of the key within the trailing ``seconds``, both ends included.
 
     Every row is also handed to the next slice as context, so one slice and its context hold all
-    rows a range frame can reach.
+    rows a range frame can reach.  Rows without a time are a frame of their own.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = seconds * 1_000_000
     rows = df.withColumn("_at", micros).withColumn("_own", F.floor(F.col("_at") / span))
-    rows = rows.withColumn(SLICE, F.explode(F.array("_own", F.col("_own") + 1)))
+    rows = rows.withColumn(SLICE, F.explode(F.when(F.col("_own").isNull(), F.array("_own")).otherwise(F.array("_own", F.col("_own") + 1))))
     frame = W.partitionBy(*keys, SLICE).orderBy("_at").rangeBetween(-span, 0)
     rows = rows.withColumns({name: agg.over(frame) for name, agg in aggregates.items()})
-    return rows.filter(F.col(SLICE) == F.col("_own")).drop("_at", "_own", SLICE)
+    return rows.filter(F.col(SLICE).eqNullSafe(F.col("_own"))).drop("_at", "_own", SLICE)
 
 
 def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, name: str = "newest_rank") -> DataFrame:
