@@ -76,8 +76,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-# kept apart, since DuckDB 2.0 fails on dictionary columns that pass this join into text functions
-STORED = ("listings",)
+# computed once: views that queries read several times, and a join whose dictionary columns DuckDB 2.0 fails to pass
+# into text functions
+STORED = ("listings", "ranked", "history", "current_prices")
 
 
 def with_views(*names: str, body: str) -> str:

@@ -17,7 +17,7 @@ def profile(t: Tables):
     return B.product_profile(t.history(), t.as_of())
 
 
-PROFILE_SQL = """, prof AS (
+PROFILE_SQL = """, prof AS MATERIALIZED (
     SELECT product_id, count(*) AS observation_count, count(*) FILTER (price > 0) AS n,
            CAST(sum(price) FILTER (price > 0) AS DOUBLE) / nullif(count(*) FILTER (price > 0), 0) AS mean,
            coalesce(stddev_samp(CAST(price AS DOUBLE)) FILTER (price > 0), 0) AS std_dev,
