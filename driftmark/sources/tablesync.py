@@ -9,9 +9,13 @@ from driftmark.functions.numbers import MONEY
 
 
 def append_observations(observations: DataFrame, path: str, ts: str = "fetched_at") -> None:
-    """Appends to a parquet table partitioned by day, one shuffle so that a day gets few files."""
-    d = observations.withColumn("dt", F.to_date(ts))
-    d.repartition("dt", F.abs(F.hash(*observations.columns)) % 8).write.mode("append").partitionBy("dt").parquet(path)
+    """Appends to a parquet table partitioned by day.
+
+    One shuffle brings a day together; adaptive execution splits a large day and joins small ones, so that days get
+    few files and no day is bound to a fixed number of tasks.
+    """
+    d = observations.withColumn("dt", F.to_date(ts)).hint("rebalance", F.col("dt"))
+    d.write.mode("append").partitionBy("dt").parquet(path)
 
 
 def product_upsert(products: DataFrame, incoming: DataFrame, keys=("store", "sku"), fill=("url", "title", "msrp")) -> DataFrame:
@@ -59,7 +63,10 @@ def severity_color(percent: Column) -> Column:
 
 
 def alert_payload(deals: DataFrame, template: str = "template") -> DataFrame:
-    """Adds the JSON document of an alert; an object given as template replaces its top-level keys."""
+    """Adds the JSON document of an alert; an object given as template replaces its top-level keys.
+
+    Values of the template may be of any JSON kind and stay what they are; a template that is not an object is left out.
+    """
     deal = F.struct(
         "discount_percent", "confidence", "detection_method", "is_price_error", "reason", "category", "signals",
         F.col("baseline_price").cast("double").alias("baseline_price"), "baseline_source",
@@ -70,13 +77,12 @@ def alert_payload(deals: DataFrame, template: str = "template") -> DataFrame:
     )
     keep_nulls = {"ignoreNullFields": "false"}
     base = F.create_map(
-        F.lit("type"), F.lit('"price_alert"'), F.lit("timestamp"), F.to_json(F.array(F.col("sent_at").cast("string"))),
-        F.lit("deal"), F.to_json(deal, keep_nulls), F.lit("product"), F.to_json(product, keep_nulls),
+        F.lit("type"), F.parse_json(F.lit('"price_alert"')), F.lit("timestamp"), F.parse_json(F.concat(F.lit('"'), F.col("sent_at").cast("string"), F.lit('"'))),
+        F.lit("deal"), F.parse_json(F.to_json(deal, keep_nulls)), F.lit("product"), F.parse_json(F.to_json(product, keep_nulls)),
     )
-    own = F.from_json(template, "map<string,string>")
-    over = F.map_filter(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, v: F.length(k) > 0)
+    is_object = F.schema_of_variant(F.try_parse_json(template)).startswith("OBJECT")
+    own = F.when(is_object, F.from_json(template, "map<string,variant>"))
+    over = F.map_filter(F.coalesce(own, F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, v: F.length(k) > 0)
     plain = F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k))
-    # values of the template are kept as they stand when they are JSON, else quoted
-    shown = F.transform_values(over, lambda k, v: F.when(F.try_parse_json(v).isNotNull(), v).otherwise(F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"'))))
-    parts = F.transform(F.map_entries(F.map_concat(plain, shown)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), F.regexp_replace(e["value"], r'^\["(.*)"\]$', '"$1"')))
-    return deals.withColumn("payload", F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))).withColumn("color", severity_color(F.col("discount_percent")))
+    payload = F.to_json(F.map_concat(plain, over))
+    return deals.withColumn("payload", payload).withColumn("color", severity_color(F.col("discount_percent")))
