@@ -62,9 +62,10 @@ def extract_product_id(retailer: Column, url: Column) -> Column:
     return found
 
 
-def canonical_product_id(retailer: Column, product_id: Column, url: Column) -> Column:
-    """``retailer:id`` from the given id, the URL, or a hash of the URL."""
-    hashed = F.when(F.length(url) > 0, F.substring(F.sha1(url), 1, 16)).otherwise("unknown")
+def canonical_product_id(retailer: Column, product_id: Column, url: Column, digits: int | None = None) -> Column:
+    """``retailer:id`` from the given id, the URL, or a hash of the URL (whole, or its first ``digits``)."""
+    digest = F.sha1(url) if digits is None else F.substring(F.sha1(url), 1, digits)
+    hashed = F.when(F.length(url) > 0, digest).otherwise("unknown")
     raw = F.coalesce(F.nullif(product_id, F.lit("")), extract_product_id(retailer, url), hashed)
     return F.concat(F.lower(F.coalesce(retailer, F.lit(""))), F.lit(":"), raw)
 

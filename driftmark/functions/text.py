@@ -178,15 +178,12 @@ def title_template(df_brand: Column, df_model: Column, df_size: Column, df_color
     return F.when(F.length(joined) > 0, joined).otherwise(clean_title(title))
 
 
-def leftover_spec(title: Column, df_brand: Column, df_model: Column, limit: int = 100) -> Column:
-    """What is left of the title without brand and model, if longer than five characters.
-
-    The cut at ``limit`` characters is part of the result's definition.
-    """
+def leftover_spec(title: Column, df_brand: Column, df_model: Column, limit: int | None = None) -> Column:
+    """What is left of the title without brand and model, if longer than five characters; whole unless ``limit`` is given."""
     rest = F.when(df_brand.isNotNull(), F.trim(F.replace(title, df_brand, F.lit("")))).otherwise(title)
     rest = F.when(df_model.isNotNull(), F.trim(F.replace(rest, df_model, F.lit("")))).otherwise(rest)
     rest = normalize(rest, lowercase=False)
-    return F.when(F.length(rest) > 5, F.substring(rest, 1, limit))
+    return F.when(F.length(rest) > 5, rest if limit is None else F.substring(rest, 1, limit))
 
 
 # Words that mark a section of a store or a listing.

@@ -26,9 +26,9 @@ def latest_deals(observations: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def deals_page(deals: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of at most 200 rows and the count of all rows beside it."""
+    """One page of ``limit`` rows and the count of all rows beside it."""
     total = deals.agg(F.count("*")).scalar()
-    page = deals.orderBy(F.desc("fetched_at"), "product_id", "order_id", "line_no").offset(offset).limit(min(limit, 200))
+    page = deals.orderBy(F.desc("fetched_at"), "product_id", "order_id", "line_no").offset(offset).limit(limit)
     return page.withColumn("total_count", total)
 
 

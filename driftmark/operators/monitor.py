@@ -155,10 +155,10 @@ def dashboard_stats(products: DataFrame, alerts: DataFrame, now: Column) -> Data
     return products.agg(F.count("*").alias("products"), F.count_distinct("store").alias("stores")).withColumn("alerts_today", sent)
 
 
-def scan_log(rows: DataFrame, order, limit: int = 100) -> DataFrame:
-    """Newest entries with the price change in percent; titles are shown with at most 50 characters."""
+def scan_log(rows: DataFrame, order, limit: int = 100, shown: int = 50) -> DataFrame:
+    """Newest entries with the price change in percent; ``shown_title`` has at most ``shown`` characters of the title."""
     change = F.when(F.col("prev_price") > 0, (F.col("price") - F.col("prev_price")).cast("double") / F.col("prev_price").cast("double") * 100)
-    title = F.when(F.length("title") > 50, F.concat(F.substring("title", 1, 50), F.lit("..."))).otherwise(F.col("title"))
+    title = F.when(F.length("title") > shown, F.concat(F.substring("title", 1, shown), F.lit("..."))).otherwise(F.col("title"))
     return rows.orderBy(*order).limit(limit).withColumns({"price_change": change, "shown_title": title})
 
 

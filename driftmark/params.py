@@ -97,3 +97,6 @@ RULES = (
     (8, "any discount", "percent_drop", 0.93, True, 10),
     (9, "switched off", "absolute", 100000.0, False, 99),
 )
+
+#: A page with an error word is an error page only below this many characters: longer ones carry content.
+ERROR_PAGE_BELOW = 1000

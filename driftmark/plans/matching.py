@@ -96,11 +96,12 @@ def match_confidence(t: Tables):
 
 
 @query("f08_cross_store_match", with_emb("""
-    , p AS (SELECT vec_id AS product_1, (vec_id * 7 + k) % 500 AS product_2 FROM embeddings, generate_series(0, 39) AS g(k))
+    , p AS (SELECT vec_id AS product_1, (vec_id * 7 + k) % (SELECT count(*) FROM embeddings) AS product_2 FROM embeddings, generate_series(0, 39) AS g(k))
     SELECT product_1, product_2 FROM p WHERE EXISTS (SELECT 1 FROM far WHERE id = product_1 AND match_id = product_2 AND rank <= 5)"""))
 def cross_store_match(t: Tables):
     ids = t.raw("embeddings").select(F.col("vec_id").alias("product_1"))
-    pairs = ids.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).select("product_1", ((F.col("product_1") * 7 + F.col("k")) % 500).alias("product_2"))
+    every = ids.agg(F.count("*")).scalar()
+    pairs = ids.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).select("product_1", ((F.col("product_1") * 7 + F.col("k")) % every).alias("product_2"))
     return M.cross_store_match(pairs, neighbours(t, 5, True)).select("product_1", "product_2")
 
 
@@ -123,19 +124,20 @@ def semantic_dedupe(t: Tables):
     , latest AS (SELECT product_id, max(fetched_at) AS at FROM observations GROUP BY product_id),
     j AS (SELECT o.*, p.store, p.sku, p.msrp, count(*) OVER () AS total_count FROM observations o JOIN latest l ON l.product_id = o.product_id AND l.at = o.fetched_at JOIN products p ON p.product_id = o.product_id)
     SELECT product_id, store, sku, price, order_id, line_no, fetched_at, {r('(original_price - price) / CAST(original_price AS DOUBLE) * 100')} AS discount_percent, total_count
-    FROM j ORDER BY fetched_at DESC, product_id, order_id, line_no LIMIT 50 OFFSET 20"""))
+    FROM j ORDER BY fetched_at DESC, product_id, order_id, line_no LIMIT 300 OFFSET 20"""))
 def latest_deals_join(t: Tables):
     d = V.latest_deals(t.observations(), t.products())
-    page = V.deals_page(d, limit=50, offset=20)
+    page = V.deals_page(d, limit=300, offset=20)
     return page.select("product_id", "store", "sku", "price", "order_id", "line_no", "fetched_at", round_to("discount_percent").alias("discount_percent"), "total_count")
 
 
 @query("f11_activity_join", with_views("observations", "products", body="""
     , top AS (SELECT * FROM observations ORDER BY fetched_at DESC, order_id DESC, line_no DESC, supp_id DESC LIMIT 200)
     SELECT top.product_id, coalesce(title, 'Unknown') AS title, coalesce(store, 'Unknown') AS store, coalesce(sku, 'Unknown') AS sku, price, fetched_at
-    FROM top LEFT JOIN (SELECT * FROM products WHERE product_id % 5 <> 0) p ON p.product_id = top.product_id"""))
+    FROM top LEFT JOIN (SELECT product_id, CASE WHEN product_id % 5 <> 0 THEN title END AS title, CASE WHEN product_id % 5 <> 0 THEN store END AS store, CASE WHEN product_id % 5 <> 0 THEN sku END AS sku FROM products) p ON p.product_id = top.product_id"""))
 def activity_join(t: Tables):
-    known = t.products().filter(F.col("product_id") % 5 != 0)
+    # every fifth product has lost its facts
+    known = t.products().withColumns({c: F.when(F.col("product_id") % 5 != 0, F.col(c)) for c in ("title", "store", "sku")})
     d = V.recent_activity(t.observations(), known, ["fetched_at", "order_id", "line_no", "supp_id"], 200)
     return d.select("product_id", "title", "store", "sku", "price", "fetched_at")
 

@@ -268,12 +268,12 @@ def dashboard_stats(t: Tables):
     , s AS (SELECT o.*, lag(price) OVER (PARTITION BY product_id ORDER BY fetched_at, order_id, line_no, supp_id, ext_price, qty) AS prev_price FROM observations o),
     top AS (SELECT * FROM s ORDER BY fetched_at DESC, order_id DESC, line_no DESC, supp_id DESC, product_id LIMIT 100),
     n AS (SELECT top.*, repeat(title || ' ', 3) AS t FROM top JOIN products USING (product_id))
-    SELECT product_id, order_id, line_no, price, prev_price, {r('(price - prev_price) / CAST(prev_price AS DOUBLE) * 100')} AS price_change, CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END AS shown_title FROM n"""))
+    SELECT product_id, order_id, line_no, price, prev_price, {r('(price - prev_price) / CAST(prev_price AS DOUBLE) * 100')} AS price_change, CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END AS shown_title, t AS title FROM n"""))
 def scan_log(t: Tables):
     seq = skew.sliced_lag(t.observations(), ["product_id"], t.NEWEST, ["price"], "YEAR")
     top = seq.join(t.products().select("product_id", F.repeat(F.concat("title", F.lit(" ")), 3).alias("title")), "product_id")
     d = V.scan_log(top, [F.desc("fetched_at"), F.desc("order_id"), F.desc("line_no"), F.desc("supp_id"), F.asc("product_id")])
-    return d.select("product_id", "order_id", "line_no", "price", "prev_price", round_to("price_change").alias("price_change"), "shown_title")
+    return d.select("product_id", "order_id", "line_no", "price", "prev_price", round_to("price_change").alias("price_change"), "shown_title", "title")
 
 
 @query("i12_job_rollup", f"""
@@ -326,10 +326,11 @@ def false_positive_rate(t: Tables):
 
 
 @query("i17_confidence_adjustment", with_deals(f"""
-    , fp AS (SELECT p.store, count(*) FILTER (o_orderstatus = 'P') / count(*) AS rate FROM orders JOIN products p ON p.product_id = o_custkey WHERE p.store <> 'woot' GROUP BY p.store)
+    , fp AS (SELECT nullif(p.store, 'woot') AS store, count(*) FILTER (o_orderstatus = 'P') / count(*) AS rate FROM orders JOIN products p ON p.product_id = o_custkey GROUP BY 1)
     SELECT product_id, {r('conf * CASE WHEN rate > 0.5 THEN 0.5 WHEN rate > 0.3 THEN 0.7 WHEN rate > 0.1 THEN 0.9 ELSE 1.0 END')} AS adjusted_confidence FROM deals LEFT JOIN fp USING (store)"""))
 def confidence_adjustment(t: Tables):
-    d = t.alerts().join(t.products().select("product_id", "store"), "product_id").filter("store <> 'woot'")
+    # alerts of one store come without it, so its deals have no rate
+    d = t.alerts().join(t.products().select("product_id", F.nullif("store", F.lit("woot")).alias("store")), "product_id")
     out = V.adjust_confidence(found_deals(t), V.false_positive_rate(d, ["store"]))
     return out.select("product_id", round_to("adjusted_confidence").alias("adjusted_confidence"))
 
@@ -369,12 +370,13 @@ def token_cost(t: Tables):
 
 
 @query("i21_stale_jobs", with_views("ref_time", body=JOB_SQL + """
-    , n AS (SELECT max(started_at) + INTERVAL 1 HOUR AS now FROM jobs), hb AS (SELECT strftime(o_orderdate, '%Y-%m') AS run_id, max(o_orderdate + INTERVAL 40 MINUTE) AS beat FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+    , n AS (SELECT max(started_at) + INTERVAL 1 HOUR AS now FROM jobs), hb AS (SELECT strftime(o_orderdate, '%Y-%m') AS run_id, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 40 MINUTE END) AS beat FROM orders GROUP BY 1),
     s AS (SELECT jobs.*, now, CASE WHEN status = 'running' THEN CASE WHEN epoch(now - started_at) > 7200 * 24 * 400 THEN 'exceeded max duration' WHEN beat IS NULL AND epoch(now - started_at) > 300 THEN 'missing heartbeat' WHEN epoch(now - beat) > 300 THEN 'stale heartbeat' END END AS why FROM jobs LEFT JOIN hb USING (run_id), n)
     SELECT run_id, CASE WHEN why IS NULL THEN status ELSE 'failed' END AS status, why AS stale_reason, CASE WHEN why IS NULL THEN completed_at ELSE now END AS completed_at FROM s"""))
 def stale_jobs(t: Tables):
     j = jobs(t)
     now = j.agg(F.timestamp_add("HOUR", F.lit(1), F.max("started_at"))).scalar()
-    o = t.raw("orders").filter("o_orderkey % 2 = 0")
-    beats = o.select(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), F.timestamp_add("MINUTE", F.lit(40), F.col("o_orderdate")).alias("beat_at"))
+    # every second beat has no time
+    beat = F.when(F.col("o_orderkey") % 2 == 0, F.timestamp_add("MINUTE", F.lit(40), F.col("o_orderdate")))
+    beats = t.raw("orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), beat.alias("beat_at"))
     return V.stale_jobs(j, beats, now, limit_seconds=7200 * 24 * 400).select("run_id", "status", "stale_reason", "completed_at")

@@ -105,11 +105,13 @@ def sitemap_docs(t: Tables):
     # an index names at most fifteen sitemaps
     index = leaves.groupBy("store", "block").agg(F.concat(F.lit("<sitemapindex>"), locs, F.lit("</sitemapindex>")).alias("xml"))
     index = index.select("store", "block", F.concat(F.lit("https://s.example/"), "store", F.lit("-"), F.col("block").cast("string"), F.lit(".xml")).alias("doc_url"), "xml")
-    return leaves.unionByName(index), index.select("doc_url")
+    # and one more index per store names the store's indexes
+    top = index.groupBy("store").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_url")), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml"))
+    top = top.select("store", F.lit(0).cast("long").alias("block"), F.concat(F.lit("https://s.example/"), "store", F.lit(".xml")).alias("doc_url"), "xml")
+    return leaves.unionByName(index).unionByName(top), top.select("doc_url")
 
 
-SITEMAP_SQL = """, leaf AS (SELECT store, product_id // 100 AS n, url FROM products WHERE product_id % 3 <> 0), ord AS (SELECT store, n, dense_rank() OVER (PARTITION BY store, n // 15 ORDER BY n) AS rk FROM (SELECT DISTINCT store, product_id // 100 AS n FROM products)),
-    site AS (SELECT DISTINCT 'https://s.example/' || store || '-' || (n // 15) || '.xml' AS root, url FROM leaf JOIN ord USING (store, n) WHERE rk <= 10)
+SITEMAP_SQL = """, site AS (SELECT DISTINCT 'https://s.example/' || store || '.xml' AS root, url FROM products WHERE product_id % 3 <> 0)
 """
 
 

@@ -104,7 +104,7 @@ def sql_first(patterns, col: str) -> str:
 
 CANON_SQL = "lower(store) || ':' || coalesce(CASE lower(store) " + " ".join(
     f"WHEN '{s}' THEN {sql_first(p, 'url')}" for s, p in I.ID_PATTERNS.items()
-) + " END, left(sha1(url), 16))"
+) + " END, sha1(url))"
 
 
 @query("b04_canonical_product_id", with_views("products", body=URL_SQL + f""", c AS (SELECT product_id, {CANON_SQL} AS canonical FROM urls)
@@ -276,7 +276,7 @@ def attribute_merge(t: Tables):
     , s AS (SELECT product_id, concat_ws(' - ', brand, model, 'Size: ' || size, 'Color: ' || color) AS joined, attr_title,
         CASE WHEN brand IS NULL THEN attr_title ELSE trim(replace(attr_title, brand, '')) END AS x, model FROM attrs),
     y AS (SELECT *, trim(regexp_replace(CASE WHEN model IS NULL THEN x ELSE trim(replace(x, model, '')) END, '\s+', ' ', 'g')) AS rest FROM s)
-    SELECT product_id, CASE WHEN joined <> '' THEN joined ELSE attr_title END AS template, CASE WHEN length(rest) > 5 THEN left(rest, 100) END AS spec FROM y"""))
+    SELECT product_id, CASE WHEN joined <> '' THEN joined ELSE attr_title END AS template, CASE WHEN length(rest) > 5 THEN rest END AS spec FROM y"""))
 def title_template(t: Tables):
     d = T.with_attributes(attr_title(t), "attr_title")
     c = F.col

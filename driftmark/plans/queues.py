@@ -87,17 +87,18 @@ STATUSES = ("pending", "verified", "scanning_datacenter", "rejected", "scanning_
 def candidates(t: Tables):
     from driftmark.sources.tables import pick
 
-    d = G.candidate_priority(t.signals()).filter(F.col("signal_id") % 3 == 0)
+    d = G.candidate_priority(t.signals())
+    status = F.when(F.col("signal_id") % 3 == 0, pick(STATUSES, F.col("signal_id") % 5)).otherwise("expired")
     return d.select(
         F.col("signal_id").alias("candidate_id"), F.col("signal_id").alias("source_signal_id"), "retailer", "product_id", "priority_score",
-        pick(STATUSES, F.col("signal_id") % 5).alias("status"), F.col("detected_at").alias("created_at"), "detected_price", "signal_type",
+        status.alias("status"), F.col("detected_at").alias("created_at"), "detected_price", "signal_type",
     )
 
 
 PRIORITY_SQL = """, pr AS (SELECT *, (1 - detected_price / CAST(nullif(meta_baseline, 0) AS DOUBLE)) * 100 AS off FROM signals),
     prio AS (SELECT *, (CASE WHEN detected_price <= 1 THEN 10 ELSE 0 END + CASE WHEN off >= 70 THEN 8 WHEN off >= 50 THEN 5 ELSE 0 END + CASE WHEN meta_changes >= 2 THEN 5 ELSE 0 END
       + CASE WHEN detected_price >= 200 THEN 3 ELSE 0 END + CASE WHEN signal_type IN ('new_low', 'clearance') THEN 2 ELSE 0 END)::DOUBLE AS priority_score FROM pr),
-    cand AS (SELECT *, (['pending', 'verified', 'scanning_datacenter', 'rejected', 'scanning_residential'])[1 + signal_id % 5] AS status FROM prio WHERE signal_id % 3 = 0)
+    cand AS (SELECT *, CASE WHEN signal_id % 3 = 0 THEN (['pending', 'verified', 'scanning_datacenter', 'rejected', 'scanning_residential'])[1 + signal_id % 5] ELSE 'expired' END AS status FROM prio)
 """
 
 

@@ -62,24 +62,29 @@ def read_xml_feed(spark: SparkSession, path: str, store: str) -> DataFrame:
     return _feed_rows(d.select(F.lit(store).alias("store"), "title", F.trim("link").alias("url"), "price", "id", "image_link", "image"))
 
 
-# Parts of a URL that mark a product page, and how many nested sitemaps are followed.
+# Parts of a URL that mark a product page.
 PRODUCT_URL_PARTS = ("/dp/", "/product/", "/p/", "/item/", "/products/", "?sku=", "?product_id=")
-NESTED_SITEMAPS = 10
 
 
 def sitemap_urls(docs: DataFrame, roots: DataFrame, cap: int | None = None, parts=PRODUCT_URL_PARTS) -> DataFrame:
-    """Product URLs of sitemaps and of the first ten sitemaps an index names.
+    """Product URLs of sitemaps and of all sitemaps that indexes lead to, indexes within indexes too.
 
-    ``docs`` holds ``doc_url, xml`` of all fetched documents, ``roots`` the ``doc_url`` to start from.
+    ``docs`` holds ``doc_url, xml`` of all fetched documents, ``roots`` the ``doc_url`` to start from.  One small job
+    per level of indexes tells whether another follows; an index met again is not followed twice.
     ``cap`` bounds the URLs per root where the caller wants a bounded scan; by default all are kept.
     """
     locs = F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))
     d = docs.select("doc_url", F.col("xml").rlike(r"(?i)<sitemapindex\b").alias("is_index"), locs.alias("locs"))
-    start = roots.select("doc_url").join(d, "doc_url")
-    flat = start.filter(~F.col("is_index")).select(F.col("doc_url").alias("root"), "locs")
-    nested = start.filter("is_index").select(F.col("doc_url").alias("root"), F.explode(F.slice("locs", 1, NESTED_SITEMAPS)).alias("doc_url"))
-    deep = nested.join(d.filter(~F.col("is_index")), "doc_url").select("root", "locs")
-    urls = flat.unionByName(deep).select("root", F.explode("locs").alias("url"))
+    level = seen = roots.select(F.col("doc_url").alias("root"), "doc_url").distinct()
+    leaves = None
+    while leaves is None or not level.isEmpty():
+        here = level.join(d, "doc_url")
+        flat = here.filter(~F.col("is_index")).select("root", "locs")
+        leaves = flat if leaves is None else leaves.unionByName(flat)
+        named = here.filter("is_index").select("root", F.explode("locs").alias("doc_url")).distinct()
+        level = named.join(seen, ["root", "doc_url"], "left_anti")
+        seen = seen.unionByName(level)
+    urls = leaves.select("root", F.explode("locs").alias("url"))
     wanted = F.lit(False)
     for p in parts:
         wanted = wanted | F.contains(F.lower("url"), F.lit(p))
