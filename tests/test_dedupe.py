@@ -70,3 +70,20 @@ def test_malformed_subscription_matches_all(spark):
     )
     got = sorted((r["webhook_id"], r["product_id"]) for r in G.subscriber_fanout(deals, subs).collect())
     assert got == [(1, 1), (1, 2), (2, 2), (4, 1)]
+
+
+def test_null_keys_and_times(spark):
+    """A null key is a key of its own, (null, a) is not (a, null), and rows without a time pass."""
+    base = dt.datetime(2024, 1, 1)
+    rows, rng = [], random.Random(3)
+    for i in range(600):
+        store, sku = rng.choice([(None, "a"), ("a", None), (None, None), ("a", "a")])
+        rows.append((store, sku, base + dt.timedelta(minutes=rng.randint(0, 3000)), i, float(rng.randint(1, 9))))
+    timeless = [("a", "a", None, 1000, 5.0), (None, None, None, 1001, 5.0)]
+    df = spark.createDataFrame(rows + timeless, "store string, sku string, at timestamp, id long, price double")
+    ttl = 1800
+    got = G.ordered_fold(df, ["store", "sku"], "at", "id", ttl, lambda: G.Cooldown(ttl * 1_000_000, True), "price", slice_seconds=4000)
+    want = loop([(str((s, k)), at, i, p) for s, k, at, i, p in rows], ttl, True)
+    accepted = sorted(r["id"] for r in got.filter("accepted").collect())
+    assert accepted == sorted(want + [1000, 1001])
+    assert got.count() == len(rows) + 2
