@@ -231,7 +231,7 @@ def _removed(batches, size):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, gram: int = 48, block: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, gram: int = 48, block: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every document.
 
     Every byte under a ``size``-byte string that also starts anywhere else, in this document or another, is removed.
