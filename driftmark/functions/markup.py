@@ -13,6 +13,30 @@ from pyspark.sql import Column, functions as F
 _PART = re.compile(r":not\(([^)]*)\)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^]?=)\"?([^\"\]]*)\"?)?\]|^([a-zA-Z][\w-]*)")
 
 
+# The character entities that texts and attributes of shop pages use; the ampersand comes last.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "),
+    ("&#x2F;", "/"), ("&#47;", "/"), ("&trade;", "™"), ("&reg;", "®"), ("&copy;", "©"), ("&deg;", "°"), ("&ndash;", "–"), ("&mdash;", "—"),
+    ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&eacute;", "é"), ("&euro;", "€"), ("&pound;", "£"), ("&#38;", "&"), ("&amp;", "&"),
+)
+_TAG_END = r"(?=[^<>\"]*+(?:\"[^<>\"]*+\"[^<>\"]*+)*+>)"
+
+
+def canonical(html: Column) -> Column:
+    """The page with single-quoted and bare attribute values in double quotes; only text within tags changes."""
+    single = F.regexp_replace(html, r"(\s[\w:-]+)\s*=\s*'([^'\"<>]*)'(?=[^<>]*>)", '$1="$2"')
+    bare = F.regexp_replace(single, r"(\s[\w:-]+)\s*=\s*([^\s\"'<>=`]++)(?=[\s>])" + _TAG_END, '$1="$2"')
+    return F.when(html.rlike(r"\s[\w:-]+\s*=\s*[^\s\"]"), bare).otherwise(html)
+
+
+def decode(text: Column) -> Column:
+    """Character entities as characters."""
+    out = text
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
 def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() or c in "_ " else "\\" + c for c in text)
 

@@ -176,19 +176,25 @@ def listing_pages(t: Tables):
         for mark, value in (("{id9}", F.lpad(k, 9, "0")), ("{id}", k), ("{title}", F.col("title")), ("{price}", F.col("current_price").cast("string")), ("{was}", F.col("original_price").cast("string"))):
             x = F.replace(x, F.lit(mark), value)
         item = item.when(F.col("store") == store, x)
+    # a third of the items is written with single quotes, titles hold entities, and some links hold no id
+    n = F.col("product_id")
+    item = F.when((F.col("store") == "woot") & (n % 5 == 0), F.replace(item, F.lit("/offers/w-"), F.lit("/deals?a=1&amp;x="))).otherwise(item)
+    item = F.when(n % 4 == 0, F.replace(item, F.col("title"), F.concat("title", F.lit(" &amp; more")))).otherwise(item)
+    item = F.when(n % 3 == 1, F.replace(item, F.lit('"'), F.lit("'"))).otherwise(item)
     d = t.listings().select("store", F.floor(F.col("product_id") / 180).alias("n"), F.struct(F.col("product_id").alias("k"), item.alias("h")).alias("x"))
     d = d.groupBy("store", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "\n").alias("items"))
     head = F.lit("<html><head><title>List</title></head><body><nav><a href=\"/\">Home</a></nav>")
     return d.select(F.concat("store", F.lit("-"), F.col("n").cast("string")).alias("page_id"), "store", F.concat(head, "items", F.lit("</body></html>")).alias("html"))
 
 
-FORM_SKU = {"amazon_us": "'B' || lpad(CAST(product_id AS VARCHAR), 9, '0')", "saveyourdeals": "'B' || lpad(CAST(product_id AS VARCHAR), 9, '0')", "newegg": "'N' || product_id", "woot": "'w-' || product_id"}
+FORM_SKU = {"amazon_us": "'B' || lpad(CAST(product_id AS VARCHAR), 9, '0')", "saveyourdeals": "'B' || lpad(CAST(product_id AS VARCHAR), 9, '0')", "newegg": "'N' || product_id", "slickdeals": "'sd-' || product_id",
+            "woot": "'woot-' || CASE WHEN product_id % 5 = 0 THEN left(md5('/deals?a=1&x=' || product_id), 10) ELSE 'w-' || product_id END"}
 FORM_URL = {s: f.split('href="')[1].split('"')[0] for s, f in ITEM_FORMS.items()}
 
 
 @query("a10_page_listings", with_views("listings", body="""
-    SELECT store || '-' || (product_id // 180) AS page_id, store, CASE store """ + " ".join(f"WHEN '{s}' THEN {x}" for s, x in FORM_SKU.items()) + """ ELSE CAST(product_id AS VARCHAR) END AS sku, title,
-      replace(replace(CASE store """ + " ".join(f"WHEN '{s}' THEN '{u if u.startswith('http') else P.LAYOUTS[s].base_url + u}'" for s, u in FORM_URL.items()) + """ END, '{id9}', lpad(CAST(product_id AS VARCHAR), 9, '0')), '{id}', CAST(product_id AS VARCHAR)) AS url,
+    SELECT store || '-' || (product_id // 180) AS page_id, store, CASE store """ + " ".join(f"WHEN '{s}' THEN {x}" for s, x in FORM_SKU.items()) + """ ELSE CAST(product_id AS VARCHAR) END AS sku, title || CASE WHEN product_id % 4 = 0 THEN ' & more' ELSE '' END AS title,
+      replace(replace(CASE WHEN store = 'woot' AND product_id % 5 = 0 THEN 'https://www.woot.com/deals?a=1&x={id}' ELSE CASE store """ + " ".join(f"WHEN '{s}' THEN '{u if u.startswith('http') else P.LAYOUTS[s].base_url + u}'" for s, u in FORM_URL.items()) + """ END END, '{id9}', lpad(CAST(product_id AS VARCHAR), 9, '0')), '{id}', CAST(product_id AS VARCHAR)) AS url,
       CAST(current_price AS DECIMAL(20,4)) AS current_price, CASE WHEN store = 'costco' THEN NULL ELSE CAST(original_price AS DECIMAL(20,4)) END AS original_price FROM listings"""))
 def page_listings(t: Tables):
     return P.page_listings(listing_pages(t), P.layout_table(t.spark)).select("page_id", "store", "sku", "title", "url", "current_price", "original_price")

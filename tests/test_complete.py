@@ -70,3 +70,23 @@ def test_long_specs_are_whole(spark):
     title = "Acme " + " ".join(f"word{i}" for i in range(60))
     row = spark.createDataFrame([(title,)], "t string").select(text.leftover_spec(F.col("t"), F.lit("Acme"), F.lit(None).cast("string")).alias("s")).first()
     assert row.s == title[5:]
+
+
+def test_markup_of_any_quoting(spark):
+    from driftmark.functions import markup as H
+    from driftmark.operators import pages as P
+
+    page = """<ul><li class=sku-item data-sku-id='11'><img data-src=/i/11.png><h4 class='sku-title'><a href='/site/11.p?a=1&amp;b=2'>A &amp; B &quot;C&quot;</a></h4>
+      <div class="priceView-customer-price"><span>$5.00</span></div></li>
+      <li class="sku-item"><span class='sku-value'>22</span><h4 class="sku-title" title="x y=z w"><a href="/site/22.p">Second</a></h4></li></ul>"""
+    df = spark.createDataFrame([("p", "bestbuy", page)], "page_id string, store string, html string")
+    rows = {r.sku: r for r in P.page_listings(df, P.layout_table(spark)).collect()}
+    assert set(rows) == {"11", "22"}
+    assert rows["11"].title == 'A & B "C"' and rows["11"].url == "https://www.bestbuy.com/site/11.p?a=1&b=2"
+    assert rows["11"].image_url == "https://www.bestbuy.com/i/11.png" and rows["22"].image_url is None
+    forms = ["<a b='c' d=e f=\"g h=i j\">k =l 'm'</a>", "plain x=1 > y", '<script>{"a": "b=c"}</script><i x=\'y\'>']
+    want = ['<a b="c" d="e" f="g h=i j">k =l \'m\'</a>', "plain x=1 > y", '<script>{"a": "b=c"}</script><i x="y">']
+    got = spark.createDataFrame(list(enumerate(forms)), "i int, h string").select("i", H.canonical(F.col("h")).alias("c")).orderBy("i").collect()
+    assert [r.c for r in got][::2] == want[::2]
+    link = spark.createDataFrame([("<a aria-label='Next' href='?page=2&amp;q=a'>n</a>",)], "h string").select(P.next_page(F.col("h"), F.lit("https://s.example")).alias("n")).first()
+    assert link.n == "https://s.example/?page=2&q=a"
