@@ -10,15 +10,8 @@ from driftmark.operators import baseline as B, skew
 
 
 def quartile_fences(profile: DataFrame) -> DataFrame:
-    """Positional quartiles ``s[n // 4]`` and ``s[3n // 4]`` and the lower fence, from 4 prices on."""
-    return profile.filter(F.col("n") >= 4).select("product_id", "q1", "q3").withColumn("n", F.lit(4)).withColumn("lower_bound", lower_fence()).drop("n")
-
-
-def recent_mean(history: DataFrame, order, rows: int = 5) -> DataFrame:
-    """Mean of the positive prices among the newest rows of each product."""
-    newest = skew.newest_rows(history, ["product_id"], order, rows)
-    p = F.when(F.col("price") > 0, F.col("price"))
-    return newest.groupBy("product_id").agg(mean_of_decimals(p).alias("recent_mean"))
+    """Positional quartiles ``s[n // 4]`` and ``s[3n // 4]`` and the lower fence, from 4 prices on, beside the current price."""
+    return profile.filter(F.col("n") >= 4).select("product_id", "q1", "q3", "current_price").withColumn("n", F.lit(4)).withColumn("lower_bound", lower_fence()).drop("n")
 
 
 def lower_fence() -> Column:
@@ -67,20 +60,32 @@ def below_minimum(d: DataFrame) -> DataFrame:
     )
 
 
-METHODS = (("z_hit", "z_score"), ("iqr_hit", "iqr"), ("rate_hit", "rate_of_change"), ("min_hit", "below_minimum"))
+#: (fired, score, name) of the methods; the learned ones are those of ``learning``, whose vote counts as one more.
+METHODS = (
+    ("z_hit", "z_points", "z_score"), ("iqr_hit", "iqr_points", "iqr"), ("rate_hit", "rate_points", "rate_of_change"), ("min_hit", "min_points", "below_minimum"),
+)
+LEARNED_METHODS = (
+    ("isolation_hit", "isolation_score", "isolation_forest"), ("mixture_hit", "mixture_score", "mixture"),
+    ("reconstruction_hit", "reconstruction_score", "reconstruction"), ("ensemble_hit", "ensemble_score", "ensemble"),
+)
+
 
+def fuse_scores(d: DataFrame, methods=METHODS) -> DataFrame:
+    """Mean of the scores of the methods that fired, raised when two or three of them agree.
 
-def fuse_scores(d: DataFrame) -> DataFrame:
-    """Mean of the scores of the methods that fired, raised when two or three of them agree."""
-    hits = sum((F.col(c).cast("int") for c, _ in METHODS), F.lit(0))
-    points = sum((F.coalesce(c, F.lit(0.0)) for c in ("z_points", "iqr_points", "rate_points", "min_points")), F.lit(0.0))
+    With ``METHODS + LEARNED_METHODS`` the columns of the learned detectors and of ``learning.ensemble`` take part; a
+    method without a verdict for a row (NULL) has not fired.
+    """
+    fired = [F.coalesce(F.col(hit), F.lit(False)) for hit, _, _ in methods]
+    hits = sum((f.cast("int") for f in fired), F.lit(0))
+    points = sum((F.when(f, F.coalesce(score, F.lit(0.0))).otherwise(0.0) for f, (_, score, _) in zip(fired, methods)), F.lit(0.0))
     d = d.withColumns({"n_methods": hits, "_points": points})
     k, one = F.col("n_methods"), F.lit(1.0)
     score = (
         F.when(k == 0, 0.0).when(k == 1, F.col("_points")).when(k == 2, F.least(one, F.col("_points") / 2 * 1.2))
         .otherwise(F.least(one, F.least(one, F.col("_points") / k * 1.2) * 1.1))
     )
-    methods = F.array_compact(F.array(*[F.when(F.col(c), F.lit(name)) for c, name in METHODS]))
+    methods = F.array_compact(F.array(*[F.when(f, F.lit(name)) for f, (_, _, name) in zip(fired, methods)]))
     # a score above one half needs a method that fired, so the count alone decides
     d = d.withColumns({"anomaly_score": score, "methods": methods, "is_anomaly": k > 0}).drop("_points")
     significant = F.col("is_anomaly") & ((k >= 2) | (F.col("anomaly_score") >= 0.8))
@@ -151,12 +156,20 @@ def price_features(d: DataFrame, price: str, original: str, clamp_range: bool) -
     )
 
 
-def market_compare(history: DataFrame, products: DataFrame, current: DataFrame, as_of: Column, key: str = "market_key") -> DataFrame:
-    """Current price against all recent prices of the same market key over all stores."""
-    recent = history.filter(F.col("fetched_at") >= B.days_before(as_of, params.MARKET_WINDOW_DAYS))
+def market_compare(observations: DataFrame, products: DataFrame, current: DataFrame, as_of: Column, key: str = "market_key") -> DataFrame:
+    """Current price against all recent prices before it of the same market key over all stores.
+
+    Prices are counted first; each product's newest observation, which ``current`` holds, is then taken out of the
+    counts, so the observations are not joined with their newest ones.
+    """
+    start = B.days_before(as_of, params.MARKET_WINDOW_DAYS)
+    recent = observations.filter((F.col("fetched_at") >= start) & F.col("price").isNotNull())
+    counts = recent.groupBy("product_id", "price").agg(F.count("*").alias("n"))
+    own = F.coalesce((F.col("price") == F.col("current_price")) & (F.col("current_at") >= start), F.lit(False)).cast("int")
+    counts = counts.join(current.select("product_id", "current_price", "current_at"), "product_id").withColumn("n", F.col("n") - own).filter("n > 0")
     # per product first: the second aggregate then reads at most one row per product
-    per_product = recent.groupBy("product_id").agg(
-        F.count("price").alias("n"), F.sum("price").alias("s"), F.sum((F.col("price") * F.col("price")).cast("decimal(38,4)")).alias("ss"),
+    per_product = counts.groupBy("product_id").agg(
+        F.sum("n").alias("n"), F.sum((F.col("price") * F.col("n")).cast("decimal(38,2)")).alias("s"), F.sum((F.col("price") * F.col("price") * F.col("n")).cast("decimal(38,4)")).alias("ss"),
         F.min("price").alias("lo"), F.max("price").alias("hi"),
     )
     market = (

@@ -43,11 +43,13 @@ CURRENT = {
 
 
 def newest_and_recent(observations: DataFrame, order, recent: int = 5) -> DataFrame:
-    """Each product's newest observation as ``current_…`` and the mean of the positive prices of the
-    ``recent`` ones before it."""
+    """Each product's newest observation as ``current_…``, the price and time of the one before it, and the mean of
+    the positive prices of the ``recent`` ones before it."""
     rows = skew.newest_rows(observations, ["product_id"], order, recent + 1)
     first = F.col("newest_rank") == 1
     picked = [F.max(F.when(first, F.col(c))).alias(name) for c, name in CURRENT.items()]
+    second = F.col("newest_rank") == 2
+    picked += [F.max(F.when(second, F.col("price"))).alias("last_price"), F.max(F.when(second, F.col("fetched_at"))).alias("last_at")]
     before = F.when(~first & (F.col("price") > 0), F.col("price"))
     return rows.groupBy("product_id").agg(*picked, mean_of_decimals(before).alias("recent_mean"))
 
@@ -113,10 +115,11 @@ def product_profile(history: DataFrame, as_of: Column) -> DataFrame:
 def profile_before_newest(observations: DataFrame, order, as_of: Column) -> DataFrame:
     """Profile of each product's history before its newest observation, with that one as ``current_…``.
 
-    The newest row is taken out of the counts, so the history is not scanned or joined again.
+    The newest row is taken out of the counts, so the history is not scanned or joined again.  ``last_price`` and
+    ``last_at`` are those of the history's newest row.
     """
     current = newest_and_recent(observations, order)
-    beside = [*CURRENT.values(), "recent_mean"]
+    beside = [*CURRENT.values(), "recent_mean", "last_price"]
     return profile_of_counts(without_current(price_counts(observations, as_of), current, as_of), beside)
 
 

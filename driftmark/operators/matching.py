@@ -116,14 +116,15 @@ def _vectors(df: DataFrame, group: str | None) -> DataFrame:
     return df.select(F.col("product_id").alias("id"), F.col("embedding").alias("v"), g.alias("g"))
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, threshold: float, blocks: int = 8, other_group: str | None = None) -> DataFrame:
+def knn(queries: DataFrame, index: DataFrame, k: int, threshold: float, block_rows: int = 8192, other_group: str | None = None) -> DataFrame:
     """Exact k nearest by cosine similarity over normalised vectors.
 
-    Both sides are cut into ``blocks`` hash blocks; every pair of blocks is one task that multiplies
-    two matrices and emits at most k rows per query, so neither a cross join nor all pairs appear.
-    Choose ``blocks`` so that two blocks of vectors fit a task: about rows / 10,000.  The work is
-    quadratic by nature; see ``approximate_knn`` for large tables.
+    Both sides are cut into hash blocks of about ``block_rows``, counted first; every pair of blocks is one task that
+    multiplies two matrices and emits at most k rows per query, so neither a cross join nor all pairs appear and a
+    task's memory does not grow with the tables.  The work is quadratic by nature; see ``approximate_knn`` for large
+    tables.
     """
+    blocks = max(1, -(-max(queries.count(), index.count()) // block_rows))
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
     a = _vectors(queries, other_group).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("ib", F.explode(numbers))
     b = _vectors(index, other_group).withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(numbers))

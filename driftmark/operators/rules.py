@@ -17,15 +17,14 @@ def rules_table(spark, rows=params.RULES) -> DataFrame:
     )
 
 
-def ordered_rules(rules: DataFrame) -> Column:
+def ordered_rules(rules: DataFrame, most: int = 10_000) -> Column:
     """The enabled rules as one array, highest priority first, then by id.
 
     A rule table is written by hand, so it fits a scalar; attaching it as an array tests every price
-    against every rule without a join.
+    against every rule without a join.  More than ``most`` rules fail the query rather than being cut.
     """
-    r = rules.filter("enabled").agg(
-        F.collect_list(F.struct("priority", "id", "name", "rule_type", "threshold", "enabled")).alias("r")
-    )
+    held = F.collect_list(F.struct("priority", "id", "name", "rule_type", "threshold", "enabled"))
+    r = rules.filter("enabled").agg(F.when(F.count("*") <= most, held).otherwise(F.raise_error(F.lit(f"more than {most} rules"))).alias("r"))
     by_rank = F.array_sort(
         "r",
         lambda a, b: F.when(a["priority"] != b["priority"], b["priority"] - a["priority"]).otherwise(a["id"] - b["id"]),

@@ -69,17 +69,14 @@ def zscore(t: Tables):
            coalesce(current_price < q1 - 1.5 * (q3 - q1), false) AS iqr_hit
     FROM fences JOIN current_prices USING (product_id)"""))
 def iqr(t: Tables):
-    d = A.iqr(A.quartile_fences(profile(t)).join(t.current_prices(), "product_id"))
+    d = A.iqr(A.quartile_fences(B.profile_before_newest(t.observations(), ORDER, t.as_of())))
     return d.select("product_id", "q1", "q3", round_to("lower_bound").alias("lower_bound"), "iqr_hit")
 
 
 @query("e03_rate_of_change", with_detectors(f"""
     SELECT product_id, {r('rate')} AS rate_of_change, rate_hit FROM det"""))
 def rate_of_change(t: Tables):
-    h = t.history()
-    counts = h.groupBy("product_id").agg(F.count("*").alias("observation_count"))
-    d = t.current_prices().join(counts, "product_id").join(A.recent_mean(h, ORDER), "product_id", "left")
-    return A.rate_of_change(d).select("product_id", round_to("rate_of_change").alias("rate_of_change"), "rate_hit")
+    return A.rate_of_change(B.profile_before_newest(t.observations(), ORDER, t.as_of())).select("product_id", round_to("rate_of_change").alias("rate_of_change"), "rate_hit")
 
 
 @query("e04_below_minimum", with_detectors(f"""
@@ -95,7 +92,7 @@ FEATURES = ("f_ratio", "f_discount", "f_stability", "f_min_distance", "f_range")
 
 def training(t: Tables):
     h = t.history()
-    base = B.cached_baseline(B.product_profile(h, t.as_of()))
+    base = B.cached_baseline(profile(t))
     return A.training_features(h, base, ORDER)
 
 
@@ -171,7 +168,7 @@ compared AS (
            {r('deviation_percent')} AS deviation_percent, {r('market_z')} AS market_z, is_anomalous,
            {r('market_confidence')} AS market_confidence FROM compared"""))
 def market_compare(t: Tables):
-    d = A.market_compare(t.history(), t.products(), t.current_prices(), t.as_of())
+    d = A.market_compare(t.observations(), t.products(), t.current_prices(), t.as_of())
     return d.select(
         "product_id", "market_key", "store", "sample_size", round_to("market_average").alias("market_average"),
         "market_min", "market_max", round_to("deviation_percent").alias("deviation_percent"),
@@ -191,7 +188,7 @@ def market_compare(t: Tables):
         {r("least(1.0, conf * 0.5 + CASE WHEN market_confidence > 0.7 THEN 0.3 ELSE 0 END + CASE WHEN high >= 3 THEN 0.2 WHEN high >= 2 THEN 0.1 ELSE 0 END)")} AS composite_confidence
     FROM totals"""))
 def composite_score(t: Tables):
-    market = A.market_compare(t.history(), t.products(), t.current_prices(), t.as_of())
+    market = A.market_compare(t.observations(), t.products(), t.current_prices(), t.as_of())
     market = market.select("product_id", "is_anomalous", "market_confidence")
     d = A.composite_score(A.statistical_detectors(inputs(t)).join(market, "product_id"))
     return d.select(
@@ -239,8 +236,10 @@ def rapid_drop(t: Tables):
             FROM history JOIN current_prices USING (product_id))
     SELECT prev_price, price, count(*) AS pairs, bool_or({SHIFT_SQL}) AS is_decimal_error FROM q GROUP BY prev_price, price"""))
 def decimal_shift(t: Tables):
-    d = t.history().join(t.current_prices(), "product_id")
-    pairs = d.groupBy(F.col("price").alias("prev_price"), F.col("current_price").alias("price")).agg(F.count("*").alias("pairs"))
+    # prices are counted before they meet the current one, which is then taken out
+    counts = t.observations().groupBy("product_id", "price").agg(F.count("*").alias("n")).join(t.current_prices(), "product_id")
+    counts = counts.withColumn("n", F.col("n") - F.col("price").eqNullSafe(F.col("current_price")).cast("int")).filter("n > 0")
+    pairs = counts.groupBy(F.col("price").alias("prev_price"), F.col("current_price").alias("price")).agg(F.sum("n").alias("pairs"))
     return pairs.withColumn("is_decimal_error", A.decimal_shift(F.col("prev_price"), F.col("price")))
 
 

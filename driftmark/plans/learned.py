@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.numbers import round_to
 from driftmark.operators import anomaly as A, baseline as B, learning as L
-from driftmark.plans.detectors import training
+from driftmark.plans.detectors import inputs, training
 from driftmark.plans.registry import query
 from driftmark.plans.sqlviews import r, with_views
-from driftmark.plans.statistics import ORDER
+from driftmark.plans.statistics import ORDER, profile_now
 from driftmark.sources.tables import Tables
 
 KEY = ["product_id", "order_id", "line_no", "supp_id", "ext_price", "qty"]
@@ -25,13 +25,28 @@ def iforest_train(t: Tables):
     return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max(F.when(F.col("node") == 0, F.col("rows"))).alias("rows"))
 
 
+def isolated(t: Tables):
+    model = L.fit_forest(feature_rows(t), KEY)
+    d = A.price_features(B.current_baseline(profile_now(t), t.products()), "current_price", "current_original", False)
+    return model.score(d).select("product_id", "isolation_score", "isolation_hit")
+
+
 @query("e07_iforest_score")
 def iforest_score(t: Tables):
-    h = t.history()
-    model = L.fit_forest(feature_rows(t), KEY)
-    base = B.current_baseline(B.product_profile(h, t.as_of()), t.products()).select("product_id", "current_baseline", "stability", "min_price", "max_price")
-    d = A.price_features(t.current_prices().join(base, "product_id"), "current_price", "current_original", False)
-    return model.score(d).select("product_id", round_to("isolation_score").alias("isolation_score"), "isolation_hit")
+    return isolated(t).withColumn("isolation_score", round_to("isolation_score"))
+
+
+@query("e10_learned_fusion")
+def learned_fusion(t: Tables):
+    """All methods, statistical and learned, with the vote of the learned ones."""
+    mixture = L.mixture_detector(t.history(), t.current_prices(), ORDER).select("product_id", F.col("score").alias("mixture_score"), F.col("is_anomaly").alias("mixture_hit"))
+    rebuilt = L.reconstruction_detector(t.history(), t.current_prices(), ORDER).select("product_id", F.col("score").alias("reconstruction_score"), F.col("is_anomaly").alias("reconstruction_hit"))
+    d = A.below_minimum(A.rate_of_change(A.iqr(A.zscore(inputs(t)))))
+    for scores in (isolated(t), mixture, rebuilt):
+        d = d.join(scores, "product_id", "left")
+    methods = A.METHODS + A.LEARNED_METHODS
+    d = A.fuse_scores(L.ensemble(d), methods)
+    return d.select("product_id", *[c for hit, score, _ in methods for c in (hit, score)], "n_methods", "methods", "anomaly_score", "is_anomaly", "is_significant")
 
 
 @query("e08_gmm_score")

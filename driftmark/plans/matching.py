@@ -29,7 +29,7 @@ def with_emb(body: str, *views: str) -> str:
 
 def neighbours(t: Tables, k: int, other_store: bool = False):
     e = t.embeddings()
-    return M.knn(e, e, k, LEVEL, blocks=4, other_group="store" if other_store else None)
+    return M.knn(e, e, k, LEVEL, other_group="store" if other_store else None)
 
 
 @query("f01_embed_text")

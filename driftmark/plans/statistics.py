@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.numbers import round_to
 from driftmark.operators import baseline as B
+from driftmark import params
 from driftmark.plans.registry import query
 from driftmark.plans.sqlviews import r, with_views
 from driftmark.sources.tables import Tables
@@ -13,8 +14,13 @@ from driftmark.sources.tables import Tables
 ORDER = Tables.NEWEST
 
 
+def profile_now(t: Tables):
+    """Each product's profile before its newest observation, and that one as ``current_…``."""
+    return B.profile_before_newest(t.observations(), ORDER, t.as_of())
+
+
 def profile(t: Tables):
-    return B.product_profile(t.history(), t.as_of())
+    return profile_now(t).drop(*B.CURRENT.values(), "recent_mean")
 
 
 PROFILE_SQL = """, prof AS MATERIALIZED (
@@ -97,8 +103,7 @@ CACHE_SQL = f"""
 
 
 def cache_rows(t: Tables):
-    h = t.history()
-    d = B.cached_baseline(B.product_profile(h, t.as_of())).join(B.last_price(h, ORDER), "product_id")
+    d = B.cached_baseline(profile(t)).withColumnRenamed("last_at", "last_price_at")
     return d.select(
         "product_id", round_to("avg_7d").alias("avg_7d"), round_to("avg_30d").alias("avg_30d"), "min_price", "max_price",
         round_to("current_baseline").alias("current_baseline"), round_to("stability", 6).alias("stability"),
@@ -128,7 +133,7 @@ def baseline_refresh(t: Tables):
            CAST(floor(epoch(as_of - last_at) / 86400) AS BIGINT) AS data_freshness_days
     FROM based b JOIN current_prices USING (product_id), ref_time"""))
 def baseline_discount(t: Tables):
-    d = B.current_baseline(profile(t), t.products()).join(t.current_prices(), "product_id")
+    d = B.current_baseline(profile_now(t), t.products())
     return d.select(
         "product_id",
         round_to(B.baseline_discount(F.col("current_price"), F.col("current_baseline"))).alias("discount_percent"),
@@ -144,7 +149,7 @@ def baseline_discount(t: Tables):
            {r("CASE WHEN z IS NULL THEN 50 WHEN z < -3 THEN 0.1 WHEN z > 3 THEN 99.9 ELSE greatest(0.1, least(99.9, 50 + z * 15)) END")} AS percentile
     FROM z"""))
 def percentile_from_z(t: Tables):
-    d = B.price_statistics(profile(t)).join(t.current_prices(), "product_id")
+    d = profile_now(t).filter(F.col("n") >= params.MIN_OBSERVATIONS)
     z = B.z_score(F.col("current_price"), F.col("mean"), F.col("std_dev"))
     return d.withColumn("z", z).select(
         "product_id", round_to("z").alias("z_score"), round_to(B.percentile_from_z(F.col("z"))).alias("percentile")

@@ -90,3 +90,26 @@ def test_markup_of_any_quoting(spark):
     assert [r.c for r in got][::2] == want[::2]
     link = spark.createDataFrame([("<a aria-label='Next' href='?page=2&amp;q=a'>n</a>",)], "h string").select(P.next_page(F.col("h"), F.lit("https://s.example")).alias("n")).first()
     assert link.n == "https://s.example/?page=2&q=a"
+
+
+def test_learned_fusion(spark, tables):
+    """The fused score follows from the methods' own columns, as a plain loop over rows gives it."""
+    from driftmark.operators import anomaly as A
+    from driftmark.plans.learned import learned_fusion
+
+    rows = learned_fusion(tables).collect()
+    assert rows and any(r.n_methods >= 3 for r in rows)
+    for r in rows:
+        learned = [s for s in (r.isolation_score, r.mixture_score, r.reconstruction_score) if s is not None]
+        vote = len(learned) >= 2 and all(s > 0.5 for s in learned)
+        assert bool(r.ensemble_hit) == vote
+        if vote:
+            assert abs(r.ensemble_score - sum(learned) / len(learned)) < 1e-9
+        fired = [(name, r[score]) for hit, score, name in A.METHODS + A.LEARNED_METHODS if r[hit]]
+        assert list(r.methods) == [n for n, _ in fired] and r.n_methods == len(fired)
+        score = sum(s or 0.0 for _, s in fired) / max(1, len(fired))
+        if len(fired) >= 2:
+            score = min(1.0, score * 1.2)
+        if len(fired) >= 3:
+            score = min(1.0, score * 1.1)
+        assert abs(r.anomaly_score - score) < 1e-9 and r.is_anomaly == bool(fired)

@@ -165,7 +165,7 @@ def test_exact_and_approximate_neighbours(spark):
     sim = np.round(v @ v.T, 8)
     np.fill_diagonal(sim, -1)
     want = {(i, int(j)) for i in range(len(v)) for j in sorted(np.flatnonzero(sim[i] >= 0.8), key=lambda j: (-sim[i, j], j))[:10]}
-    exact = {(r["id"], r["match_id"]) for r in M.knn(d, d, 10, 0.8, blocks=3).collect()}
+    exact = {(r["id"], r["match_id"]) for r in M.knn(d, d, 10, 0.8, block_rows=40).collect()}
     assert exact == want
     near = {(r["id"], r["match_id"]) for r in M.approximate_knn(d, d, 10, 0.8, dims=16, tables=12, bits=4, block_rows=7).collect()}
     assert len(near & want) / len(want) >= 0.9
