@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftmark import params
 from driftmark.functions.numbers import MONEY, fixed_text, percent_off
-from driftmark.operators import skew
 
 CONFIG_FIELDS = "keywords array<string>, exclude_keywords array<string>, brands array<string>"
 
@@ -53,31 +52,30 @@ def listing_filter(listings: DataFrame, configs: DataFrame, key: str = "category
     return d.withColumn("dropped_by", why).drop("_keywords", "_exclude_keywords", "_brands", "_min", "_max", "_skus", "_xbrands")
 
 
-def without_excluded(listings: DataFrame, exclusions: DataFrame, id_col: str = "product_id") -> DataFrame:
+def without_excluded(listings: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Drops listings on the exclusion list: per store or ``*`` by SKU, keyword pattern, brand.
 
-    Every test is an equi anti join (on store and SKU, on SKU, on store, on the star), the text test
-    being its extra condition.  Hot stores are spread over salts.
+    SKUs are equi anti joins.  A store's patterns and brands are one row of arrays, so a listing meets one row of its
+    store and is tested against its arrays where it stands; those of the star are one row attached to all listings.
+    Rows by hand: the arrays are as long as a store's list.
     """
     x = exclusions.filter("enabled")
     star = F.col("store") == "*"
     skus = x.filter(F.col("sku").isNotNull())
     out = listings.join(skus.filter(~star).select("store", "sku").distinct(), ["store", "sku"], "left_anti")
     out = out.join(skus.filter(star).select("sku").distinct(), "sku", "left_anti")
-    words = x.select(
-        F.col("store").alias("rule_store"),
-        F.explode(F.array(
-            F.struct(F.concat(F.lit("(?i)"), F.col("keyword")).alias("pattern"), F.lit(None).cast("string").alias("plain")),
-            F.struct(F.lit(None).cast("string").alias("pattern"), F.lower("brand").alias("plain")),
-        )).alias("w"),
-    ).select("rule_store", "w.*").filter("pattern is not null or plain is not null").distinct()
-    text = F.concat_ws(" ", "title", "sku")
-    hit = F.coalesce(F.rlike(text, F.col("pattern")), F.lit(False)) | F.coalesce(F.contains(F.lower("title"), F.col("plain")), F.lit(False))
+    tests = [F.collect_set(F.concat(F.lit("(?i)"), F.col("keyword"))).alias("_patterns"), F.collect_set(F.lower("brand")).alias("_plains")]
+    by_store = x.filter(~star).groupBy("store").agg(*tests)
+    for_all = x.filter(star).agg(*tests)
     cols = out.columns
-    out = out.withColumn("rule_store", F.col("store"))
-    out = skew.salted_join(out, words, "rule_store", F.col(id_col), how="left_anti", condition=hit)
-    out = out.withColumn("rule_store", F.lit("*"))
-    return skew.salted_join(out, words, "rule_store", F.col(id_col), how="left_anti", condition=hit).select(*cols)
+    text, title = F.concat_ws(" ", "title", "sku"), F.lower("title")
+
+    def tested(patterns: Column, plains: Column) -> Column:
+        return F.coalesce(F.exists(patterns, lambda p: F.rlike(text, p)), F.lit(False)) | F.coalesce(F.exists(plains, lambda w: F.contains(title, w)), F.lit(False))
+
+    out = out.join(by_store, "store", "left").filter(~tested(F.col("_patterns"), F.col("_plains")))
+    out = out.withColumns({c: for_all.select(c).scalar() for c in ("_patterns", "_plains")})
+    return out.filter(~tested(F.col("_patterns"), F.col("_plains"))).select(*cols)
 
 
 def low_price_keyword(price: Column, title: Column, sku: Column, store: Column) -> Column:
