@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.llm.tables import small_batches
 from driftmark.llm.words import NOT_ALNUM, U64, Words, slices, windows, words
 
 SCHEMA = "n_words long, spans binary, items binary, near binary"
@@ -192,7 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     sought = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     asked = sought.mapInArrow(lambda b: _item_windows(b, size), "item_id string, terms binary").distinct()
     blocks = max(1, -(-asked.count() // block))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     parts, names = [], []
     for b in range(blocks):

@@ -8,6 +8,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmark.llm.tables import small_batches
+
 UNKNOWN = "und"
 
 
@@ -73,7 +75,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     The dictionaries travel with the task: their size is bounded by ``train``.
     """
     text = F.col(text_col).cast("string")
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.expr(f"rlike(cast(`{text_col}` as string), '\\\\p{{L}}')"), F.lit(False)).alias("lettered"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.expr(f"rlike(cast(`{text_col}` as string), '\\\\p{{L}}')"), F.lit(False)).alias("lettered"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     if not keep:
         kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
         return narrow.mapInArrow(lambda b: _classify(b, dictionaries, level, margin), f"doc_id {kind}, lang_pred string, score double, rejected boolean")

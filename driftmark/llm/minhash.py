@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.graph import components, stars
-from driftmark.llm.tables import stored
+from driftmark.llm.tables import small_batches, stored
 from driftmark.llm.words import SPACES, U64, Slice, mix, slices, span_hash, prefix_sums, windows, words
 
 DART_DOCS = 256
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty; texts without words are only like their own copies.  No rows give no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    marked = docs.select(F.col(id_col).alias("doc_id"), text, *fingerprint(F.col(text_col)))
+    marked = small_batches(docs).select(F.col(id_col).alias("doc_id"), text, *fingerprint(F.col(text_col)))
     banded = stored(marked.select("h1", "h2", "text").mapInArrow(lambda b: _bands(b, size, bands, rows), "h1 long, h2 long, band long"), "bands")
     node = F.struct("h1", "h2")
     crowded = banded.groupBy("band").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low != high").select("band", "low")

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.llm.tables import small_batches
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -31,7 +33,7 @@ SPECIAL = "<|endoftext|>"
 class Pieces(dict):
     """Token ids, as little-endian 32-bit bytes, of the pieces met so far; emptied when it holds ``most``."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 150_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -51,14 +53,26 @@ class Encoder:
 
     def __init__(self, json_path: str, rank_path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(json_path)
+        self.json_path, self._full = json_path, None
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         merges = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.pieces = Pieces(merges.encode_ordinary)
 
+    @property
+    def full(self):
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.json_path)
+        return self._full
+
+    def release(self) -> None:
+        """Frees what a task has gathered; the worker lives on."""
+        self.pieces.clear()
+        self._full = None
+
     def ids(self, text: str) -> bytes:
         if SPECIAL in text or (not text.isascii() and max(text) > "ÿ"):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -181,6 +195,7 @@ def _pack(batches, json_name, rank_name, capacity, grain, group):
                 tail -= seen
     if held:
         yield solved(held)
+    enc.release()
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, grain: int = 256, group: int = 150_000,
@@ -195,5 +210,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Null and empty texts are the one id 0.  Null ids, repeated rows and repeated ids are packed row by row as
     they come.  No rows give no rows.  Other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(lambda batches: _pack(batches, tokenizer, ranks, capacity, grain, group), SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.repeats import by_bucket
-from driftmark.llm.tables import parts_for, stored
+from driftmark.llm.tables import parts_for, small_batches, stored
 from driftmark.llm.words import SPACES, U64, mixed, slices, words
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -302,7 +302,7 @@ def fit(docs: DataFrame, text_col: str = "text", bits: int = 18, sweeps: int = 3
 
     Null and empty texts are one end token.  No rows give a model that knows nothing.
     """
-    narrow = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    narrow = small_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     octets = narrow.agg(F.sum(F.octet_length("text"))).first()[0]
     buckets = parts_for(octets or 0, bucket_bytes, docs.sparkSession)
     sent = narrow.mapInArrow(lambda b: _counted(b, bits, buckets), SCHEMA)

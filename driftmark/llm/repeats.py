@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.tables import parts_for, stored
+from driftmark.llm.tables import parts_for, small_batches, stored
 from driftmark.llm.words import BYTE_VALUE, SPACES, U64, Slice, mixed, prefix_sums, slices, span_hash, words
 
 #: A run: minimiser, hash of its units, document (id, text hash), first window, number of windows.
@@ -44,7 +44,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = F.col(id_col).cast("long")
-    return docs.select(F.coalesce(given, F.lit(0).cast("long")).alias("id"), F.xxhash64(text, given.isNull()).alias("h"), given.alias("doc_id"), text.alias("text"), *([F.struct(*keep).alias("rest")] if keep else []))
+    return small_batches(docs).select(F.coalesce(given, F.lit(0).cast("long")).alias("id"), F.xxhash64(text, given.isNull()).alias("h"), given.alias("doc_id"), text.alias("text"), *([F.struct(*keep).alias("rest")] if keep else []))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

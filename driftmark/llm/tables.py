@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from driftmark.session import checkpoint_root
 
 
+#: Rows of an Arrow batch where whole texts travel: tens of thousands of long texts at once would fill a worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches to ``BATCH_ROWS``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) not in range(1, BATCH_ROWS + 1):
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

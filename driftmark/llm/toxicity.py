@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.llm.tables import small_batches
 from driftmark.llm.words import NOT_ALNUM, U64, Slice, mix, slices, words
 
 BIAS = 0
@@ -81,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = marked.count()
     below = min(1.0, sample / max(known, 1)) * 2**32
     hashed = F.pmod(F.xxhash64("id"), F.lit(2**32))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.where(hashed < below).join(marked.where(hashed < below), "id").select(F.xxhash64("id").alias("h"), "label", "text")
     ids = rows.mapInArrow(lambda b: _rows_of_features(b, bits), "h long, label int, ids binary")
     fitted = ids.repartition(1).sortWithinPartitions("h", "label", "ids").mapInArrow(lambda b: _train(b, bits, epochs, alpha, beta, l1, l2), "id long, w double")
@@ -109,7 +110,7 @@ def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", te
     null and repeated ids too.  The weights travel with the tasks: at most 2**bits of them, far fewer after L1.
     """
     ids, values = np.fromiter(weights.keys(), np.int64, len(weights)), np.fromiter(weights.values(), float, len(weights))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     scored = narrow.mapInArrow(lambda b: _score(b, ids, values, bits), f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

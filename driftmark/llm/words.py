@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
