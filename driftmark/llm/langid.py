@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.llm.tables import small_batches
+from driftmark.llm.tables import small_batches, tidied
 
 UNKNOWN = "und"
 
@@ -78,7 +78,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.expr(f"rlike(cast(`{text_col}` as string), '\\\\p{{L}}')"), F.lit(False)).alias("lettered"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     if not keep:
         kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-        return narrow.mapInArrow(lambda b: _classify(b, dictionaries, level, margin), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+        return narrow.mapInArrow(tidied(lambda b: _classify(b, dictionaries, level, margin)), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
     def with_rest(batches):
         for batch in batches:
@@ -87,4 +87,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
     schema = f"doc_id {kinds['doc_id']}, lang_pred string, score double, rejected boolean" + "".join(f", `{c}` {kinds[f'keep_{c}']}" for c in keep)
-    return narrow.mapInArrow(with_rest, schema)
+    return narrow.mapInArrow(tidied(with_rest), schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.graph import components, stars
-from driftmark.llm.tables import small_batches, stored
+from driftmark.llm.tables import small_batches, stored, tidied
 from driftmark.llm.words import SPACES, U64, Slice, mix, slices, span_hash, prefix_sums, windows, words
 
 DART_DOCS = 256
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     marked = small_batches(docs).select(F.col(id_col).alias("doc_id"), text, *fingerprint(F.col(text_col)))
-    banded = stored(marked.select("h1", "h2", "text").mapInArrow(lambda b: _bands(b, size, bands, rows), "h1 long, h2 long, band long"), "bands")
+    banded = stored(marked.select("h1", "h2", "text").mapInArrow(tidied(lambda b: _bands(b, size, bands, rows)), "h1 long, h2 long, band long"), "bands")
     node = F.struct("h1", "h2")
     crowded = banded.groupBy("band").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low != high").select("band", "low")
     # both joins grow with the corpus: sort-merge at every size
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = texts.join(bulk, ["c1", "c2"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.select("c1", "c2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "h1", "h2", "text")
     ordered = split.repartition("c1", "c2", "i", "j").sortWithinPartitions("c1", "c2", "i", "j")
-    found = ordered.mapInArrow(lambda b: _verified(b, size, threshold), "a1 long, a2 long, b1 long, b2 long")
+    found = ordered.mapInArrow(tidied(lambda b: _verified(b, size, threshold)), "a1 long, a2 long, b1 long, b2 long")
     classes = components(found.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")))
     classes = classes.select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), "component")
 

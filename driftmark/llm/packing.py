@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.tables import small_batches
+from driftmark.llm.tables import small_batches, tidied
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -211,4 +211,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     they come.  No rows give no rows.  Other columns are not read.
     """
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(lambda batches: _pack(batches, tokenizer, ranks, capacity, grain, group), SCHEMA)
+    return narrow.mapInArrow(tidied(lambda batches: _pack(batches, tokenizer, ranks, capacity, grain, group)), SCHEMA)

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.tables import parts_for, small_batches, stored
+from driftmark.llm.tables import parts_for, small_batches, stored, tidied
 from driftmark.llm.words import BYTE_VALUE, SPACES, U64, Slice, mixed, prefix_sums, slices, span_hash, words
 
 #: A run: minimiser, hash of its units, document (id, text hash), first window, number of windows.
@@ -195,9 +195,9 @@ def repeated_runs(docs: DataFrame, units: Callable, size: int, gram: int, bucket
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     buckets = parts_for(total or 0, bucket_bytes, spark)
-    sent = docs.select("id", "h", "text").mapInArrow(lambda b: _scan(b, units, size, gram, buckets), "bucket int, kind int, blob binary")
+    sent = docs.select("id", "h", "text").mapInArrow(tidied(lambda b: _scan(b, units, size, gram, buckets)), "bucket int, kind int, blob binary")
     met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return stored(met.mapInArrow(_gathered, RUN_SCHEMA), "runs")
+    return stored(met.mapInArrow(tidied(_gathered), RUN_SCHEMA), "runs")
 
 
 def lists_of(rows: DataFrame, *columns: str) -> DataFrame:

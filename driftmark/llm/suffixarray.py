@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.repeats import beside, byte_units, covered, keyed, lists_of, repeated_runs, span_arrays
-from driftmark.llm.tables import stored
+from driftmark.llm.tables import stored, tidied
 from driftmark.llm.words import BYTE_VALUE, U64, prefix_sums, span_hash
 
 
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = beside(named, lists_of(sorted_in, "key", "part", "parts", "times", "start", "n")).mapInArrow(
         lambda b: _segments(b, size), "key long, part int, parts int, times long, id long, h long, start int, raw binary")
     blocks = raw.repartition("key", "part").sortWithinPartitions("key", "part")
-    found = blocks.mapInArrow(lambda b: _sorted_blocks(b, size, block), "id long, h long, start int, n int, window long, open boolean")
+    found = blocks.mapInArrow(tidied(lambda b: _sorted_blocks(b, size, block)), "id long, h long, start int, n int, window long, open boolean")
     found = stored(found, "repeats")
     between = found.where("window is not null")
     shared = between.groupBy("window").agg(F.count(F.lit(1)).alias("parts_with")).where("parts_with > 1")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.repeats import beside, by_bucket, covered, keyed, lists_of, repeated_runs, span_arrays, word_units
-from driftmark.llm.tables import parts_for, stored
+from driftmark.llm.tables import parts_for, stored, tidied
 from driftmark.llm.words import SPACES, U64, mixed, prefix_sums, slices, span_hash, words
 
 #: A suffix: hash of its prefix (its subtree), hash of its first ``size`` words, document and first word.
@@ -187,8 +187,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = parts_for(bulk * SUFFIX.itemsize, 12 << 20, spark)
     sent = beside(named, lists_of(segments.select("one.*"), "start", "n")).mapInArrow(
         lambda b: _suffixes(b, size, frequent, bits, buckets), "bucket int, kind int, n int, blob binary")
-    later = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_subtrees, "id long, h long, start int, n int")
+    later = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_subtrees), "id long, h long, start int, n int")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     if keep:
         schema += f", rest {named.schema['rest'].dataType.simpleString()}"
-    return beside(named, lists_of(copies.unionByName(later), "start", "n")).mapInArrow(lambda b: _kept(b, size), schema)
+    return beside(named, lists_of(copies.unionByName(later), "start", "n")).mapInArrow(tidied(lambda b: _kept(b, size)), schema)
