@@ -485,3 +485,16 @@ def test_language_edges(edge):
         assert (r.lang_pred == "und") == (not any(ch.isalpha() for ch in r.text or ""))
     assert langid.identify(edge.limit(0), dictionaries).collect() == []
     assert {r.lang_pred for r in langid.identify(edge, {}).collect()} == {"und"}
+
+
+def test_language_of_long_text(spark):
+    """A clean text is kept at any length."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    dictionaries = langid.train(docs.where(~held))
+    whole = "\n".join(sorted({r.text for r in docs.where("lang = 'en'").select("text").collect()}))[:10_000_000]
+    assert len(whole) > 9_000_000
+    made = spark.createDataFrame([(1, whole[:100_000]), (2, whole)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(made, dictionaries).collect()}
+    assert [(got[i].lang_pred, got[i].rejected) for i in (1, 2)] == [("en", False)] * 2
+    assert got[2].score > got[1].score / 2
