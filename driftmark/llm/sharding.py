@@ -83,14 +83,75 @@ def propagate(cells: DataFrame, room: list[int]) -> DataFrame:
     return every.groupBy(*GROUP, "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).where("n > 0")
 
 
+def laid(loose: DataFrame, room: list[int], order: Column) -> DataFrame:
+    """``at`` and ``upto`` for each row of ``loose``: its ``n`` documents laid end to end, in the order of ``order`` (best
+    first, in classes as in ``granted``), and ``ends``: the rooms laid end to end, the roomiest shard first, with ``shard``."""
+    ends, total = [], 0
+    for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+        total += room[s]
+        ends.append(F.struct(F.lit(total - room[s]).cast("long").alias("first"), F.lit(total).cast("long").alias("end"), F.lit(s).alias("shard")))
+    classed = loose.withColumn("_level", order).withColumn("_sub", F.pmod(F.xxhash64(*GROUP), F.lit(64)).cast("int"))
+    earlier = Window.orderBy(F.desc("_level"), "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    total = classed.groupBy("_level", "_sub").agg(F.sum("n").alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    within = Window.partitionBy("_level", "_sub").orderBy(F.desc("n"), *GROUP).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_ahead") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    placed = classed.join(total, ["_level", "_sub"]).withColumn("at", at).withColumn("upto", F.col("at") + F.col("n"))
+    return placed.select(*GROUP, "n", "at", "upto", F.array(*ends).alias("ends"))
+
+
+def settled(cells: DataFrame, quota: list[int]) -> DataFrame:
+    """Cells within their quotas, where no text is cut that fits into a shard's room whole.
+
+    Propagation moves documents into free room only.  Here all texts still cut let go of their shards, and so do whole
+    texts (small ones first) of shards beyond their quotas; what is loose is then laid into the rooms, texts of one power
+    of two at a time, large ones first, and those that would be cut wait for the next round, until none fits
+    anywhere.  In each round the first text laid fits the roomiest shard, so rounds end.  The rest, at last, fills
+    the rooms in turn.  A text larger than a shard only lets go of what is beyond a quota.
+    """
+    shards, most = len(quota), max(quota)
+    whole = Window.partitionBy(*GROUP)
+    seen = stored(cells.select(*GROUP, "shard", "n", F.sum("n").over(whole).alias("held"), F.count(F.lit(1)).over(whole).alias("k")), "shard-seen")
+    cut = (F.col("k") > 1) & (F.col("held") <= most)
+    loose, kept = seen.where(cut).select(*GROUP, "n"), seen.where(~cut)
+    load = loads(kept, shards)
+    over = [max(0, x - q) for q, x in zip(quota, load)]
+    if any(over):
+        let_go = granted(kept.withColumn("from", F.col("shard")), over, "from", F.floor(F.lit(1 << 40) / F.col("n")))
+        gone = F.when((F.col("take") > 0) & (F.col("held") <= most), F.col("n")).otherwise(F.col("take"))
+        left = stored(let_go.withColumn("gone", gone), "shard-left")
+        loose = loose.unionByName(left.where("gone > 0").select(*GROUP, F.col("gone").alias("n")))
+        kept = left.where("n > gone").withColumn("n", F.col("n") - F.col("gone"))
+        load = loads(kept, shards)
+    kept = kept.select(*GROUP, "shard", "n")
+    loose = stored(loose.groupBy(*GROUP).agg(F.sum("n").alias("n")), "shard-loose")
+    room = [q - x for q, x in zip(quota, load)]
+    level = F.floor(F.log2("n")).cast("int")
+    while True:
+        top = loose.where(F.col("n") <= max(room)).agg(F.max(level)).first()[0]
+        if top is None:
+            break
+        now = F.coalesce((level == top) & (F.col("n") <= max(room)), F.lit(False))
+        try_all = laid(loose.where(now), room, level)
+        fitting = F.get(F.filter("ends", lambda e: (e["first"] <= F.col("at")) & (F.col("upto") <= e["end"])), F.lit(0))["shard"]
+        tried = stored(try_all.select(*GROUP, "n", fitting.alias("shard")), "shard-tried")
+        kept = kept.unionByName(tried.where("shard is not null").select(*GROUP, "shard", "n"))
+        loose = loose.where(~now).unionByName(tried.where("shard is null").select(*GROUP, "n"))
+        room = [r - x for r, x in zip(room, loads(tried.where("shard is not null"), shards))]
+    pieces = laid(loose, room, level).withColumn("e", F.explode("ends"))
+    part = F.least("upto", "e.end") - F.greatest("at", "e.first")
+    pieces = pieces.select(*GROUP, F.col("e.shard").alias("shard"), part.alias("n")).where("n > 0")
+    return stored(kept.unionByName(pieces).groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")), "shard-cells")
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 8, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, by the law ``rows``.
 
     Documents with equal texts are linked.  Each starts in a shard by a hash of its id and then moves, in up to
     ``rounds`` joins, to the shards that hold most of its neighbours, as far as their quotas (final row counts) have
-    room; the largest groups are served first and a group larger than a shard fills several.  Documents
-    without links, and those in shards that began over quota, then fill the rest, so that row counts differ by one
-    at most.  Only one number a shard comes to the driver.
+    room; the largest groups are served first and a group larger than a shard fills several.  Groups still cut
+    then, and those in shards over quota, are placed whole wherever one has room (``settled``), however few rooms the
+    rounds found.  Documents without links fill the rest, so that row counts differ by one at most.  Only one number
+    a shard comes to the driver.
 
     Sizes are UTF-8 bytes plus ``overhead``.  A null text has no bytes, its crc is 0, and it counts as the empty
     text.  Null and repeated ids are placed row by row; equal rows are interchangeable.  No rows give no rows.
@@ -116,12 +177,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if not step.where("moved > 0").take(1):
             break
 
-    # what a shard holds beyond its quota is released, small groups first
-    over = [max(0, x - q) for q, x in zip(quota, load)]
-    if any(over):
-        let_go = granted(cells.withColumn("from", F.col("shard")), over, "from", F.lit(1) / F.col("n"))
-        cells = stored(let_go.select(*GROUP, "shard", (F.col("n") - F.col("take")).alias("n")).where("n > 0"), "shard-cells")
-        load = loads(cells, shards)
+    cells = settled(cells, quota)
+    load = loads(cells, shards)
 
     # documents of a text take the text's cells in turn; those beyond them, and texts without links, are free
     running = F.sum("n").over(Window.partitionBy(*GROUP).orderBy("shard"))

@@ -459,6 +459,28 @@ def test_shards_without_single_texts(spark):
     check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+@pytest.mark.parametrize("singles", [0, 200])
+def test_shards_keep_pairs_without_room(spark, singles):
+    """Few texts are single, so hardly any shard has free room, and yet no more texts are cut than there are shards."""
+    rows = [(k, f"pair {k // 2}") for k in range(4000)] + [(10_000 + k, f"single {k}") for k in range(singles)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(got, rows)
+    at = {r.doc_id: r.shard for r in got}
+    assert sum(at[k] != at[k + 1] for k in range(0, 4000, 2)) == 0
+
+
+def test_shards_of_mixed_groups_without_singles(spark):
+    rows, sizes = [], [150, 60, 60, 45, *[30] * 12, *[7] * 50, *[3] * 200, *[2] * 300]
+    for g, size in enumerate(sizes):
+        rows += [(len(rows) + k, f"group {g}") for k in range(size)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(got, rows)
+    at = {}
+    for r in got:
+        at.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sum(len(x) > 1 for x in at.values()) <= 40
+
+
 def test_shards_edges(edge):
     check_shards(sharding.shard(edge).collect(), EDGE)
     assert sharding.shard(edge.limit(0)).collect() == []
