@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,13 @@ from driftmark.llm.words import SPACES, U64, mixed, slices, words
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 FLUSH = 1_000_000
-PARTS = 16
-COUNTS, TEXTS, DOCS = 0, 1, 2
+COUNTS, SHARED, TEXTS, DOCS = 0, 1, 2, 3
+TABLE, ASK, SUMS, ANSWER = 0, 1, 2, 3
 
 
 @dataclass
 class Tokens:
-    """Tokens of many documents: word, context restaurant (a hash of the token before) and document."""
+    """Tokens of many documents: word, context restaurant (the token before, or a hash of it) and document."""
 
     word: np.ndarray
     context: np.ndarray
@@ -32,7 +33,12 @@ class Tokens:
     per_doc: np.ndarray
 
 
-def tokens(piece, bits: int) -> Tokens:
+def restaurants(before: np.ndarray, bits: int | None) -> np.ndarray:
+    """The context restaurant of each token before: its own, or one of 2**``bits``."""
+    return before if bits is None else mixed(before) >> U64(64 - bits)
+
+
+def tokens(piece, bits: int | None) -> Tokens:
     w = words(piece, SPACES, lower=True)
     count = np.diff(w.first) + 1
     doc = np.repeat(np.arange(len(count)), count)
@@ -45,14 +51,14 @@ def tokens(piece, bits: int) -> Tokens:
     before = np.empty(len(doc), U64)
     before[1:] = word[:-1]
     before[ends - count + 1] = BEGIN
-    return Tokens(word, (mixed(before) >> U64(64 - bits)).astype(np.uint32), doc, count)
+    return Tokens(word, restaurants(before, bits), doc, count)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays one after another, each compressed and led by its type and length."""
+    """Arrays one after another, each led by its type and length and compressed, all first bytes of its numbers first."""
     out = []
     for a in arrays:
-        body = zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+        body = zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes(), 1)
         out.append(struct.pack("<2sII", a.dtype.str[1:].encode(), len(a), len(body)) + body)
     return b"".join(out)
 
@@ -62,7 +68,9 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     while at < len(blob):
         kind, n, size = struct.unpack_from("<2sII", blob, at)
         at += struct.calcsize("<2sII")
-        out.append(np.frombuffer(zstandard.decompress(blob[at:at + size], max_output_size=max(1, n * int(kind[1:]))), "<" + kind.decode(), n))
+        width = int(kind[1:])
+        raw = np.frombuffer(zstandard.decompress(blob[at:at + size], max_output_size=max(1, n * width)), np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view("<" + kind.decode()))
         at += size
     return out
 
@@ -84,36 +92,86 @@ def _pairs(word, context, weight):
     return word[begin], context[begin], np.add.reduceat(weight, begin) if len(begin) else weight
 
 
-def _chunk(parts: list[Tokens], ids, valid, held_out, chunk: int, buckets: int):
-    """One row for each bucket of words: its (word, context) pairs and the documents they stand in; one row of documents."""
-    first = np.cumsum([0] + [len(p.per_doc) for p in parts])
-    word, context = np.concatenate([p.word for p in parts]), np.concatenate([p.context for p in parts])
-    doc = np.concatenate([p.doc + f for p, f in zip(parts, first)])
-    pair = mixed(word + mixed(context.astype(U64)))
-    order = np.argsort(pair, kind="stable")  # documents stay in order within a pair
-    pair, doc = pair[order], doc[order]
-    new = np.r_[True, pair[1:] != pair[:-1]]
-    place = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]])
-    times = np.diff(np.r_[place, len(doc)]).astype(np.uint32)
-    begin = np.flatnonzero(new)
-    docs_of = np.diff(np.r_[np.searchsorted(place, begin), len(place)])
-    w, c = word[order[begin]], context[order[begin]]
-    bucket = (mixed(w) % U64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    start = np.cumsum(docs_of) - docs_of
-    rows = []
-    for b in np.flatnonzero(np.diff(cut)).tolist():
-        some = by[cut[b]:cut[b + 1]]
-        m = docs_of[some]
-        at = np.repeat(start[some] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        rows.append((b, TEXTS, chunk, _packed(w[some], c[some], m.astype(np.uint32), doc[place[at]].astype(np.uint32), times[at])))
+def _whole(parts: list[Tokens], ids, valid, held_out, chunk: int):
+    """One row with all tokens of some documents, as places in their sorted vocabulary."""
+    vocabulary, place = np.unique(np.concatenate([p.word for p in parts]), return_inverse=True)
     per_doc = np.concatenate([p.per_doc for p in parts])
-    rows.append((chunk % buckets, DOCS, chunk, _packed(ids, valid.astype(np.uint8), held_out.astype(np.uint8), per_doc.astype(np.int64))))
-    return _rows(rows)
+    return _rows([(0, COUNTS, chunk, _packed(vocabulary, place.astype(np.uint32), ids, valid.astype(np.uint8), held_out.astype(np.uint8), per_doc.astype(np.int64)))])
+
+
+def _known(vocabulary: np.ndarray, bits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted restaurants that the tokens of a chunk and the beginning lead to, and each one's place (the beginning's last)."""
+    return np.unique(restaurants(np.append(vocabulary, BEGIN), bits), return_inverse=True)
+
+
+def _divided(keys: np.ndarray, bits: int | None, parts: int):
+    """(part, slice) of sorted restaurants: parts are equal ranges, so their order is that of the keys."""
+    whole = 1 << (64 if bits is None else bits)
+    edge = np.searchsorted(keys, np.array([-(-i * whole // parts) for i in range(parts)], U64))
+    return [(p, slice(a, b)) for p, (a, b) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(keys)])) if b > a]
+
+
+def _questions(batches, bits, parts):
+    """Which restaurants each chunk has to know, for each part."""
+    for batch in batches:
+        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
+            keys, _ = _known(_unpacked(blob.as_py())[0], bits)
+            yield _rows([(p, ASK, chunk, _packed(keys[x])) for p, x in _divided(keys, bits, parts)])
 
 
-def _texts(batches, bits, buckets):
+def _replies(batches, samples):
+    """Customers, and tables of each sample, of the restaurants asked for; nobody sits in those never seen."""
+    part, table, keys = None, {}, None
+    for batch in batches:
+        for b, kind, chunk, blob in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            if b != part:
+                part, table, keys = b, {}, np.zeros(0, U64)
+            if kind == TABLE:
+                keys, *table[chunk] = _unpacked(blob)
+                continue
+            (asked,) = _unpacked(blob)
+            at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+            hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+            columns = [table[0][1], *[table[k][0] for k in samples]] if len(keys) else [np.zeros(1, np.int64)] * (1 + len(samples))
+            yield _rows([(b, SHARED, chunk, _packed(*[np.where(hit, x[at], 0) for x in columns]))])
+
+
+def _chunks(batches, bits, buckets):
+    """One row for each bucket of words of a chunk: its words, (word, context) pairs, what its restaurants hold and the
+    documents they stand in; one row of documents."""
+    for chunk, rows in by_bucket(batches, 3):
+        vocabulary, place, ids, valid, held_out, per_doc = _unpacked(rows[0][2])
+        held = [np.concatenate(x) for x in zip(*[_unpacked(blob) for kind, _, blob in rows if kind == SHARED])]
+        _, of = _known(vocabulary, bits)
+        before = np.empty(len(place), np.int64)
+        before[1:] = place[:-1]
+        before[np.cumsum(per_doc) - per_doc] = len(vocabulary)
+        own = mixed(restaurants(np.append(vocabulary, BEGIN), bits))
+        doc = np.repeat(np.arange(len(per_doc)), per_doc)
+        pair = mixed(vocabulary[place] + own[before])
+        order = np.argsort(pair, kind="stable")  # documents stay in order within a pair
+        pair, doc = pair[order], doc[order]
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        places = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]])
+        times = np.diff(np.r_[places, len(doc)]).astype(np.uint32)
+        begin = np.flatnonzero(new)
+        docs_of = np.diff(np.r_[np.searchsorted(places, begin), len(places)])
+        w, c = vocabulary[place[order[begin]]], of[before[order[begin]]]
+        bucket = (mixed(w) % U64(buckets)).astype(np.int64)
+        by = np.lexsort((w, bucket))
+        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        start = np.cumsum(docs_of) - docs_of
+        out = []
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            some = by[cut[b]:cut[b + 1]]
+            m = docs_of[some]
+            at = np.repeat(start[some] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            out.append((b, TEXTS, chunk, _packed(w[some], pair[begin[some]], m.astype(np.uint32), doc[places[at]].astype(np.uint32), times[at], *[x[c[some]] for x in held])))
+        out.append((chunk % buckets, DOCS, chunk, _packed(ids, valid, held_out, per_doc)))
+        yield _rows(out)
+
+
+def _texts(batches, bits):
     """All documents in chunks of about ``FLUSH`` tokens; batches have doc_id, held_out and text."""
     task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
     parts, ids, valid, held, n, chunk = [], [], [], [], 0, 0
@@ -129,10 +187,10 @@ def _texts(batches, bits, buckets):
             held.append(own_held[rows])
             n += len(parts[-1].word)
             if n >= FLUSH:
-                yield _chunk(parts, *map(np.concatenate, (ids, valid, held)), task + chunk, buckets)
+                yield _whole(parts, *map(np.concatenate, (ids, valid, held)), task + chunk)
                 parts, ids, valid, held, n, chunk = [], [], [], [], 0, chunk + 1
     if parts:
-        yield _chunk(parts, *map(np.concatenate, (ids, valid, held)), task + chunk, buckets)
+        yield _whole(parts, *map(np.concatenate, (ids, valid, held)), task + chunk)
 
 
 def _counted(batches, bits, buckets):
@@ -158,22 +216,27 @@ def _counted(batches, bits, buckets):
         yield sent()
 
 
-def _merged(batches):
+def _merged(batches, bits):
+    """A bucket's pairs; contexts are places in the bucket's own list of restaurants, or restaurants themselves if hashed."""
     for bucket, rows in by_bucket(batches, 3):
         w, c, k = (np.concatenate(x) for x in zip(*[_unpacked(blob) for _, _, blob in rows]))
-        yield _rows([(bucket, COUNTS, 0, _packed(*_pairs(w, c, k)))])
+        w, c, k = _pairs(w, c, k)
+        keys, place = np.unique(c, return_inverse=True)
+        yield _rows([(bucket, COUNTS, 0, _packed(w, (place if bits is None else c).astype(np.uint32), k, keys))])
 
 
 @dataclass
 class State:
-    """What all buckets share: numbers of bounded size.
+    """What all buckets share.
 
-    n tokens, v words; customers and tables of each context restaurant; customers and tables of the parent restaurant.
+    n tokens, v words; customers and tables of the parent restaurant.  Customers and tables of each context restaurant
+    are here only if contexts are hashed (or, within a task, the tables of a bucket's own restaurants); else they are
+    a table dealt by restaurant.
     """
 
     n: int
     v: int
-    customers: np.ndarray
+    customers: np.ndarray | None
     discount: float
     parent_discount: float
     strength: float
@@ -212,7 +275,7 @@ class Bucket:
 
     def __init__(self, number: int, blob: bytes):
         self.number = number
-        self.word, self.context, self.count = _unpacked(blob)
+        self.word, self.context, self.count, self.keys = _unpacked(blob)
         new = np.r_[True, self.word[1:] != self.word[:-1]]
         self.begin = np.flatnonzero(new)
         self.words = self.word[self.begin]
@@ -239,65 +302,103 @@ class Bucket:
         self.parent_tables = seated(np.add.reduceat(self.tables, self.begin), np.full(len(self.words), new), state.parent_discount, rng)
 
 
-def _shared(batches, state, contexts):
-    """What a bucket adds to the shared numbers: counts and tables by context (in parts), and sums."""
-    for batch in batches:
-        rows = []
-        for number, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-            b = Bucket(number, blob.as_py())
-            if state is not None:
-                for last in range(len(state.sweeps)):
-                    b.sweep(state, last)
-            tables = np.bincount(b.context, b.tables, contexts).astype(np.int64)
-            customers = np.bincount(b.context, b.count, contexts).astype(np.int64) if state is None else np.zeros(0, np.int64)
-            own = np.add.reduceat(b.tables, b.begin)
-            sums = np.array([b.count.sum(), len(b.words), own.sum(), b.parent_tables.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (own == 1).sum(), (own == 2).sum()], np.int64)
-            width = -(-contexts // PARTS)
-            for p in range(PARTS):
-                cut = slice(p * width, (p + 1) * width)
-                rows.append((p, 0, 0, _packed(tables[cut], customers[cut], sums if p == 0 else np.zeros(8, np.int64))))
-        yield _rows(rows)
-
-
-def _added(batches):
+def _local(state: State | None, rows) -> State | None:
+    """The state as a bucket needs it: with the tables of its own restaurants after each sweep."""
+    if state is None or state.customers is not None:
+        return state
+    found: dict[int, list] = {}
+    for chunk, blob in rows:
+        found.setdefault(chunk >> 32, []).extend(_unpacked(blob))
+    return replace(state, sweeps=[(np.concatenate(found[k]), *rest) for k, (_, *rest) in enumerate(state.sweeps)])
+
+
+def _seatings(batches, state, bits, parts):
+    """Tables (at first also customers) by restaurant of each bucket, for each part, and sums."""
+    for number, rows in by_bucket(batches, 3):
+        b = Bucket(number, next(blob for kind, _, blob in rows if kind == COUNTS))
+        local = _local(state, [(chunk, blob) for kind, chunk, blob in rows if kind == SHARED])
+        if state is not None:
+            for last in range(len(state.sweeps)):
+                b.sweep(local, last)
+        at = b.context if bits is None else np.searchsorted(b.keys, b.context.astype(U64))
+        held = [np.bincount(at, x, len(b.keys)).astype(np.int64) for x in ([b.tables] if state is not None else [b.tables, b.count])]
+        own = np.add.reduceat(b.tables, b.begin)
+        sums = np.array([b.count.sum(), len(b.words), own.sum(), b.parent_tables.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (own == 1).sum(), (own == 2).sum()], np.int64)
+        rows = [(p, ASK, number, _packed(b.keys[x], *[h[x] for h in held])) for p, x in _divided(b.keys, bits, parts)]
+        yield _rows([*rows, (number % parts, SUMS, number, _packed(sums))])
+
+
+def _summed(batches, sweep):
+    """The table of a part's restaurants, and for each bucket the tables of those it asked for."""
     for part, rows in by_bucket(batches, 3):
-        total = None
-        for _, _, blob in rows:
-            arrays = _unpacked(blob)
-            total = arrays if total is None else [x + y for x, y in zip(total, arrays)]
-        yield _rows([(part, 0, 0, _packed(*total))])
-
-
-def _gather(counts: DataFrame, state: State | None, contexts: int):
-    shared = counts.mapInArrow(lambda b: _shared(b, state, contexts), SCHEMA)
-    added = shared.repartition(PARTS, "bucket").sortWithinPartitions("bucket").mapInArrow(_added, SCHEMA)
-    parts = [_unpacked(bytes(r.blob)) for r in added.orderBy("bucket").collect()]
-    if not parts:
-        return np.zeros(contexts, np.int64), np.zeros(contexts, np.int64), np.zeros(8, np.int64)
-    tables, customers, sums = (np.concatenate(x) for x in zip(*parts))
-    return tables, customers, sums.reshape(PARTS, 8).sum(axis=0)
+        asked = [(bucket, _unpacked(blob)) for kind, bucket, blob in rows if kind == ASK]
+        if asked:
+            keys, place = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
+            total = [np.bincount(place, np.concatenate(x), len(keys)).astype(np.int64) for x in list(zip(*[a for _, a in asked]))[1:]]
+            yield _rows([(part, TABLE, sweep, _packed(keys, *total))])
+            end = np.cumsum([len(a[0]) for _, a in asked])
+            yield _rows([(bucket, ANSWER, sweep << 32 | part, _packed(total[0][place[e - len(a[0]):e]])) for (bucket, a), e in zip(asked, end)])
+        sums = [_unpacked(blob)[0] for kind, _, blob in rows if kind == SUMS]
+        if sums:
+            yield _rows([(part, SUMS, sweep, _packed(np.sum(sums, axis=0)))])
+
+
+def _gather(counts: DataFrame, shared: list[DataFrame], state: State | None, bits: int | None, buckets: int):
+    """Sums after one more sweep; the tables of restaurants are added to ``shared``."""
+    sweep, rows = len(shared), _beside(counts, shared if bits is None else [])
+    if rows is not counts:
+        rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
+    asked = rows.mapInArrow(lambda b: _seatings(b, state, bits, buckets), SCHEMA)
+    shared.append(stored(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(lambda b: _summed(b, sweep), SCHEMA), "lm-contexts"))
+    sums = [_unpacked(bytes(r.blob))[0] for r in shared[-1].where(F.col("kind") == SUMS).select("blob").collect()]
+    return np.sum(sums, axis=0) if sums else np.zeros(8, np.int64)
+
+
+def _freed(spark) -> None:
+    """Shuffle files of finished sweeps go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _beside(counts: DataFrame, shared: list[DataFrame]) -> DataFrame:
+    """Counts with what the buckets know of their restaurants."""
+    for table in shared:
+        counts = counts.unionByName(table.where(F.col("kind") == ANSWER).withColumn("kind", F.lit(SHARED)))
+    return counts
+
+
+def _hashed(shared: DataFrame, contexts: int) -> list[np.ndarray]:
+    """Tables (and customers) of all hashed restaurants as arrays."""
+    out = [np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)]
+    for r in shared.where(F.col("kind") == TABLE).select("blob").collect():
+        keys, *held = _unpacked(bytes(r.blob))
+        for x, h in zip(out, held):
+            x[keys.astype(np.int64)] = h
+    return out
 
 
 @dataclass
 class Model:
     counts: DataFrame
+    shared: list[DataFrame]
     state: State
     buckets: int
-    bits: int
+    bits: int | None
     burn_in: int
 
 
-def fit(docs: DataFrame, text_col: str = "text", bits: int = 18, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, bucket_bytes: int = 24 << 20) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", bits: int | None = None, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0, bucket_bytes: int = 24 << 20) -> Model:
     """A word model from all texts of ``docs``.
 
     Tokens: words (runs of bytes other than white space, A-Z lower-cased) and one end a text.  Each token is a customer in
-    the restaurant of the token before it; contexts are hashed into 2**``bits`` restaurants (a parameter of the model), which
+    the restaurant of the token before it (told by its 64-bit hash); only if ``bits`` is given, contexts are hashed into
+    2**``bits`` restaurants, whose tables and customers then are arrays in the model's state.  All restaurants
     share one parent over words, whose base is uniform over the words seen and one more.  Discounts come from the
     counts of counts.
 
     Counts are summed in the tasks, dealt by word, and kept as one row a bucket; the number of buckets follows the size
     of the texts.  A sweep seats every bucket's customers anew, given the others' seating after the sweep before, and
-    returns tables by context: vectors of fixed length, summed in parts.  The state of a bucket is not stored: later
+    sends tables by context to as many parts, which add them up and return to each bucket those it has.  The state of a bucket is not stored: later
     sweeps replay the earlier ones from their seeds, so a lost task is run again to the same seating.
 
     Null and empty texts are one end token.  No rows give a model that knows nothing.
@@ -306,42 +407,54 @@ def fit(docs: DataFrame, text_col: str = "text", bits: int = 18, sweeps: int = 3
     octets = narrow.agg(F.sum(F.octet_length("text"))).first()[0]
     buckets = parts_for(octets or 0, bucket_bytes, docs.sparkSession)
     sent = narrow.mapInArrow(lambda b: _counted(b, bits, buckets), SCHEMA)
-    counts = stored(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, SCHEMA), "lm-counts")
-    contexts = 1 << bits
-    tables, customers, s = _gather(counts, None, contexts)
+    counts = stored(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _merged(b, bits), SCHEMA), "lm-counts")
+    shared: list[DataFrame] = []
+    s = _gather(counts, shared, None, bits, buckets)
+    _freed(docs.sparkSession)
 
     def discount(ones, twos):
         return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95))
 
+    tables, customers = (None, None) if bits is None else _hashed(shared[0], 1 << bits)
     state = State(int(s[0]), int(s[1]), customers, discount(s[4], s[5]), discount(s[6], s[7]), strength, [(tables, int(s[2]), int(s[3]))])
     for _ in range(sweeps):
-        tables, _, s = _gather(counts, state, contexts)
-        state.sweeps.append((tables, int(s[2]), int(s[3])))
-    return Model(counts, state, buckets, bits, burn_in)
+        s = _gather(counts, shared, state, bits, buckets)
+        _freed(docs.sparkSession)
+        state.sweeps.append((None if bits is None else _hashed(shared[-1], 1 << bits)[0], int(s[2]), int(s[3])))
+    return Model(counts, shared, state, buckets, bits, burn_in)
 
 
-def _scored(batches, state: State, burn_in: int):
+def _scored(batches, state: State, chosen: list[int]):
     """Sums for each chunk's documents over the words of a bucket: the bucket's counts come first, then its chunks."""
-    bucket, samples, number = None, [], None
+    bucket, samples, number, held = None, [], None, []
     v1 = state.v + 1
     for batch in batches:
         for b, kind, chunk, blob in zip(*[c.to_pylist() for c in batch.columns]):
             if b != number:
-                bucket, samples, number = None, [], b
+                bucket, samples, number, held = None, [], b, []
             if kind == COUNTS:
                 bucket = Bucket(b, blob)
-                pairs = mixed(bucket.word + mixed(bucket.context.astype(U64)))
-                by_pair = np.argsort(pairs)
-                pairs = pairs[by_pair]
-                for sweep in range(len(state.sweeps) - 1):
-                    bucket.sweep(state, sweep)
-                    if sweep + 1 > burn_in:
-                        samples.append((state.sweeps[sweep + 1][0], bucket.tables[by_pair], *bucket.parent(state, sweep + 1)))
+                continue
+            if kind == SHARED:
+                held.append((chunk, blob))
                 continue
             if kind == DOCS:
                 yield _rows([(b, DOCS, chunk, blob)])
                 continue
-            w, c, m, doc, times = _unpacked(blob)
+            if not samples:
+                if bucket is not None:
+                    local, held = _local(state, held), []
+                    restaurant = bucket.keys[bucket.context] if state.customers is None else bucket.context.astype(U64)
+                    pairs = mixed(bucket.word + mixed(restaurant))
+                    by_pair = np.argsort(pairs)
+                    pairs = pairs[by_pair]
+                    for sweep in range(max(chosen)):
+                        bucket.sweep(local, sweep)
+                        if sweep + 1 in chosen:
+                            samples.append((bucket.tables[by_pair], *bucket.parent(local, sweep + 1)))
+                else:
+                    samples = [_unseen(state, k) for k in chosen]
+            w, key, m, doc, times, customers, *tables_of = _unpacked(blob)
             known = np.zeros(len(w), np.int64)
             place, hit = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
             seen, at = np.zeros(len(w)), np.zeros(len(w), np.int64)
@@ -349,15 +462,14 @@ def _scored(batches, state: State, burn_in: int):
                 place = np.minimum(np.searchsorted(bucket.words, w), len(bucket.words) - 1)
                 hit = bucket.words[place] == w
                 known[hit] = bucket.total[place[hit]]
-                key = mixed(w + mixed(c.astype(U64)))
                 at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
                 seen = np.where(pairs[at] == key, bucket.count[by_pair[at]], 0)
             p = np.zeros(len(w))
-            for tables, own, p_word, p_new in samples or [_unseen(state)]:
+            for tables, (own, p_word, p_new) in zip(tables_of, samples):
                 parent = np.where(hit, p_word[place], p_new) if len(p_word) else np.full(len(w), p_new)
                 sat = np.where(seen > 0, seen - state.discount * own[at], 0.0) if len(own) else seen
-                p += (sat + (state.strength + state.discount * tables[c]) * parent) / (state.strength + state.customers[c])
-            p /= max(1, len(samples))
+                p += (sat + (state.strength + state.discount * tables) * parent) / (state.strength + customers)
+            p /= len(samples)
             base = (known + 0.5) / (state.n + 0.5 * v1)
             times = times.astype(float)
             n = int(doc.max()) + 1
@@ -366,11 +478,11 @@ def _scored(batches, state: State, burn_in: int):
             yield _rows([(b, TEXTS, chunk, _packed(own_docs, *sums))])
 
 
-def _unseen(state: State):
+def _unseen(state: State, sweep: int):
     """A sample for a bucket without counts: only the probability of a new word."""
-    tables, customers, parent_tables = state.sweeps[-1]
+    _, customers, parent_tables = state.sweeps[sweep]
     new = (state.strength + state.parent_discount * parent_tables) / (state.v + 1)
-    return tables, np.zeros(0), np.zeros(0), new / (state.strength + customers)
+    return np.zeros(0), np.zeros(0), new / (state.strength + customers)
 
 
 def _by_document(batches, n_train):
@@ -393,17 +505,26 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity of every row.
 
     A text's probability is the product over its tokens of the predictive probability averaged over the sweeps after
-    ``burn_in``.  Documents go through in chunks: the (word, context) pairs of a chunk meet the counts of their bucket,
+    ``burn_in``.  Documents go through in chunks: a chunk learns what its restaurants hold, then the (word, context) pairs of a chunk meet the counts of their bucket,
     which is held while the chunks pass by, and only sums for each document come back.  A frequent pair is one entry a
     document at most, in the bucket's stream, never gathered.
 
     Null texts are the end token alone.  Null and repeated ids are scored row by row.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    state, buckets, bits, burn_in = docs.sparkSession.sparkContext.broadcast(model.state), model.buckets, model.bits, model.burn_in
-    chunks = narrow.mapInArrow(lambda b: _texts(b, bits, buckets), SCHEMA)
-    every = model.counts.unionByName(chunks).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    sums = every.mapInArrow(lambda b: _scored(b, state.value, burn_in), SCHEMA)
+    state, buckets, bits = docs.sparkSession.sparkContext.broadcast(model.state), model.buckets, model.bits
+    last = len(model.state.sweeps) - 1
+    chosen = list(range(model.burn_in + 1, last + 1)) or [last]
+    # stored: the same chunks are asked about and then scored
+    chunks = stored(narrow.mapInArrow(lambda b: _texts(b, bits), SCHEMA), "lm-chunks")
+    asked = chunks.mapInArrow(lambda b: _questions(b, bits, buckets), SCHEMA)
+    for k in sorted({0, *chosen}):
+        asked = asked.unionByName(model.shared[k].where(F.col("kind") == TABLE))
+    replies = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: _replies(b, chosen), SCHEMA)
+    whole = chunks.unionByName(replies).select("chunk", "kind", "bucket", "blob").repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    dealt = whole.mapInArrow(lambda b: _chunks(b, bits, buckets), SCHEMA)
+    every = _beside(model.counts, model.shared if bits is None else []).unionByName(dealt).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
+    sums = every.mapInArrow(lambda b: _scored(b, state.value, chosen), SCHEMA)
     n_train = model.state.n
     back = sums.select("chunk", "kind", "blob").repartition("chunk").sortWithinPartitions("chunk", "kind")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -330,6 +330,16 @@ def test_language_model_is_a_distribution(spark):
         assert shares + state.strength + state.discount * tables == pytest.approx(state.strength + state.customers)
 
 
+def test_language_model_keeps_contexts_apart(spark):
+    """More contexts than 2**18: each has its own restaurant, with its own customers."""
+    rows = [(" ".join(f"w{k}" for k in range(first, first + 1000)),) for first in range(0, 300_000, 1000)]
+    model = pitmanyor.fit(spark.createDataFrame(rows, "text string"), sweeps=1, burn_in=0)
+    found = [pitmanyor._unpacked(bytes(r.blob)) for r in model.shared[0].where(F.col("kind") == pitmanyor.TABLE).collect()]
+    keys, _, customers = (np.concatenate(x) for x in zip(*found))
+    assert len(np.unique(keys)) == len(keys) == 300_001
+    assert sorted(customers)[-2:] == [1, 300] and customers.sum() == 300_300
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(4)
     c = np.full(4000, 30)
