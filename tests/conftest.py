@@ -3,8 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+for folder in (os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))):
+    sys.path.insert(0, folder)
 
 
 @pytest.fixture(scope="session")
@@ -26,5 +26,6 @@ def spark():
 @pytest.fixture(scope="session")
 def tables(spark):
     from driftmark.sources.tables import Tables
+    from tables_in_use import SF
 
     return Tables(spark, SF)

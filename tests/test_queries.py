@@ -3,8 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF
 from oracle import compare, duck
+from tables_in_use import SF
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
