@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import EDGE
+from edge_rows import EDGE
 
 from driftmark.llm import decontamination, embeddings, graph, langid, minhash, packing, pitmanyor, sharding, suffixarray, suffixtree, toxicity
 from pyspark.sql import functions as F
