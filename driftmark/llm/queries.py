@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontamination, embeddings, langid, minhash, oracles, packing, pitmanyor, sharding, suffixarray, suffixtree, toxicity
+from driftmark.llm import conversations, decontamination, embeddings, fingerprints, langid, minhash, oracles, packing, pitmanyor, sharding, suffixarray, suffixtree, toxicity, whitening
 from driftmark.llm.tables import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,18 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     dictionaries = langid.train(docs.where(remainder(F.col("doc_id"), 4) != 2))
     found = langid.identify(docs, dictionaries)
     return found.withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+
+
+@query
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_pairs(read(spark, folder, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+@query
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audit(conversations.damage(read(spark, folder, "conversations")), dropped_col="dropped")
