@@ -76,7 +76,7 @@ SUMMARY_COLUMNS = f"_key string, {RUN} long, _slice long, kind int, at long, pri
 STATE_COLUMNS = f"_key string, {RUN} long, _slice long, in_at long, in_price double"
 
 
-def _fold(make: Callable[[], Cooldown | Budget]):
+def _fold(make: Callable[[], Cooldown]):
     """Runs a policy over sorted rows, batch by batch, starting anew with every key, run and slice.
 
     A row without an id carries the state its slice is entered with.
@@ -193,27 +193,23 @@ def ordered_fold(
     key like others.  A row without a time cannot be put in order: it is accepted and suppresses nothing.
     """
     policy = make()
-    sliced = isinstance(policy, Cooldown)
     slim = df.filter(F.col(ts).isNotNull()).select(*keys, ts, row_id, *([price] if price else []))
-    if sliced:
-        # of rows with one key, time and price only the first can be accepted: copies combine here
-        slim = slim.groupBy(*keys, ts, *([price] if price else [])).agg(F.min(row_id).alias(row_id))
+    # of rows with one key, time and price only the first can be accepted: copies combine here
+    slim = slim.groupBy(*keys, ts, *([price] if price else [])).agg(F.min(row_id).alias(row_id))
     runs = _runs(slim, keys, ts, row_id, quiet_seconds, unit)
     span = (slice_seconds or quiet_seconds * SLICES_PER_TTL) * 1_000_000
     rows = runs.select(
         key_text(keys).alias("_key"), RUN,
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(row_id).alias("_id"),
         (F.col(price).cast("double") if price else F.lit(0.0)).alias("_price"),
-    ).withColumn("_slice", F.floor(F.col("_at") / span) if sliced else F.lit(0).cast("long"))
-    placed = rows.withColumn("_entry", F.lit(False))
-    if sliced:
-        group = ["_key", RUN, "_slice"]
-        extent = rows.groupBy("_key", RUN).agg(F.min("_slice").alias("lo"), F.max("_slice").alias("hi")).filter("hi > lo")
-        long_runs = rows.join(extent.select("_key", RUN), ["_key", RUN], "left_semi")
-        sums = long_runs.groupBy(*group).applyInPandas(_summaries(policy.ttl, policy.cheaper, span), SUMMARY_COLUMNS)
-        walked = sums.repartition("_key", RUN).sortWithinPartitions(*group, "kind", "at").mapInPandas(_walk(policy.ttl), STATE_COLUMNS)
-        entries = walked.select("_key", RUN, F.col("in_at").alias("_at"), F.lit(None).cast("long").alias("_id"), F.col("in_price").alias("_price"), "_slice", F.lit(True).alias("_entry"))
-        placed = placed.unionByName(entries)
+    ).withColumn("_slice", F.floor(F.col("_at") / span))
+    group = ["_key", RUN, "_slice"]
+    extent = rows.groupBy("_key", RUN).agg(F.min("_slice").alias("lo"), F.max("_slice").alias("hi")).filter("hi > lo")
+    long_runs = rows.join(extent.select("_key", RUN), ["_key", RUN], "left_semi")
+    sums = long_runs.groupBy(*group).applyInPandas(_summaries(policy.ttl, policy.cheaper, span), SUMMARY_COLUMNS)
+    walked = sums.repartition("_key", RUN).sortWithinPartitions(*group, "kind", "at").mapInPandas(_walk(policy.ttl), STATE_COLUMNS)
+    entries = walked.select("_key", RUN, F.col("in_at").alias("_at"), F.lit(None).cast("long").alias("_id"), F.col("in_price").alias("_price"), "_slice", F.lit(True).alias("_entry"))
+    placed = rows.withColumn("_entry", F.lit(False)).unionByName(entries)
     placed = placed.repartition("_key", RUN, "_slice").sortWithinPartitions("_key", RUN, "_slice", F.desc("_entry"), "_at", "_id")
     verdicts = placed.mapInPandas(_fold(make), FOLD_COLUMNS)
     judged = df.join(verdicts.select(F.col("_id").alias(row_id), "accepted"), row_id, "left")
@@ -261,11 +257,103 @@ def throttle(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, hours:
     return ordered_fold(rows, keys, ts, row_id, span, lambda: Cooldown(span * 1_000_000, False), unit=unit)
 
 
-def trailing_budget(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, limits: Sequence[tuple[int, int]]) -> DataFrame:
-    """Admission under limits given as (span in seconds, most rows), counted over admitted rows."""
+QUEUE_COLUMNS = "_key string, _slice long, _queue array<long>"
+
+
+def admitted(at: np.ndarray, queue: Sequence[int], limits: Sequence[tuple[int, int]]) -> list[int]:
+    """Which of a slice's rows (times, sorted) are admitted, given the times admitted before it.
+
+    The slice is no longer than any span, so what it admits stays counted to its end and only entries of ``queue``
+    make room: the j-th admission waits until, for each limit, enough of the last ones have left the span.  It is the
+    first row behind both the admission before it and the latest of these times.
+    """
+    out: list[int] = []
+    held = [(list(queue[-most:]), span, most) for span, most in limits]
+    after = -1
+    while True:
+        here = after + 1
+        for last, span, most in held:
+            leave = len(out) + 1 - (most - len(last))  # so many must have left
+            if leave > len(last):
+                return out
+            if leave > 0:
+                here = max(here, int(np.searchsorted(at, last[leave - 1] + span, "right")))
+        if here >= len(at):
+            return out
+        out.append(here)
+        after = here
+
+
+def _queues(limits: Sequence[tuple[int, int]]):
+    """Times admitted before each slice, from the slices' times in order: one bounded queue a key."""
+    longest, most = max(s for s, _ in limits), max(n for _, n in limits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, queue = None, []
+        for batch in batches:
+            out = []
+            for key, piece, times in zip(batch["_key"], batch["_slice"], batch["_times"]):
+                if key != current:
+                    current, queue = key, []
+                queue = [t for t in queue if t >= times[0] - longest][-most:]
+                out.append((key, piece, queue))
+                queue = queue + [int(times[i]) for i in admitted(times, queue, limits)]
+            yield pd.DataFrame(out, columns=["_key", "_slice", "_queue"])
+
+    return run
+
+
+def _admissions(limits: Sequence[tuple[int, int]]):
+    """Verdicts of slices; rows come sorted, each slice led by a row with its queue."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, queue, ats, row_ids = None, [], [], []
+
+        def judged() -> pd.DataFrame:
+            taken = np.zeros(len(ats), bool)
+            taken[admitted(np.array(ats, np.int64), queue, limits)] = True
+            return pd.DataFrame({"_id": row_ids, "accepted": taken})
+
+        for batch in batches:
+            for key, piece, at, row_id, own in zip(*[batch[c] for c in ("_key", "_slice", "_at", "_id", "_queue")]):
+                if (key, piece) != current:
+                    if ats:
+                        yield judged()
+                    current, queue, ats, row_ids = (key, piece), [int(t) for t in own], [], []
+                else:
+                    ats.append(at)
+                    row_ids.append(row_id)
+        if ats:
+            yield judged()
+
+    return run
+
+
+def trailing_budget(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, limits: Sequence[tuple[int, int]], slices_per_span: int = 16) -> DataFrame:
+    """Admission under limits given as (span in seconds, most rows), counted over admitted rows.
+
+    A key is cut into time slices shorter than the shortest span.  What a slice admits follows from its times and the
+    queue of earlier admissions by a few binary searches (``admitted``), so the slices of a key are first reduced to
+    their times, of which equal ones count no more often than a limit can admit them; one pass over these hands the
+    queue from slice to slice; then all slices are judged at once in many tasks.  The pass is the only step that sees a
+    whole key, as arrays of numbers.  Null keys are keys like others; rows without a time are admitted.
+    """
     micros = [(s * 1_000_000, n) for s, n in limits]
-    longest = max(s for s, _ in limits)
-    return ordered_fold(rows, keys, ts, row_id, longest + 1, lambda: Budget(micros))
+    span = max(1, min(s for s, _ in micros) // slices_per_span)
+    most = max(n for _, n in micros)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    slim = rows.filter(F.col(ts).isNotNull()).select(key_text(keys).alias("_key"), F.floor(at / span).alias("_slice"), at.alias("_at"), F.col(row_id).alias("_id"))
+    counted = slim.groupBy("_key", "_slice", "_at").agg(F.count("*").alias("n"))
+    times = counted.groupBy("_key", "_slice").agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("_at", F.least("n", F.lit(most)).cast("int").alias("n")))), lambda x: F.array_repeat(x["_at"], x["n"])
+    )).alias("_times"))
+    queues = times.repartition("_key").sortWithinPartitions("_key", "_slice").mapInPandas(_queues(micros), QUEUE_COLUMNS)
+    nothing = F.lit(None).cast("long")
+    leads = queues.select("_key", "_slice", nothing.alias("_at"), F.lit(None).cast(slim.schema["_id"].dataType).alias("_id"), "_queue")
+    both = slim.withColumn("_queue", F.lit(None).cast("array<long>")).unionByName(leads)
+    placed = both.repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", F.col("_at").asc_nulls_first(), "_id")
+    verdicts = placed.mapInPandas(_admissions(micros), f"_id {slim.schema['_id'].dataType.simpleString()}, accepted boolean")
+    judged = rows.join(verdicts.withColumnRenamed("_id", row_id), row_id, "left")
+    return judged.withColumn("accepted", F.coalesce("accepted", F.col(ts).isNull()))
 
 
 def tumbling_budget(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, limit: int) -> DataFrame:

@@ -198,3 +198,32 @@ def store_health_stream(requests: DataFrame, last: int = 100) -> DataFrame:
     return requests.groupBy("store").applyInPandasWithState(
         fold, HEALTH_SCHEMA, "total long, good long, run long, oks array<boolean>, durations array<double>", "update", GroupStateTimeout.NoTimeout
     )
+
+
+LATENCY_SCHEMA = "{key} string, seen long, samples long, p50 double, p95 double, p99 double, avg_ms double, min_ms double, max_ms double, is_slow boolean"
+
+
+def latency_percentiles_stream(requests: DataFrame, key: str, last: int = 100, least: int = 5, slow_ms: float = 2000.0) -> DataFrame:
+    """Positional percentiles of each key's newest latencies after every micro-batch (update mode).
+
+    The state is the newest ``last`` rows by time and id, so rows that arrive late fall into their place.  ``seen`` counts
+    the key's rows so far: its greatest value marks the newest state.
+    """
+    def fold(group, batches, state: GroupState):
+        seen, times, ids, durations = state.get if state.exists else (0, [], [], [])
+        pdf = pd.concat(list(batches))
+        rows = [*zip(times, ids, durations), *zip(_micros(pdf["ts"]).tolist(), pdf["request_id"].tolist(), pdf["duration_ms"].astype(float).tolist())]
+        rows = sorted(rows, key=lambda r: r[:2])[-last:]
+        seen += len(pdf)
+        state.update((seen, *([r[i] for r in rows] for i in range(3))))
+        if len(rows) < least:
+            return
+        s = sorted(r[2] for r in rows)
+        n = len(s)
+        p95, p99 = s[int(n * 0.95)] if n > 20 else s[-1], s[int(n * 0.99)] if n > 50 else s[-1]
+        yield pd.DataFrame([(group[0], seen, n, s[n // 2], p95, p99, sum(s) / n, s[0], s[-1], p95 > slow_ms)], columns=LATENCY_SCHEMA.format(key=key).replace(",", "").split()[::2])
+
+    slim = requests.select(key, "ts", "request_id", F.col("duration_ms").cast("double").alias("duration_ms"))
+    return slim.groupBy(key).applyInPandasWithState(
+        fold, LATENCY_SCHEMA.format(key=key), "seen long, times array<long>, ids array<long>, durations array<double>", "update", GroupStateTimeout.NoTimeout
+    )

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftmark.operators import dedupe as G
 
@@ -62,6 +63,42 @@ def test_budget_counts_admitted_rows(spark):
     assert sorted(r["id"] for r in got.filter("accepted").collect()) == [0, 10, 61, 71]
 
 
+def budget_loop(rows, limits):
+    """rows (key, at, id): the plain policy, key by key."""
+    out, policies = [], {}
+    for key, at, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if key not in policies:
+            policies[key] = G.Budget(limits)
+            policies[key].reset()
+        if policies[key].admit(at, 0.0):
+            out.append(i)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limits", [[(600, 3)], [(600, 3), (3000, 10)], [(600, 3), (3000, 4)], [(50, 1)], [(3000, 40), (600, 12)]])
+@pytest.mark.parametrize("slices", [1, 7, 16])
+def test_budget_equals_loop(spark, limits, slices):
+    rng, rows, at = random.Random(11), [], 0
+    for i in range(4000):
+        at += rng.choice([0, 0, 1, 7, 40, 40, 300, 700]) * 1_000_000
+        rows.append((rng.choice(["hot"] * 9 + ["a", "b", None]), at, i))
+    df = spark.createDataFrame(rows, "k string, us long, id long").withColumn("at", F.timestamp_micros("us")).repartition(5)
+    got = G.trailing_budget(df.select("k", "at", "id"), ["k"], "at", "id", limits, slices)
+    assert sorted(r["id"] for r in got.filter("accepted").collect()) == budget_loop(rows, [(s * 1_000_000, n) for s, n in limits])
+    assert got.count() == len(rows)
+
+
+def test_budget_of_a_hot_key(spark):
+    """One key has 90 % of the rows and is never quiet."""
+    n = 400_000
+    d = spark.range(n).withColumn("k", F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < 9, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))))
+    d = d.withColumn("us", F.col("id") * 900_000 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5_000_000)))
+    limits = [(3600, 12), (6 * 3600, 60)]
+    got = G.trailing_budget(d.withColumn("at", F.timestamp_micros("us")), ["k"], "at", "id", limits)
+    want = budget_loop([tuple(r) for r in d.select("k", "us", "id").collect()], [(s * 1_000_000, m) for s, m in limits])
+    assert sorted(r["id"] for r in got.filter("accepted").select("id").collect()) == want
+
+
 def test_malformed_subscription_matches_all(spark):
     deals = spark.createDataFrame([(1, "a", "tv", 10.0, 0.2), (2, "b", None, 60.0, 0.9)], "product_id long, store string, category string, discount_percent double, confidence double")
     subs = spark.createDataFrame(
