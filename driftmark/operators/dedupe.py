@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftmark import params
-from driftmark.operators import skew
+from driftmark.operators import predicates as P, skew
 
 RUN = "_run"
 FOLD_COLUMNS = "_key string, _id long, _at long, _price double, accepted boolean"
@@ -508,32 +508,62 @@ def candidate_outcome(evidence: DataFrame) -> DataFrame:
 FILTER_SCHEMA = "min_discount double, stores array<string>, categories array<string>, min_confidence double"
 
 
-def subscriber_fanout(deals: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Deals per enabled subscription whose filters they pass; malformed filters match everything.
+BAND_PERCENT = 6.25
+NO_CATEGORY = "\u0001none"
+
 
-    Subscriptions that name stores meet deals by store, the others by a star every deal carries; both
-    are equi joins with the deals spread over salts.
+def _subscription_index(subscriptions: DataFrame) -> DataFrame:
+    """Enabled subscriptions filed by store (or ``*``), a gram of each category, and the bands their discount allows.
+
+    A subscription without categories is filed under the empty gram; one with categories also where deals without a
+    category look.
     """
     subs = subscriptions.filter("enabled").select("webhook_id", F.from_json("filters", FILTER_SCHEMA).alias("f"))
-    stores = F.col("f.stores")
+    stores, wanted = F.col("f.stores"), F.transform("f.categories", lambda c: F.lower(c))
+    any_store = F.coalesce(F.size(stores), F.lit(0)) <= 0
+    any_category = F.coalesce(F.size(wanted), F.lit(0)) <= 0
     subs = subs.select(
-        "webhook_id", F.col("f.min_discount").alias("s_discount"), F.col("f.min_confidence").alias("s_confidence"),
-        F.col("f.categories").alias("s_categories"),
-        F.explode(F.when(F.coalesce(F.size(stores), F.lit(0)) > 0, F.array_distinct(stores)).otherwise(F.array(F.lit("*")))).alias("route"),
-    )
-    routed = deals.withColumn("route", F.explode(F.array(F.lit("*"), F.col("store"))))
-    in_category = (
-        (F.coalesce(F.size("s_categories"), F.lit(0)) <= 0) | F.col("category").isNull()
-        | F.exists("s_categories", lambda c: F.contains(F.lower("category"), F.lower(c)))
-    )
-    passes = (
-        (F.col("discount_percent") >= F.coalesce("s_discount", F.lit(0.0))) & in_category
-        & (F.col("confidence") >= F.coalesce("s_confidence", F.lit(0.0)))
-    )
-    from driftmark.operators.skew import salted_join
+        "webhook_id", F.coalesce("f.min_discount", F.lit(0.0)).alias("s_discount"), F.coalesce("f.min_confidence", F.lit(0.0)).alias("s_confidence"),
+        F.when(~any_category, wanted).alias("s_categories"), F.when(any_store, F.array(F.lit("*"))).otherwise(F.array_distinct(stores)).alias("s_routes"),
+    ).withColumn("s_row", F.struct("webhook_id", "s_discount", "s_confidence", "s_categories", "s_routes"))
+    named = subs.select("s_row", F.posexplode("s_categories").alias("s_place", "needle")).filter(F.col("needle").isNotNull())
+    by_gram = P.filed(named, "needle", ["s_row", "s_place"])
+    plain = subs.select("s_row", F.lit(0).alias("s_place"), F.lit(None).cast("string").alias("needle"), F.explode(
+        F.when(F.col("s_categories").isNull(), F.array(F.lit(""), F.lit(NO_CATEGORY))).otherwise(F.array(F.lit(NO_CATEGORY)))
+    ).alias("gram"))
+    index = by_gram.unionByName(plain).select("s_row.*", "s_place", "needle", F.col("gram").alias("s_gram"))
+    index = index.withColumn("s_route", F.explode("s_routes"))
+    return index.withColumn("s_node", F.explode(P.nodes_from(P.band(F.col("s_discount"), BAND_PERCENT)))).drop("s_routes")
+
+
+def _looked_up(d: DataFrame) -> DataFrame:
+    """Where a (store, lower-case category, band) looks: its store and the star, its grams, the nodes above its band."""
+    d = d.withColumn("gram", F.explode(F.when(F.col("low").isNull(), F.array(F.lit(NO_CATEGORY))).otherwise(P.grams(F.col("low")))))
+    d = d.withColumn("route", F.explode(F.array(F.lit("*"), F.col("store"))))
+    return d.withColumn("node", F.explode(P.nodes_above(F.col("band"))))
+
+
+def subscriber_fanout(deals: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Deals per enabled subscription whose filters they pass; malformed filters match everything.
 
-    out = salted_join(routed, subs, "route", F.col("product_id"), condition=passes)
-    return out.drop("route", "s_discount", "s_confidence", "s_categories")
+    Subscriptions are an index (``_subscription_index``), so the work follows the matches.  In a batch each distinct
+    (store, category, discount band) looks up its candidates once; a streaming deal looks them up itself.  Candidates
+    are tested; of a subscription's categories the first that the deal's holds counts, so no pair comes twice.
+    """
+    low = F.lower("category")
+    named = deals.withColumns({"low": low, "band": P.band(F.col("discount_percent"), BAND_PERCENT)}).filter(F.col("discount_percent").isNotNull())
+    index = _subscription_index(subscriptions)
+    met = (F.col("route") == F.col("s_route")) & (F.col("gram") == F.col("s_gram")) & (F.col("node") == F.col("s_node"))
+    earlier = F.exists(F.slice("s_categories", 1, F.col("s_place")), lambda c: F.coalesce(F.contains("low", c), F.lit(False)))
+    in_category = F.col("needle").isNull() | (F.contains("low", F.col("needle")) & ~F.coalesce(earlier, F.lit(False)))
+    passes = (F.col("discount_percent") >= F.col("s_discount")) & (F.col("confidence") >= F.col("s_confidence"))
+    side = ["webhook_id", "s_discount", "s_confidence"]
+    if deals.isStreaming:
+        return _looked_up(named).join(index, met).filter(in_category & passes).select(*deals.columns, "webhook_id")
+    kinds = named.select("store", "low", "band").distinct()
+    found = _looked_up(kinds).join(index, met).filter(in_category).select(F.col("store").alias("c_store"), F.col("low").alias("c_low"), F.col("band").alias("c_band"), *side)
+    same = F.col("store").eqNullSafe(F.col("c_store")) & F.col("low").eqNullSafe(F.col("c_low")) & (F.col("band") == F.col("c_band"))
+    return named.join(found, same & passes).select(*deals.columns, "webhook_id")
 
 
 def delivery_stats(deliveries: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftmark import params
 from driftmark.functions.numbers import MONEY, fixed_text, percent_off
+from driftmark.operators import predicates as P
 
 CONFIG_FIELDS = "keywords array<string>, exclude_keywords array<string>, brands array<string>"
 
@@ -55,27 +58,39 @@ def listing_filter(listings: DataFrame, configs: DataFrame, key: str = "category
 def without_excluded(listings: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Drops listings on the exclusion list: per store or ``*`` by SKU, keyword pattern, brand.
 
-    SKUs are equi anti joins.  A store's patterns and brands are one row of arrays, so a listing meets one row of its
-    store and is tested against its arrays where it stands; those of the star are one row attached to all listings.
-    Rows by hand: the arrays are as long as a store's list.
+    SKUs are equi anti joins.  Patterns and brands stay rows, each filed under the rarest gram of a literal that no
+    match can do without; the grams of each distinct (store, title, SKU) find the few rules that can match, and only
+    those are tested.  A pattern that is no regular expression is left out, as is a null one.
     """
     x = exclusions.filter("enabled")
     star = F.col("store") == "*"
     skus = x.filter(F.col("sku").isNotNull())
     out = listings.join(skus.filter(~star).select("store", "sku").distinct(), ["store", "sku"], "left_anti")
-    out = out.join(skus.filter(star).select("sku").distinct(), "sku", "left_anti")
-    tests = [F.collect_set(F.concat(F.lit("(?i)"), F.col("keyword"))).alias("_patterns"), F.collect_set(F.lower("brand")).alias("_plains")]
-    by_store = x.filter(~star).groupBy("store").agg(*tests)
-    for_all = x.filter(star).agg(*tests)
-    cols = out.columns
-    text, title = F.concat_ws(" ", "title", "sku"), F.lower("title")
-
-    def tested(patterns: Column, plains: Column) -> Column:
-        return F.coalesce(F.exists(patterns, lambda p: F.rlike(text, p)), F.lit(False)) | F.coalesce(F.exists(plains, lambda w: F.contains(title, w)), F.lit(False))
-
-    out = out.join(by_store, "store", "left").filter(~tested(F.col("_patterns"), F.col("_plains")))
-    out = out.withColumns({c: for_all.select(c).scalar() for c in ("_patterns", "_plains")})
-    return out.filter(~tested(F.col("_patterns"), F.col("_plains"))).select(*cols)
+    out = out.join(skus.filter(star).select("sku").distinct(), "sku", "left_anti").select(*listings.columns)
+
+    own = [F.xxhash64("store", "title", "sku").alias("_h1"), F.xxhash64("sku", "title", "store", F.lit(1)).alias("_h2")]
+    texts = out.select("store", "title", "sku", *own).distinct()
+    whole, title = F.concat_ws(" ", "title", "sku"), F.lower("title")
+    folded = F.translate(whole, string.ascii_uppercase, string.ascii_lowercase)
+
+    patterns = x.filter(F.col("keyword").isNotNull()).select("store", "keyword").distinct()
+    patterns = patterns.withColumn("needle", F.explode(P.pattern_literals("keyword")))
+    patterns = patterns.withColumns({"kind": F.lit("pattern"), "keyword": F.concat(F.lit("(?i)"), F.regexp_replace("keyword", r"\(\?P<", "(?<"))})
+    brands = x.filter(F.col("brand").isNotNull()).select("store", F.lower("brand").alias("needle")).distinct()
+    needles = patterns.unionByName(brands.withColumns({"kind": F.lit("brand"), "keyword": F.lit(None).cast("string")}))
+    index = P.filed(needles, "needle", ["store", "kind", "keyword"], P.counted(texts, folded))
+    index = index.select(F.col("store").alias("_route"), F.col("kind").alias("_kind"), F.col("gram").alias("_gram"), "keyword", "needle")
+
+    def labelled(kind: str, text: Column) -> Column:
+        return F.transform(P.grams(text), lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))
+
+    probes = texts.select("_h1", "_h2", "store", F.explode(F.concat(labelled("pattern", folded), labelled("brand", title))).alias("p"))
+    probes = probes.select("_h1", "_h2", "p.*", F.explode(F.array_distinct(F.array(F.lit("*"), "store"))).alias("route"))
+    met = (F.col("route") == F.col("_route")) & (F.col("kind") == F.col("_kind")) & (F.col("gram") == F.col("_gram"))
+    candidates = probes.join(index, met).select("_h1", "_h2", "kind", "keyword", "needle")
+    hit = F.when(F.col("kind") == "brand", F.contains(title, F.col("needle"))).otherwise(F.contains(folded, F.col("needle")) & F.rlike(whole, F.col("keyword")))
+    gone = texts.select("_h1", "_h2", "title", "sku").join(candidates, ["_h1", "_h2"]).filter(hit).select("_h1", "_h2").distinct()
+    return out.select("*", *own).join(gone, ["_h1", "_h2"], "left_anti").select(*listings.columns)
 
 
 def low_price_keyword(price: Column, title: Column, sku: Column, store: Column) -> Column:
