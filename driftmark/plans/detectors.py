@@ -98,12 +98,13 @@ def training(t: Tables):
 
 @query("e05_iforest_features", with_profile(f"""
     , cached AS (SELECT *, CASE WHEN avg_7d > 0 AND stability > 0.7 THEN avg_7d WHEN avg_30d > 0 THEN avg_30d ELSE median END AS cb
-                 FROM profile WHERE n > 0)
+                 FROM profile WHERE n > 0),
+    own AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY fetched_at DESC, order_id DESC, line_no DESC, supp_id DESC, ext_price DESC, qty DESC) - 1 AS hrank FROM observations)
     SELECT product_id, order_id, line_no, hrank AS newest_rank, {r('price / cb')} AS f_ratio,
            {r('coalesce((1 - price / CAST(original_price AS DOUBLE)) * 100, 0)')} AS f_discount, {r('stability')} AS f_stability,
            {r('(min_price - price) / CAST(min_price AS DOUBLE)')} AS f_min_distance,
            {r("CASE WHEN max_price > min_price THEN greatest(0.0, least(1.0, (price - min_price) / CAST(max_price - min_price AS DOUBLE))) ELSE 0.5 END")} AS f_range
-    FROM history JOIN cached USING (product_id) WHERE hrank <= 100 AND price > 0 AND observation_count >= 5"""))
+    FROM own JOIN cached USING (product_id) WHERE hrank BETWEEN 1 AND 100 AND price > 0 AND observation_count >= 5"""))
 def iforest_features(t: Tables):
     return training(t).select(
         "product_id", "order_id", "line_no", F.col("newest_rank").cast("long").alias("newest_rank"),

@@ -18,9 +18,14 @@ from driftmark.sources import feeds as S, tablesync as Y
 from driftmark.sources.tables import Tables
 
 
+def scratch(t: Tables, name: str) -> str:
+    """A new folder beside the checkpoints, for a table that a query writes and reads back."""
+    return f"{checkpoint_root(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query("a02_observation_append", with_views("observations", body="SELECT CAST(fetched_at AS DATE) AS dt, 2 * count(*) AS n, CAST(2 * sum(price) AS DECIMAL(20,2)) AS total FROM observations GROUP BY 1"))
 def observation_append(t: Tables):
-    path = f"{checkpoint_root(t.spark)}/observations-{uuid.uuid4().hex}"
+    path = scratch(t, "observations")
     o = t.observations().select("product_id", "price", F.date_trunc("YEAR", "fetched_at").cast("timestamp_ntz").alias("year"), "fetched_at")
     for _ in range(2):  # two appends, as two runs would make
         Y.append_observations(o, path, ts="year")
@@ -266,15 +271,22 @@ def seed_load(t: Tables):
 
 @query("a14_baseline_cache_write", with_profile(", c AS (" + CACHE_SQL + ") SELECT product_id, current_baseline, observation_count, CASE WHEN product_id % 3 = 0 THEN 'updated' ELSE 'created' END AS change FROM c"))
 def baseline_cache_write(t: Tables):
-    old = t.products().filter(F.col("product_id") % 3 == 0).select("product_id")
-    return Y.baseline_cache_merge(old, cache_rows(t)).select("product_id", "current_baseline", "observation_count", "change")
+    path = scratch(t, "baseline-cache")
+    rows = cache_rows(t)
+    Y.write_baseline_cache(rows.filter(F.col("product_id") % 3 == 0).withColumn("current_baseline", F.lit(0.0)), path)
+    Y.write_baseline_cache(rows, path)
+    return t.spark.read.parquet(path).select("product_id", "current_baseline", "observation_count", "change")
 
 
 @query("a15_prune_history", with_views("observations", "ref_time", body="""
     SELECT (SELECT count(*) FROM observations, ref_time WHERE fetched_at >= as_of - INTERVAL 90 DAY) AS kept, (SELECT count(*) FROM observations, ref_time WHERE fetched_at < as_of - INTERVAL 90 DAY) AS expired"""))
 def prune_history(t: Tables):
-    keep, gone = Y.prune(t.observations(), "fetched_at", t.as_of())
-    return keep.agg(F.count("*").alias("kept")).withColumn("expired", gone.scalar())
+    path = scratch(t, "observations")
+    Y.append_observations(t.observations(), path, unit="YEAR")
+    before = t.spark.read.parquet(path).count()
+    cut = t.spark.range(1).select(t.as_of() - F.make_dt_interval(F.lit(params.RETENTION_DAYS))).first()[0]
+    Y.prune_table(t.spark, path, cut, unit="YEAR")
+    return t.spark.read.parquet(path).agg(F.count("*").alias("kept"), (F.lit(before) - F.count("*")).alias("expired"))
 
 
 @query("a16_alert_payload", with_deals(FLAGS_SQL + f"""

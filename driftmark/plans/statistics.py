@@ -33,7 +33,7 @@ PROFILE_SQL = """, prof AS MATERIALIZED (
            avg(CAST(price AS DOUBLE)) FILTER (price > 0 AND fetched_at >= as_of - INTERVAL 30 DAY) AS avg_30d,
            median(CAST(price AS DOUBLE)) FILTER (price > 0 AND fetched_at >= as_of - INTERVAL 30 DAY) AS median_30d,
            median(CAST(price AS DOUBLE)) FILTER (price > 0 AND fetched_at >= as_of - INTERVAL 90 DAY) AS median_90d,
-           max(fetched_at) AS last_at
+           max(fetched_at) AS last_at, max(price) FILTER (hrank = 1) AS last_price
     FROM history, ref_time GROUP BY product_id),
 profile AS (
     SELECT *, std_dev / mean AS cv, greatest(0.0, least(1.0, 1.0 - std_dev / mean)) AS stability FROM prof),
@@ -95,11 +95,11 @@ def current_baseline(t: Tables):
 
 
 CACHE_SQL = f"""
-    SELECT p.product_id, {r('avg_7d')} AS avg_7d, {r('avg_30d')} AS avg_30d, min_price, max_price,
+    SELECT product_id, {r('avg_7d')} AS avg_7d, {r('avg_30d')} AS avg_30d, min_price, max_price,
            {r("CASE WHEN avg_7d > 0 AND stability > 0.7 THEN avg_7d WHEN avg_30d > 0 THEN avg_30d ELSE median END")} AS current_baseline,
            {r('stability', 6)} AS stability, {r('CASE WHEN std_dev > 0 THEN std_dev END')} AS std_deviation,
-           observation_count, h.price AS last_price, h.fetched_at AS last_price_at
-    FROM profile p JOIN history h ON h.product_id = p.product_id AND h.hrank = 1 WHERE n > 0"""
+           observation_count, last_price, last_at AS last_price_at
+    FROM profile WHERE n > 0"""
 
 
 def cache_rows(t: Tables):

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftmark import params
 from driftmark.functions.numbers import MONEY
 
 
-def append_observations(observations: DataFrame, path: str, ts: str = "fetched_at") -> None:
-    """Appends to a parquet table partitioned by day.
+def append_observations(observations: DataFrame, path: str, ts: str = "fetched_at", unit: str = "DAY") -> None:
+    """Appends to a parquet table partitioned by day, or by the first day of each ``unit``.
 
     One shuffle brings a day together; adaptive execution splits a large day and joins small ones, so that days get
     few files and no day is bound to a fixed number of tasks.
     """
-    d = observations.withColumn("dt", F.to_date(ts)).hint("rebalance", F.col("dt"))
+    d = observations.withColumn("dt", F.to_date(F.date_trunc(unit, F.col(ts)))).hint("rebalance", F.col("dt"))
     d.write.mode("append").partitionBy("dt").parquet(path)
 
 
@@ -48,6 +48,59 @@ def baseline_cache_merge(cache: DataFrame, fresh: DataFrame, key: str = "product
     return d.withColumn("change", F.when(F.col("_known").isNull(), "created").otherwise("updated")).drop("_known")
 
 
+def _partitions(spark: SparkSession, path: str) -> tuple:
+    """File system and the partition folders (name, folder) of a table; none if the table does not exist."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return files, []
+    return files, [(x.getPath().getName(), x.getPath()) for x in files.listStatus(root) if x.isDirectory() and "=" in x.getPath().getName()]
+
+
+def write_baseline_cache(fresh: DataFrame, path: str, key: str = "product_id", buckets: int = 64) -> None:
+    """Merges fresh aggregates into a parquet table partitioned by a bucket of the key.
+
+    Fresh rows replace those of their keys, ``change`` tells created from updated ones, and other rows stay.  Only the
+    buckets that fresh rows fall into are read and written again (dynamic partition overwrite, committed as a whole);
+    all others keep their files.
+    """
+    spark = fresh.sparkSession
+    new = fresh.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    _, parts = _partitions(spark, path)
+    if parts:
+        old = spark.read.parquet(path)
+        touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
+        rest = touched.join(new.select(key), key, "left_anti")
+        new = baseline_cache_merge(touched, new, key).select(*old.columns).unionByName(rest.select(*old.columns))
+    else:
+        new = new.withColumn("change", F.lit("created"))
+    new.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def prune_table(spark: SparkSession, path: str, cut, ts: str = "fetched_at", unit: str = "DAY") -> list[str]:
+    """Takes rows before ``cut`` (a datetime) out of a table that ``append_observations`` wrote by ``unit``.
+
+    Partitions that end before the cut are dropped without being read; the one the cut falls into is written again
+    with the rows to keep; later ones are not touched.  Returns the names of dropped partitions.
+    """
+    files, parts = _partitions(spark, path)
+    if not parts:
+        return []
+    table = spark.read.parquet(path)
+    since = F.lit(cut.isoformat(" ")).cast(table.schema[ts].dataType)
+    edge = spark.range(1).select(F.to_date(F.date_trunc(unit, since)).cast("string")).first()[0]
+    dropped = [(name, folder) for name, folder in parts if name.startswith("dt=") and name[3:] < edge]
+    if any(name == f"dt={edge}" for name, _ in parts):
+        kept = table.filter((F.col("dt") == F.lit(edge).cast("date")) & (F.col(ts) >= since))
+        if kept.isEmpty():
+            dropped += [(name, folder) for name, folder in parts if name == f"dt={edge}"]
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    for _, folder in dropped:
+        files.delete(folder, True)
+    return sorted(name for name, _ in dropped)
+
+
 def prune(rows: DataFrame, ts: str, as_of: Column, days: int = params.RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
     """The rows to keep, and one row with the count of expired ones.
 
