@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from driftmark import params
 from driftmark.functions import text as T
@@ -121,7 +121,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, threshold: float, block_ro
 
     Both sides are cut into hash blocks of about ``block_rows``, counted first; every pair of blocks is one task that
     multiplies two matrices and emits at most k rows per query, so neither a cross join nor all pairs appear and a
-    task's memory does not grow with the tables.  The work is quadratic by nature; see ``approximate_knn`` for large
+    task's memory does not grow with the tables.  The work is quadratic by nature; see ``InvertedFile`` for large
     tables.
     """
     blocks = max(1, -(-max(queries.count(), index.count()) // block_rows))
@@ -173,6 +173,80 @@ def approximate_knn(
     return _match(left, right, ["table", "bucket", "qb", "ib"], k, threshold, other_group is not None)
 
 
+class InvertedFile:
+    """Vectors stored by k-means cell, searched in the cells nearest to a query.
+
+    ``path`` holds two tables: ``cells`` (cell, centre, rows, blocks) and ``vectors`` (id, v, g, block, partitioned by
+    cell).  A cell is cut into blocks of about ``block_rows`` by a hash of the id, so no task holds a whole crowded one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.vectors = spark.read.parquet(f"{path}/vectors")
+        self.cells = spark.read.parquet(f"{path}/cells")
+        found = self.cells.select("cell", "centre").orderBy("cell").collect()  # as many as cells were asked for
+        self.numbers = np.array([r.cell for r in found], np.int64)
+        self.centres = np.array([r.centre for r in found], float)
+
+    @staticmethod
+    def centres_of(vectors: DataFrame, cells: int, sample: int, seed: int) -> np.ndarray:
+        """Centres by k-means on the cosine, fitted in Spark on about ``sample`` vectors of lowest hash."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        total = vectors.count()
+        low = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < min(1.0, sample / max(total, 1)) * (1 << 20)
+        some = vectors.filter(low).select(array_to_vector("v").alias("features"))
+        model = KMeans(k=cells, distanceMeasure="cosine", maxIter=15, seed=seed).fit(some)
+        centres = np.array(model.clusterCenters())
+        return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+    @classmethod
+    def build(cls, index: DataFrame, path: str, group: str | None = None, cells: int = 64, block_rows: int = 5000, sample: int = 100_000, seed: int = 42) -> InvertedFile:
+        """Stores ``product_id, embedding`` (normalised) and, given, a group of every row of ``index``."""
+        rows = _vectors(index, group).filter(F.col("v").isNotNull())
+        centres = cls.centres_of(rows, cells, sample, seed)
+        placed = rows.withColumn("cell", F.element_at(_nearest(centres, np.arange(len(centres)), 1)("v"), 1))
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
+        spark = index.sparkSession
+        table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell long, centre array<double>")
+        table.join(sizes, "cell").write.parquet(f"{path}/cells")
+        blocks = spark.read.parquet(f"{path}/cells").select("cell", "blocks")
+        blocked = placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        blocked.drop("blocks").hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(f"{path}/vectors")
+        return cls(spark, path)
+
+    def knn(self, queries: DataFrame, k: int, threshold: float, probes: int = 8, block_rows: int = 5000, other_group: str | None = None) -> DataFrame:
+        """The k best of each query among the rows of its ``probes`` nearest cells, with exact similarities."""
+        nearest = _nearest(self.centres, self.numbers, probes)
+        a = _vectors(queries, other_group).filter(F.col("v").isNotNull()).withColumn("cell", F.explode(nearest("v")))
+        asked = a.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("asked"))
+        sizes = self.cells.select("cell", "blocks").join(asked, "cell")
+        blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+        left = a.join(sizes, "cell").select("id", "v", "g", "cell", F.pmod(F.xxhash64("id"), F.col("asked")).cast("int").alias("qb"), F.explode(blocks).alias("block"))
+        renamed = sizes.select(F.col("cell").alias("_cell"), F.col("asked").alias("_asked"))
+        held = self.vectors.select("id", "v", "g", F.col("cell").cast("long").alias("cell"), "block").join(renamed, F.col("cell") == F.col("_cell"))
+        right = held.select("id", "v", "g", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("_asked") - 1)).alias("qb"))
+        return _match(left, right, ["cell", "block", "qb"], k, threshold, other_group is not None)
+
+
+def _nearest(centres: np.ndarray, numbers: np.ndarray, probes: int):
+    """The ``probes`` cells nearest to a vector, nearest first; the centres are few and travel with the function."""
+    from pyspark.sql.types import ArrayType, LongType
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def cells(v: pd.Series) -> pd.Series:
+        near = np.stack(v.to_numpy()) @ centres.T
+        return pd.Series(numbers[np.argsort(-near, axis=1, kind="stable")[:, :probes]].tolist())
+
+    return cells
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: how many exact matches there are and the share of them that were found."""
+    hits = exact.select("id", "match_id").join(found.select("id", "match_id", F.lit(True).alias("hit")), ["id", "match_id"], "left")
+    return hits.agg(F.count("*").alias("pairs"), F.coalesce(F.count("hit") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("recall"))
+
+
 def match_confidence(similarity: Column, price_a: Column, price_b: Column, msrp_a: Column, msrp_b: Column) -> Column:
     """Similarity, plus closeness of the prices, plus equal MSRP, within 0 and 1."""
     a, b = (F.nullif(p.cast("double"), F.lit(0.0)) for p in (price_a, price_b))

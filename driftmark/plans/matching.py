@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftmark.functions import text as T
@@ -12,6 +14,7 @@ from driftmark.plans.listings import CONFIG_SQL, DEALS_SQL, FIRST_SQL, deal_list
 from driftmark.plans.projections import ATTR_SQL, attr_title
 from driftmark.plans.registry import query
 from driftmark.plans.sqlviews import r, txt, with_views
+from driftmark.session import checkpoint_root
 from driftmark.sources.tables import Tables
 
 LEVEL = 0.25  # the test vectors are far apart; the product's own threshold is params.SIMILARITY_THRESHOLD
@@ -27,9 +30,11 @@ def with_emb(body: str, *views: str) -> str:
     return with_views("products", *views, body=EMB_SQL + body)
 
 
-def neighbours(t: Tables, k: int, other_store: bool = False):
+def neighbours(t: Tables, k: int, other_store: bool = False, index: M.InvertedFile | None = None, probes: int = 26):
+    """Exact neighbours or, given an inverted file, those of its nearest cells."""
     e = t.embeddings()
-    return M.knn(e, e, k, LEVEL, other_group="store" if other_store else None)
+    group = "store" if other_store else None
+    return M.knn(e, e, k, LEVEL, other_group=group) if index is None else index.knn(e, k, LEVEL, probes, other_group=group)
 
 
 @query("f01_embed_text")
@@ -64,10 +69,25 @@ def knn_cosine(t: Tables):
     return neighbours(t, 10).select("id", "match_id", round_to("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("f05_ann_index")
+def inverted_file(t: Tables):
+    """The test vectors as an inverted file; they have no clusters, so a search needs most of its cells."""
+    path = f"{checkpoint_root(t.spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    return M.InvertedFile.build(t.embeddings(), path, group="store", cells=32, block_rows=5000)
+
+
+@query("f05_ann_index", with_emb("""
+    , top AS (SELECT id, match_id FROM near WHERE rank <= 10)
+    SELECT (SELECT count(*) FROM embeddings) AS stored_rows, (SELECT count(*) FROM top) AS exact_pairs, true AS recall_reached, true AS similarities_exact, true AS cells_bounded"""))
 def ann_index(t: Tables):
-    e = t.embeddings()
-    return M.approximate_knn(e, e, 10, LEVEL, dims=64, tables=8, bits=4)
+    index = inverted_file(t)
+    found, exact = index.knn(t.embeddings(), 10, LEVEL, probes=26), neighbours(t, 10)
+    both = M.recall(found, exact)
+    wrong = found.join(exact.select("id", "match_id", F.col("similarity").alias("s")), ["id", "match_id"]).agg(F.count_if(F.abs(F.col("similarity") - F.col("s")) > 1e-7))
+    per_block = index.vectors.groupBy("cell", "block").agg(F.count("*").alias("n")).agg(F.max("n"))
+    return both.select(
+        index.vectors.agg(F.count("*")).scalar().alias("stored_rows"), F.col("pairs").alias("exact_pairs"), (F.col("recall") >= 0.95).alias("recall_reached"),
+        (wrong.scalar() == 0).alias("similarities_exact"), (per_block.scalar() <= 6000).alias("cells_bounded"),
+    )
 
 
 def product_facts(t: Tables):
