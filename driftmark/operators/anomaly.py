@@ -131,9 +131,9 @@ def baseline_anomaly(d: DataFrame) -> DataFrame:
     return d.withColumn("is_anomaly", usable & (F.length("reason") > 0))
 
 
-def training_features(history: DataFrame, baselines: DataFrame, order, limit: int = 100, least: int = 5) -> DataFrame:
-    """Feature rows for the isolation forest: newest 100 rows of products with five or more."""
-    newest = skew.newest_rows(history, ["product_id"], order, limit)
+def training_features(observations: DataFrame, baselines: DataFrame, order, limit: int = 100, least: int = 5) -> DataFrame:
+    """Feature rows for the isolation forest: the 100 rows before the newest one, of products with five or more."""
+    newest = skew.newest_rows(observations, ["product_id"], order, limit, skip=1)
     base = baselines.filter(
         (F.least(F.col("observation_count"), F.lit(limit)) >= least) & (F.col("current_baseline") > 0)
     ).select("product_id", "current_baseline", "stability", "min_price", "max_price")

@@ -197,39 +197,69 @@ def percentile_from_z(z: Column) -> Column:
     )
 
 
-def trend_features(history: DataFrame, order, as_of: Column, days: int = 30) -> DataFrame:
-    """Thirty-day trend: mean, population deviation, slope over the row index, last 7 and 14 means."""
-    recent = history.filter(F.col("fetched_at") >= days_before(as_of, days))
-    ranked = skew.sliced_rank(recent, ["product_id"], order, "DAY", "pos")
-    sizes = recent.groupBy("product_id").agg(F.count("*").alias("price_count"))
-    p = F.col("price").cast("double")
-    back = F.col("price_count") - F.col("pos")
+TAIL = 14
 
-    def tail(k: int) -> Column:
-        return F.when(F.first("price_count") >= k, mean_of_decimals(F.when(back < k, F.col("price"))))
 
-    mean = mean_of_decimals("price")
-    return (
-        ranked.join(sizes, "product_id")
-        .groupBy("product_id")
-        .agg(
-            F.first("price_count").alias("price_count"),
-            mean.alias("avg_price"),
-            F.coalesce(F.stddev_pop(p), F.lit(0.0)).alias("std_price"),
-            F.coalesce(F.when(F.first("price_count") >= 2, F.regr_slope(p, F.col("pos").cast("double"))), F.lit(0.0)).alias("trend_slope"),
-            F.coalesce(tail(7), mean).alias("ma_7"),
-            F.coalesce(tail(14), mean).alias("ma_14"),
-            F.min("price").alias("min_price"),
-            F.max("price").alias("max_price"),
-        )
-        .withColumn("price_volatility", F.when(F.col("avg_price") > 0, F.col("std_price") / F.col("avg_price")).otherwise(0.0))
+def trend_features(rows: DataFrame, order, as_of: Column, days: int = 30, before_newest: bool = False) -> DataFrame:
+    """Thirty-day trend: mean, population deviation, slope over the row index, last 7 and 14 means.
+
+    A product's rows are cut into days.  Each day gives moments of its prices over the index within the day; an index
+    shifts by the number of earlier rows, so the moments of all days add up to those of the product and no row is
+    joined back.  With ``before_newest`` each product's newest row is taken out of the moments of its last day.  Sums
+    of DECIMAL prices are exact.
+    """
+    recent = skew.with_slice(rows.filter(F.col("fetched_at") >= days_before(as_of, days)), "fetched_at", "DAY")
+    day = W.partitionBy("product_id", skew.SLICE)
+    p, at, of = F.col("price"), F.col("_at"), F.col("_of")
+    numbered = recent.select("product_id", skew.SLICE, "price", F.row_number().over(day.orderBy(*order)).alias("_at"), F.count("*").over(day).alias("_of"))
+    sums = numbered.groupBy("product_id", skew.SLICE).agg(
+        F.count("*").alias("size"), F.sum(p).alias("s"), F.sum(p * p).alias("ss"), F.sum(p * at).alias("sp"),
+        F.max(F.when(at == of, p)).alias("last"), F.min(F.when(at < of, p)).alias("low"), F.max(F.when(at < of, p)).alias("high"),
+        F.collect_list(F.when(at >= of - TAIL, F.struct(at.alias("at"), p.alias("p")))).alias("tail"),
+    )
+    by_day = W.partitionBy("product_id").orderBy(skew.SLICE)
+    before = F.coalesce(F.sum("size").over(by_day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumns({"before": before, "final": F.lead("size").over(by_day).isNull() & F.lit(before_newest)})
+
+    def less(value: str, newest: Column) -> Column:
+        return F.when(F.col("final"), F.col(value) - newest).otherwise(F.col(value))
+
+    last = F.col("last")
+    d = sums.select(
+        "product_id", less("size", F.lit(1)).alias("n"), less("s", last).alias("s"), less("ss", last * last).alias("ss"),
+        (less("sp", last * F.col("size")) + F.col("before") * less("s", last)).alias("sp"),
+        *[F.when(F.col("final"), F.col(c)).otherwise(f(c, "last")).alias(c) for c, f in (("low", F.least), ("high", F.greatest))],
+        F.transform(F.filter("tail", lambda x: ~F.col("final") | (x["at"] < F.col("size"))), lambda x: F.struct((x["at"] + F.col("before")).alias("at"), x["p"].alias("p"))).alias("tail"),
     )
+    d = d.groupBy("product_id").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s", "ss", "sp")], F.min("low").alias("min_price"), F.max("high").alias("max_price"),
+        F.slice(F.reverse(F.sort_array(F.flatten(F.collect_list("tail")))), 1, TAIL).alias("tail"),
+    ).filter(F.col("n") > 0)
+    n, mean = F.col("n"), F.col("s").cast("double") / F.col("n")
+    spread = (n * F.col("ss") - F.col("s") * F.col("s")).cast("double") / (n * n)
+    slope = (n * F.col("sp") * 2 - n * (n + 1) * F.col("s")).cast("double") * 6 / (n.cast("double") * n * (n.cast("double") * n - 1))
+
+    def newest(k: int) -> Column:
+        total = F.aggregate(F.slice("tail", 1, k), F.lit(0).cast("decimal(38,6)"), lambda a, x: (a + x["p"]).cast("decimal(38,6)"))
+        return F.when(n >= k, total.cast("double") / k).otherwise(mean)
+
+    std = F.sqrt(F.greatest(spread, F.lit(0.0)))
+    return d.select(
+        "product_id", n.alias("price_count"), mean.alias("avg_price"), std.alias("std_price"), F.when(n >= 2, slope).otherwise(0.0).alias("trend_slope"),
+        newest(7).alias("ma_7"), newest(14).alias("ma_14"), "min_price", "max_price", F.when(mean > 0, std / mean).otherwise(0.0).alias("price_volatility"),
+    )
+
 
+def velocity_features(rows: DataFrame, order, as_of: Column, hours: int = 24, before_newest: bool = False) -> DataFrame:
+    """Price changes within the last day; products with fewer than two rows are left out.
 
-def velocity_features(history: DataFrame, order, as_of: Column, hours: int = 24) -> DataFrame:
-    """Price changes within the last day; products with fewer than two rows are left out."""
-    recent = history.filter(F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    With ``before_newest`` each product's newest row is left out: of a product with rows this recent it is one of them.
+    """
+    recent = rows.filter(F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
     lagged = skew.sliced_lag(recent, ["product_id"], order, ["price"], "HOUR")
+    if before_newest:
+        newest = recent.groupBy("product_id").agg(F.max(F.struct(*order)).alias("_newest"))
+        lagged = lagged.join(newest, "product_id").filter(F.struct(*order) < F.col("_newest"))
     change = F.abs(F.col("price") - F.col("prev_price"))
     hours_span = (
         F.unix_micros(F.max("fetched_at").cast("timestamp")) - F.unix_micros(F.min("fetched_at").cast("timestamp"))
@@ -248,23 +278,27 @@ def velocity_features(history: DataFrame, order, as_of: Column, hours: int = 24)
     )
 
 
-def statistical_features(history: DataFrame, current: DataFrame, order, limit: int = 100) -> DataFrame:
-    """Deviation, empirical percentile and relative deviation against the newest 100 rows."""
-    newest = skew.newest_rows(history, ["product_id"], order, limit)
+def recent_with_current(observations: DataFrame, order, limit: int) -> DataFrame:
+    """The newest ``limit`` rows before each product's newest one, with its price as ``current_price``.
+
+    All come out of one group-limited ranking; the history is not joined.
+    """
+    rows = skew.newest_rows(observations, ["product_id"], order, limit + 1)
+    rank = F.col("newest_rank")
+    rows = rows.withColumn("current_price", F.max(F.when(rank == 1, F.col("price"))).over(W.partitionBy("product_id")))
+    return rows.filter(rank > 1).withColumn("newest_rank", rank - 1)
+
+
+def statistical_features(observations: DataFrame, order, limit: int = 100) -> DataFrame:
+    """Deviation, empirical percentile and relative deviation of each product's newest price against the 100 before it."""
     p = F.col("price").cast("double")
     cur = F.col("current_price")
-    agg = (
-        newest.join(current.select("product_id", "current_price"), "product_id")
-        .groupBy("product_id", "current_price")
-        .agg(
-            mean_of_decimals("price").alias("mean_price"),
-            F.when(F.count("*") > 1, F.stddev_pop(p)).otherwise(1.0).alias("std_price"),
-            (F.count_if(F.col("price") <= cur) / F.count("*")).alias("percentile"),
-        )
+    agg = recent_with_current(observations, order, limit).groupBy("product_id", "current_price").agg(
+        mean_of_decimals("price").alias("mean_price"),
+        F.when(F.count("*") > 1, F.stddev_pop(p)).otherwise(1.0).alias("std_price"),
+        (F.count_if(F.col("price") <= cur) / F.count("*")).alias("percentile"),
     )
     off = cur.cast("double") - F.col("mean_price")
     return agg.withColumn("z_score", off / F.greatest("std_price", F.lit(0.01))).withColumn(
         "price_deviation", off / F.greatest("mean_price", F.lit(0.01))
     )
-
-

@@ -74,7 +74,7 @@ def without_excluded(listings: DataFrame, exclusions: DataFrame) -> DataFrame:
     folded = F.translate(whole, string.ascii_uppercase, string.ascii_lowercase)
 
     patterns = x.filter(F.col("keyword").isNotNull()).select("store", "keyword").distinct()
-    patterns = patterns.withColumn("needle", F.explode(P.pattern_literals("keyword")))
+    patterns = patterns.withColumn("needle", F.explode(P.pattern_literals(F.col("keyword"))))
     patterns = patterns.withColumns({"kind": F.lit("pattern"), "keyword": F.concat(F.lit("(?i)"), F.regexp_replace("keyword", r"\(\?P<", "(?<"))})
     brands = x.filter(F.col("brand").isNotNull()).select("store", F.lower("brand").alias("needle")).distinct()
     needles = patterns.unionByName(brands.withColumns({"kind": F.lit("brand"), "keyword": F.lit(None).cast("string")}))

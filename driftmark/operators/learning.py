@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from driftmark.operators import skew
+from driftmark.operators.baseline import recent_with_current
 
 # Forest size and sample, expected share of anomalies, seed, least rows.
 TREES, SAMPLE, CONTAMINATION, SEED, MIN_ROWS = 100, 256, 0.05, 42, 100
@@ -197,24 +197,24 @@ def mixture_score(prices: pd.Series, current: pd.Series) -> pd.DataFrame:
     return out.astype({"log_prob": float, "threshold": float, "score": float, "is_anomaly": bool})
 
 
-def mixture_detector(history: DataFrame, current: DataFrame, order, newest: int = 50, least: int = 10) -> DataFrame:
-    """Mixture score per product over its newest 50 prices, from ten on."""
-    recent = skew.newest_rows(history, ["product_id"], order, newest)
-    lists = recent.groupBy("product_id").agg(F.sort_array(F.collect_list(F.col("price").cast("double"))).alias("prices"))
-    d = lists.filter(F.size("prices") >= least).join(current, "product_id")
+def mixture_detector(observations: DataFrame, order, newest: int = 50, least: int = 10) -> DataFrame:
+    """Mixture score of each product's newest price over the 50 before it, from ten on."""
+    recent = recent_with_current(observations, order, newest)
+    lists = recent.groupBy("product_id", "current_price").agg(F.sort_array(F.collect_list(F.col("price").cast("double"))).alias("prices"))
+    d = lists.filter(F.size("prices") >= least)
     return d.withColumn("mixture", mixture_score("prices", F.col("current_price").cast("double"))).select("product_id", "current_price", "mixture.*")
 
 
 FEATURE_COUNT = 28
 
 
-def reconstruction_detector(history: DataFrame, current: DataFrame, order, newest: int = 100, compared: int = 30, least: int = 10) -> DataFrame:
+def reconstruction_detector(observations: DataFrame, order, newest: int = 100, compared: int = 30, least: int = 10) -> DataFrame:
     """Squared distance of the features from their mean over the newest 30 rows, against its 90th percentile.
 
     Of a product's features only deviation, percentile and relative deviation change from row to row;
     the others equal their mean and add nothing.  Each product has at most 100 rows here.
     """
-    rows = skew.newest_rows(history, ["product_id"], order, newest)
+    rows = recent_with_current(observations, order, newest)
     p = F.col("price").cast("double")
     whole = W.partitionBy("product_id")
     upto = whole.orderBy("price").rangeBetween(W.unboundedPreceding, 0)
@@ -227,7 +227,7 @@ def reconstruction_detector(history: DataFrame, current: DataFrame, order, newes
         return {"z": off / F.greatest("_std", F.lit(0.01)), "q": share, "d": off / F.greatest("_mean", F.lit(0.01))}
 
     rows = rows.withColumns({f"_{k}": v for k, v in features(p, F.col("_below") / F.col("_n")).items()})
-    now = rows.join(current.select("product_id", "current_price"), "product_id").groupBy("product_id", "current_price").agg(
+    now = rows.groupBy("product_id", "current_price").agg(
         F.first("_n").alias("_n"), F.first("_mean").alias("_mean"), F.first("_std").alias("_std"),
         (F.count_if(F.col("price") <= F.col("current_price")) / F.count("*")).alias("_share"),
     )

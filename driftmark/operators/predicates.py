@@ -7,17 +7,12 @@ look up their own grams and nodes by equi joins, and only what meets there is te
 
 from __future__ import annotations
 
-import re
 import string
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 GRAM = 3
 LEVELS = 4
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def grams(text: Column) -> Column:
@@ -43,123 +38,41 @@ def filed(needles: DataFrame, needle: str, rule: list[str], counts: DataFrame |
     return each.groupBy(*rule, needle).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("least")).select(*rule, needle, "least.gram")
 
 
-class _Literals:
-    """The longest literal of a pattern that no match can do without; for alternatives one of each."""
-
-    ZERO_WIDTH = "bBAZ"
-    CLASSES = "dDwWsSntrfv"
-
-    def __init__(self, pattern: str):
-        self.p, self.i = pattern, 0
-
-    def branches(self) -> list[str] | None:
-        """Literals of which every match holds one; None where there are no such."""
-        found: list[str] | None = []
-        while True:
-            one = self.sequence()
-            found = None if found is None or one is None else found + one
-            if self.p[self.i:self.i + 1] != "|":
-                return found
-            self.i += 1
-
-    def sequence(self) -> list[str] | None:
-        best: list[str] | None = None
-        run = ""
-
-        def keep(group: list[str] | None) -> None:
-            nonlocal best
-            if group and all(group) and (best is None or min(map(len, group)) > min(map(len, best))):
-                best = group
-
-        while self.i < len(self.p) and self.p[self.i] not in "|)":
-            group, char = None, None
-            c = self.p[self.i]
-            self.i += 1
-            if c in "^$":
-                continue
-            if c == "\\":
-                c = self.p[self.i]
-                self.i += 1
-                if c in self.ZERO_WIDTH:
-                    continue
-                if c.isalnum():
-                    if c not in self.CLASSES:
-                        raise ValueError("escape")
-                else:
-                    char = c
-            elif c == "(":
-                group = self.group()
-            elif c == "[":
-                self.bracket()
-            elif c != ".":
-                char = c
-            least, many = self.quantifier()
-            if char is not None and least:
-                run += char
-            if char is None or many:
-                keep([run])
-                run = ""
-            if least:
-                keep(group)
-        keep([run])
-        return best
-
-    def group(self) -> list[str] | None:
-        if self.p[self.i:self.i + 1] == "?":
-            named = re.compile(r"\?(:|P?<[A-Za-z_]\w*>)").match(self.p, self.i)
-            if not named:
-                raise ValueError("extension")
-            self.i = named.end()
-        found = self.branches()
-        self.i += 1
-        return found
-
-    def bracket(self) -> None:
-        self.i += self.p[self.i:self.i + 1] == "^"
-        self.i += self.p[self.i:self.i + 1] == "]"
-        while self.p[self.i] != "]":
-            if self.p[self.i] == "[":
-                raise ValueError("nested class")
-            self.i += 2 if self.p[self.i] == "\\" else 1
-        self.i += 1
-
-    def quantifier(self) -> tuple[bool, bool]:
-        """Does what went before occur at least once, and may it occur another number of times than once?"""
-        c = self.p[self.i:self.i + 1]
-        if not c or c not in "*+?{":
-            return True, False
-        if c == "{":
-            span = re.compile(r"\{(\d+)(,\d*)?\}").match(self.p, self.i)
-            if not span:
-                raise ValueError("brace")
-            self.i, least = span.end(), int(span.group(1)) > 0
-        else:
-            self.i, least = self.i + 1, c == "+"
-        while self.p[self.i:self.i + 1] in ("?", "+"):
-            self.i += 1
-        return least, True
-
-
-def literals(pattern: str) -> list[str] | None:
-    """Lower-case literals of which every match of ``pattern``, whatever the case of A-Z, holds one.
-
-    One empty literal where nothing is known; None for a pattern that is not one.
+BREAK = "\u0001"
+QUANTIFIER = r"(?:[*+?]|\{\d+(?:,\d*)?\})"
+
+
+def pattern_literals(pattern: Column) -> Column:
+    """Lower-case literals of which every match of a pattern, whatever the case of A-Z, holds one.
+
+    One empty literal where nothing is known, NULL for a text that is no pattern (brackets that do not close, a
+    quantifier without anything before it).  Constructs are taken away from the inside out: what may match anything, or
+    nothing, becomes a break, and of each alternative the longest piece between breaks is left.
     """
-    try:
-        re.compile(pattern)
-    except re.error:
-        return None
-    try:
-        found = _Literals(pattern).branches()
-    except (ValueError, IndexError):
-        found = None
-    return sorted({x.translate(LOWER) for x in found}) if found else [""]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def pattern_literals(patterns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in patterns:
-        yield batch.map(lambda p: None if p is None else literals(p))
+    def swap(c: Column, what: str, by: str) -> Column:
+        return F.regexp_replace(c, what, by)
+
+    s = swap(swap(pattern, r"\\\\", BREAK), r"\\[bBAZ]", "")
+    s = swap(s, r"\((?:\?:|\?P?<[A-Za-z]\w*>)", "(")
+    unknown = F.rlike(s, F.lit(r"\\[^\WdDwWsSntrfv]")) | F.contains(s, F.lit("(?"))
+    s = swap(swap(s, r"\\.", BREAK), r"\[\^?\]?[^\[\]]*\]", BREAK)
+    dangling = F.rlike(s, F.lit(r"(^|[(|])[*+?]|\\$")) & ~F.contains(s, F.lit("(?"))
+    s = swap(s, r"^\(([^()]*)\)$", "$1")
+    for _ in range(6):
+        s = swap(s, r"\(([^()|]*)\)(?!" + QUANTIFIER + ")", "$1")
+        s = swap(s, r"\([^()]*\)" + QUANTIFIER + "*", BREAK)
+    unclosed = F.length(F.replace(s, F.lit("("))) != F.length(F.replace(s, F.lit(")")))
+    unclosed = unclosed | (F.contains(s, F.lit("[")) != F.contains(s, F.lit("]")))
+    unknown = unknown | F.rlike(s, F.lit(r"[()\[\]]"))
+    s = swap(s, r"[^|](?:[*?]|\{\d+(?:,\d*)?\})[?+]?", BREAK)
+    unclosed = unclosed | F.contains(s, F.lit("{"))
+    s = swap(swap(s, r"\+[?+]?|\.", BREAK), r"[\^$]", "")
+    longest = F.transform(F.split(s, r"\|"), lambda branch: F.aggregate(
+        F.split(branch, BREAK), F.lit(""), lambda best, piece: F.when(F.length(piece) > F.length(best), piece).otherwise(best)
+    ))
+    folded = F.array_distinct(F.transform(longest, lambda x: F.translate(x, string.ascii_uppercase, string.ascii_lowercase)))
+    nothing = F.array(F.lit(""))
+    return F.when(dangling | unclosed, F.lit(None).cast("array<string>")).when(unknown | F.array_contains(folded, ""), nothing).otherwise(folded)
 
 
 def band(value: Column, width: float) -> Column:

@@ -83,14 +83,15 @@ def sliced_trailing(
     return rows.filter(F.col(SLICE).eqNullSafe(F.col("_own"))).drop("_at", "_own", SLICE)
 
 
-def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, name: str = "newest_rank") -> DataFrame:
-    """The newest ``limit`` rows per key.
+def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, name: str = "newest_rank", skip: int = 0) -> DataFrame:
+    """The newest ``limit`` rows per key, after the ``skip`` newest ones, which are left out; ranks begin at 1.
 
-    Spark cuts each map task's share of a key to ``limit`` rows before the shuffle (group limit), so
-    a hot key sends only ``limit`` rows per task.
+    Spark cuts each map task's share of a key to the rows wanted before the shuffle (group limit), so a hot key sends
+    only so many rows per task.
     """
     w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit)
+    d = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit + skip)
+    return d.filter(F.col(name) > skip).withColumn(name, F.col(name) - skip) if skip else d
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

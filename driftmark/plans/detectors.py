@@ -91,9 +91,8 @@ FEATURES = ("f_ratio", "f_discount", "f_stability", "f_min_distance", "f_range")
 
 
 def training(t: Tables):
-    h = t.history()
     base = B.cached_baseline(profile(t))
-    return A.training_features(h, base, ORDER)
+    return A.training_features(t.observations(), base, ORDER)
 
 
 @query("e05_iforest_features", with_profile(f"""
@@ -294,10 +293,10 @@ FLAG_SQL = """CASE WHEN regexp_matches(lower(title), '{words}') THEN 1.0 ELSE 0.
     LEFT JOIN (SELECT product_id, price_count, trend_slope, std_price AS std_price_t, avg_price FROM trend) t USING (product_id)
     LEFT JOIN velocity v USING (product_id) LEFT JOIN statfeat s USING (product_id), ref_time"""))
 def feature_vector(t: Tables):
-    h, as_of = t.history(), t.as_of()
-    trend = B.trend_features(h, ORDER, as_of, days=365).select("product_id", "price_count", "trend_slope", "price_volatility", F.lit(1.0).alias("has_history"))
-    velocity = B.velocity_features(h, ORDER, as_of, hours=24 * 60).select("product_id", "price_changes_24h")
-    stats = B.statistical_features(h, t.current_prices(), ORDER).select("product_id", "z_score", "percentile")
+    o, as_of = t.observations(), t.as_of()
+    trend = B.trend_features(o, ORDER, as_of, 365, before_newest=True).select("product_id", "price_count", "trend_slope", "price_volatility", F.lit(1.0).alias("has_history"))
+    velocity = B.velocity_features(o, ORDER, as_of, 24 * 60, before_newest=True).select("product_id", "price_changes_24h")
+    stats = B.statistical_features(o, ORDER).select("product_id", "z_score", "percentile")
     d = (
         t.products().join(t.current_prices(), "product_id").join(trend, "product_id", "left")
         .join(velocity, "product_id", "left").join(stats, "product_id", "left")

@@ -39,8 +39,8 @@ def iforest_score(t: Tables):
 @query("e10_learned_fusion")
 def learned_fusion(t: Tables):
     """All methods, statistical and learned, with the vote of the learned ones."""
-    mixture = L.mixture_detector(t.history(), t.current_prices(), ORDER).select("product_id", F.col("score").alias("mixture_score"), F.col("is_anomaly").alias("mixture_hit"))
-    rebuilt = L.reconstruction_detector(t.history(), t.current_prices(), ORDER).select("product_id", F.col("score").alias("reconstruction_score"), F.col("is_anomaly").alias("reconstruction_hit"))
+    mixture = L.mixture_detector(t.observations(), ORDER).select("product_id", F.col("score").alias("mixture_score"), F.col("is_anomaly").alias("mixture_hit"))
+    rebuilt = L.reconstruction_detector(t.observations(), ORDER).select("product_id", F.col("score").alias("reconstruction_score"), F.col("is_anomaly").alias("reconstruction_hit"))
     d = A.below_minimum(A.rate_of_change(A.iqr(A.zscore(inputs(t)))))
     for scores in (isolated(t), mixture, rebuilt):
         d = d.join(scores, "product_id", "left")
@@ -51,7 +51,7 @@ def learned_fusion(t: Tables):
 
 @query("e08_gmm_score")
 def gmm_score(t: Tables):
-    d = L.mixture_detector(t.history(), t.current_prices(), ORDER)
+    d = L.mixture_detector(t.observations(), ORDER)
     return d.select("product_id", *[round_to(c).alias(c) for c in ("log_prob", "threshold", "score")], "is_anomaly")
 
 
@@ -64,5 +64,5 @@ def gmm_score(t: Tables):
     e AS (SELECT product_id, (power(z - mz, 2) + power(q - mq, 2) + power(d - md, 2)) / 28 AS err, threshold FROM c JOIN m USING (product_id) JOIN t USING (product_id))
     SELECT product_id, {r('err', 6)} AS reconstruction_error, {r('threshold', 6)} AS threshold, err > threshold AS is_anomaly, {r('CASE WHEN threshold > 0 THEN least(1.0, err / threshold) ELSE 0.5 END')} AS score FROM e"""))
 def reconstruction_score(t: Tables):
-    d = L.reconstruction_detector(t.history(), t.current_prices(), ORDER)
+    d = L.reconstruction_detector(t.observations(), ORDER)
     return d.select("product_id", round_to("reconstruction_error", 6).alias("reconstruction_error"), round_to("threshold", 6).alias("threshold"), "is_anomaly", round_to("score").alias("score"))

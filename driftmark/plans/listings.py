@@ -133,10 +133,10 @@ def category_rules_lookup(t: Tables):
 
 
 def previous_snapshot(t: Tables):
-    top = F.max(F.struct(*t.NEWEST, "price", "original_price")).alias("n")
-    d = t.history().groupBy("product_id").agg(top).join(t.products().select("product_id", "store", "sku"), "product_id")
-    h = X.listing_hash(F.col("sku"), F.col("n.price"), F.col("n.original_price"))
-    return d.select("store", "sku", h.alias("stored_hash"), F.col("n.fetched_at").alias("stored_at"))
+    before = skew.newest_rows(t.observations(), ["product_id"], t.NEWEST, 1, skip=1)
+    d = before.join(t.products().select("product_id", "store", "sku"), "product_id")
+    h = X.listing_hash(F.col("sku"), F.col("price"), F.col("original_price"))
+    return d.select("store", "sku", h.alias("stored_hash"), F.col("fetched_at").alias("stored_at"))
 
 
 CHANGED_SQL = """, prev AS (SELECT product_id, price, original_price AS oo, fetched_at AS stored_at FROM history WHERE hrank = 1),

@@ -192,7 +192,7 @@ TREND_LIST = (
 @query("d12_trend_features", with_views("history", "ref_time", body=TREND_SQL.format(days=365) + f"""
     SELECT product_id, {TREND_LIST}, min_price, max_price, max_price - min_price AS price_range FROM trend"""))
 def trend_features(t: Tables):
-    d = B.trend_features(t.history(), ORDER, t.as_of(), days=365)
+    d = B.trend_features(t.observations(), ORDER, t.as_of(), 365, before_newest=True)
     return d.select(
         "product_id", "price_count", *[round_to(c).alias(c) for c in TREND_COLS], "min_price", "max_price",
         (F.col("max_price") - F.col("min_price")).alias("price_range"),
@@ -216,7 +216,7 @@ velocity AS (
            {r('CASE WHEN span > 0 THEN price_changes_24h / greatest(span, 0.1) ELSE 0 END')} AS price_change_rate
     FROM velocity"""))
 def velocity_features(t: Tables):
-    d = B.velocity_features(t.history(), ORDER, t.as_of(), hours=24 * 60)
+    d = B.velocity_features(t.observations(), ORDER, t.as_of(), 24 * 60, before_newest=True)
     return d.select(
         "product_id", "rows_24h", "price_changes_24h",
         *[round_to(c).alias(c) for c in ("max_change_24h", "avg_change_24h", "price_change_rate")],
@@ -239,7 +239,7 @@ statfeat AS (
            {r('(current_price - mean_price) / greatest(mean_price, 0.01)')} AS price_deviation
     FROM statfeat"""))
 def statistical_features(t: Tables):
-    d = B.statistical_features(t.history(), t.current_prices(), ORDER, limit=20)
+    d = B.statistical_features(t.observations(), ORDER, limit=20)
     cols = ("mean_price", "std_price", "percentile", "z_score", "price_deviation")
     return d.select("product_id", *[round_to(c).alias(c) for c in cols])
 
