@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import decontamination, langid, minhash, packing, suffixtree
-from driftmark.llm.tables import read, remainder, stored
+from driftmark.llm.tables import read, remainder, sieve, sifted, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,11 +23,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the smallest id; of rows that repeat it wholly, one."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "h1", "h2").distinct()
-    marked = docs.select(*COLUMNS, *minhash.fingerprint(F.col("text")))
-    same = marked.doc_id.eqNullSafe(kept.kept_id) & (marked.h1 == kept.h1) & (marked.h2 == kept.h2)
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(*COLUMNS)
+    """One document of each class of near copies: the smallest id; of rows that repeat it wholly, one.
+
+    Only rows that may have to go travel: those whose text a sieve knows as dropped or repeated.  Null texts count as
+    empty; a null id comes after all others; texts without words are only copies of their like.
+    """
+    found = stored(minhash.near_duplicates(docs).groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("kept").alias("stays")).where("rows > 1 or not stays"), "near-copies")
+    marked = sifted(docs.select(*COLUMNS, *minhash.fingerprint(F.col("text"))), "h1", sieve(found, "h1"))
+    gone = found.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    tested = marked.where("let_through").join(gone, same, "left_anti").dropDuplicates(["doc_id", "h1", "h2"])
+    return marked.where("not let_through").unionByName(tested).select(*COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.graph import components, stars
-from driftmark.llm.tables import small_batches, stored, tidied
+from driftmark.llm.tables import sieve, sifted, small_batches, stored, tidied
 from driftmark.llm.words import SPACES, U64, Slice, mix, slices, span_hash, prefix_sums, windows, words
 
 DART_DOCS = 256
@@ -187,8 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     lowest = marked.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("low"))
     chosen = stored(lowest.join(groups, ["h1", "h2"]).select("h1", "h2", "c1", "c2", "low"), "met")
-    same = (marked.h1 == chosen.h1) & (marked.h2 == chosen.h2) & marked.doc_id.eqNullSafe(chosen.low["id"])
-    texts = marked.join(chosen.hint("merge"), same).select("c1", "c2", chosen.h1, chosen.h2, marked.text)
+    # few texts have met another: a sieve keeps the others from travelling
+    likely = sifted(marked, "h1", sieve(chosen, "h1")).where("let_through").drop("let_through")
+    same = (likely.h1 == chosen.h1) & (likely.h2 == chosen.h2) & likely.doc_id.eqNullSafe(chosen.low["id"])
+    texts = likely.join(chosen.hint("merge"), same).select("c1", "c2", chosen.h1, chosen.h2, likely.text)
     bulk = texts.select("c1", "c2", F.length("text").alias("n")).groupBy("c1", "c2").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_bytes)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")
     split = texts.join(bulk, ["c1", "c2"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

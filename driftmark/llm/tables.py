@@ -52,6 +52,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(keys: DataFrame, h: str) -> DataFrame:
+    """A bit set of 2**24 bits over the hashes in column ``h``: at most ``SIEVE_WORDS`` rows (word, bits), whatever the keys.
+
+    So it may be broadcast.  It lets all keys through and few others while keys are fewer than bits; past that it only
+    lets more through.
+    """
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{h}`, 18) & 63 AS INT))")
+    return keys.groupBy(F.pmod(F.col(h), F.lit(SIEVE_WORDS)).alias("sieve_word")).agg(F.bit_or(bit).alias("sieve_bits"))
+
+
+def sifted(df: DataFrame, h: str, through: DataFrame, name: str = "let_through") -> DataFrame:
+    """``df`` with a column that is true for all rows whose hash ``h`` is a key of the sieve, and few others."""
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{h}`, 18) & 63 AS INT))")
+    met = df.join(F.broadcast(through), F.pmod(F.col(h), F.lit(SIEVE_WORDS)) == F.col("sieve_word"), "left")
+    return met.withColumn(name, F.coalesce(F.col("sieve_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("sieve_word", "sieve_bits")
+
+
 def parts_for(total: int, each: int, spark: SparkSession) -> int:
     """How many parts of about ``each`` make up ``total``; no fewer than the shuffle partitions set."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // each))
