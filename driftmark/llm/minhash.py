@@ -189,8 +189,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = stored(lowest.join(groups, ["h1", "h2"]).select("h1", "h2", "c1", "c2", "low"), "met")
     # few texts have met another: a sieve keeps the others from travelling
     likely = sifted(marked, "h1", sieve(chosen, "h1")).where("let_through").drop("let_through")
-    same = (likely.h1 == chosen.h1) & (likely.h2 == chosen.h2) & likely.doc_id.eqNullSafe(chosen.low["id"])
-    texts = likely.join(chosen.hint("merge"), same).select("c1", "c2", chosen.h1, chosen.h2, likely.text)
+    met_as = chosen.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "c1", "c2", F.col("low.id").alias("m_id"))
+    same = (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+    texts = likely.join(met_as.hint("merge"), same).select("c1", "c2", "h1", "h2", "text")
     bulk = texts.select("c1", "c2", F.length("text").alias("n")).groupBy("c1", "c2").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_bytes)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")
     split = texts.join(bulk, ["c1", "c2"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
