@@ -50,7 +50,7 @@ def _attribute(name: str, op: str | None, value: str | None) -> str:
     return rf"{head}\s*=\s*\"{inside}\""
 
 
-def _element(selector: str, tag_group: bool) -> str:
+def _element(selector: str) -> str:
     """Start tag of one compound selector."""
     tag, conditions = "[a-zA-Z][\\w-]*", ""
     for m in _PART.finditer(selector):
@@ -67,21 +67,14 @@ def _element(selector: str, tag_group: bool) -> str:
             conditions += rf"(?=[^>]*\sid\s*=\s*\"{_quoted(ident)}\")"
         else:
             conditions += rf"(?=[^>]*{_attribute(attr, op, value)})"
-    name = f"({tag})" if tag_group else f"(?:{tag})"
-    return rf"<{name}\b{conditions}[^>]*>"
+    return rf"<(?:{tag})\b{conditions}[^>]*>"
 
 
 def start_tag(selector: str) -> str:
     """Pattern of the start tag a selector picks, ancestors first."""
     parts = [p for p in selector.split() if p != ">"]
-    ahead = "".join(_element(p, False) + ".*?" for p in parts[:-1])
-    return "(?is)" + ahead + _element(parts[-1], False)
-
-
-def element_text_pattern(selector: str) -> str:
-    parts = [p for p in selector.split() if p != ">"]
-    ahead = "".join(_element(p, False) + ".*?" for p in parts[:-1])
-    return "(?is)" + ahead + _element(parts[-1], True) + r"(.*?)</\1\s*>"
+    ahead = "".join(_element(p) + ".*?" for p in parts[:-1])
+    return "(?is)" + ahead + _element(parts[-1])
 
 
 def strip_tags(text: Column) -> Column:
@@ -104,8 +97,9 @@ def first_of(values: Column) -> Column:
 
 
 def first_text(page: Column, selectors: Column) -> Column:
-    """Text of the first selector that matches; ``selectors`` is an array of ``start, text`` patterns."""
-    return first_of(F.transform(selectors, lambda s: F.when(F.rlike(page, s["start"]), strip_tags(extract(page, s["text"], 2)))))
+    """Text of the first selector that matches, all of its element; ``selectors`` is an array of start-tag patterns."""
+    matched = F.get(F.filter(selectors, lambda s: F.rlike(page, s)), F.lit(0))
+    return F.when(matched.isNotNull(), strip_tags(element(page, matched)))
 
 
 def first_attribute(page: Column, starts: Column, attribute: Column) -> Column:
@@ -125,18 +119,92 @@ def any_of(selectors) -> str:
     return "(?is)(?:" + "|".join(start_tag(s.strip())[len("(?is)"):] for s in selectors) + ")"
 
 
-def split_items(page: Column, patterns: Column) -> Column:
-    """The page cut at every match of the first pattern that occurs; an item ends where the next begins."""
-    pattern = F.get(F.filter(patterns, lambda p: F.rlike(page, p)), F.lit(0))
-    pieces = F.split(F.regexp_replace(page, pattern, F.lit("\u0001$0")), "\u0001")
-    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+# Elements without content.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def tagged(page: Column) -> Column:
+    """The page cut before every ``<``: each piece is one tag with the text behind it, numbered from 0."""
+    name = r"^<(/?[a-zA-Z][\w-]*)"
+    return F.transform(F.split(page, "(?=<)"), lambda p, i: F.struct(i.alias("i"), F.lower(F.regexp_extract(p, name, 1)).alias("tag"), p.alias("piece")))
+
+
+def intervals(tags: Column, begins: Column) -> Column:
+    """First and last piece of every element that begins at a piece for which ``begins`` (an array of flags) is true.
+
+    One pass keeps the elements still open, each with the number of its own name's tags that are open within it, so
+    elements of one name may nest.  One that is never closed reaches to the end; one without content is its own piece.
+    """
+    none = "array<struct<i: int, tag: string, depth: int>>"
+    done = "array<struct<i: int, j: int>>"
+
+    def step(state: Column, x: Column) -> Column:
+        t = x["t"]
+        counted = F.transform(state["open"], lambda e: F.struct(
+            e["i"].alias("i"), e["tag"].alias("tag"), (e["depth"] + (t["tag"] == e["tag"]).cast("int") - (t["tag"] == F.concat(F.lit("/"), e["tag"])).cast("int")).alias("depth")
+        ))
+        void = t["tag"].isin(*VOID)
+        fresh = F.when(x["hit"] & ~void, F.array(F.struct(t["i"].alias("i"), t["tag"].alias("tag"), F.lit(1).alias("depth")))).otherwise(F.array().cast(none))
+        closed = F.transform(F.filter(counted, lambda e: e["depth"] == 0), lambda e: F.struct(e["i"].alias("i"), t["i"].alias("j")))
+        alone = F.when(x["hit"] & void, F.array(F.struct(t["i"].alias("i"), t["i"].alias("j")))).otherwise(F.array().cast(done))
+        moved = F.struct(F.concat(F.filter(counted, lambda e: e["depth"] > 0), fresh).alias("open"), F.concat(state["done"], closed, alone).alias("done"))
+        idle = (F.size(state["open"]) == 0) & ~x["hit"]
+        return F.when(idle, state).otherwise(moved)
+
+    def end(state: Column) -> Column:
+        rest = F.transform(state["open"], lambda e: F.struct(e["i"].alias("i"), (F.size(tags) - 1).alias("j")))
+        return F.sort_array(F.concat(state["done"], rest))
+
+    start = F.struct(F.array().cast(none).alias("open"), F.array().cast(done).alias("done"))
+    return F.aggregate(F.zip_with(tags, begins, lambda t, h: F.struct(t.alias("t"), h.alias("hit"))), start, step, end)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def within(tags: Column, span: Column) -> Column:
+    """Text of the pieces of an interval."""
+    return F.array_join(F.transform(F.slice(tags, span["i"] + 1, span["j"] - span["i"] + 1), lambda t: t["piece"]), "")
+
+
+def element(text: Column, start: Column) -> Column:
+    """The element whose start tag ends the first match of the pattern ``start``, from that tag to its own end tag."""
+    found = extract(text, start, 0)
+    tag = F.regexp_extract(found, "(?s)<[^<]*$", 0)
+    behind = F.concat(tag, F.substring(text, F.instr(text, found) + F.length(found), F.length(text)))
+    return _bound(tagged(behind), lambda tags: within(tags, F.get(intervals(tags, F.transform(tags, lambda t: t["i"] == 0)), F.lit(0))))
+
+
+def selector_pairs(group: str) -> list[tuple[str, str | None]]:
+    """Each selector of a comma list as the patterns of its own start tag and of its ancestor's, if it names one."""
+    out = []
+    for selector in group.split(","):
+        parts = [p for p in selector.split() if p != ">"]
+        out.append(("(?is)^" + _element(parts[-1]), "(?is)^" + _element(parts[-2]) if len(parts) > 1 else None))
+    return out
+
+
+def element_items(page: Column, groups: Column) -> Column:
+    """Texts of the elements that the first group of selectors with any match picks, in order, nested ones too.
+
+    ``groups`` is an array of ``own, outer, inner``: a pattern of start tags, and a pair of which the second counts
+    only within an element of the first.
+    """
+    def picked(tags: Column) -> Column:
+        def hits(pattern: Column) -> Column:
+            return F.transform(tags, lambda t: F.coalesce(F.rlike(t["piece"], pattern), F.lit(False)))
+
+        def below(g: Column) -> Column:
+            return _bound(intervals(tags, hits(g["outer"])), lambda around: F.zip_with(
+                tags, hits(g["inner"]), lambda t, h: h & F.exists(around, lambda s: (s["i"] < t["i"]) & (t["i"] <= s["j"]))
+            ))
 
+        def spans(g: Column) -> Column:
+            return intervals(tags, F.when(g["outer"].isNull(), hits(g["own"])).otherwise(F.zip_with(hits(g["own"]), below(g), lambda a, b: a | b)))
 
-def join_fragments(pieces: Column, has_link: Column) -> Column:
-    """Pieces without a link belong to the item before them: they start at an element inside it."""
-    def step(done: Column, piece: Column) -> Column:
-        n = F.size(done)
-        grown = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.get(done, n - 1), piece)))
-        return F.when((n > 0) & ~F.rlike(piece, has_link), grown).otherwise(F.concat(done, F.array(piece)))
+        found = F.filter(F.transform(F.filter(groups, lambda g: F.rlike(page, g["any"])), spans), lambda f: F.size(f) > 0)
+        return F.transform(F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<struct<i: int, j: int>>")), lambda s: within(tags, s))
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    return _bound(tagged(page), picked)

@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import Window as W, functions as F
 
-from driftmark.functions import text
-from driftmark.operators import skew
+from driftmark.functions import markup as H, text
+from driftmark.operators import pages as P, skew
 from driftmark.sources import feeds, tablesync
 
 
@@ -113,3 +113,42 @@ def test_learned_fusion(spark, tables):
         if len(fired) >= 3:
             score = min(1.0, score * 1.1)
         assert abs(r.anomaly_score - score) < 1e-9 and r.is_anomaly == bool(fired)
+
+
+def test_nested_elements_of_one_name(spark):
+    """Items and texts are whole elements: same-name tags nest, attributes come in any order, items lie within items."""
+    amazon = (
+        '<div class="grid"><div data-asin="B1" id="r1" data-component-type="s-search-result"><div><div>ad</div></div><h2 class="t"><a href="/dp/B1" class="x"><span>One <span>big</span> tv</span></a></h2>'
+        '<span class="w a-price"><span class="a-offscreen"><span>$</span><span>1,299.00</span></span></span></div><div>between <span class="a-price"><span class="a-offscreen">$1.00</span></span></div>'
+        '<div data-component-type="s-search-result" data-asin="B2"><h2><a href="/dp/B2"><span>Two</span></a></h2></div></div><h2><a href="/z"><span>outside</span></a></h2>'
+    )
+    target = (
+        '<ul data-test="product-grid"><li><div><ul><li>new</li></ul></div><a href="/p/x/A-11">go</a><div data-test="product-title"><div>Inner</div> title</div><b data-test="current-price">$5.00</b></li>'
+        '<li><a href="/p/x/A-12">go</a><p data-test="product-title">Second</p></li></ul><li><a href="/p/x/A-13">go</a><p data-test="product-title">not in the grid</p></li>'
+    )
+    woot = '<article class="a"><article class="b"><h2>In</h2><a class="dealLink" href="/offers/in">l</a></article><h2>Out</h2><a class="dealLink" href="/offers/out">l</a>'  # the outer one is never closed
+    rows = [(1, "amazon_us", amazon), (2, "target", target), (3, "woot", woot)]
+    df = spark.createDataFrame(rows, "page_id int, store string, html string")
+    got = {(r.store, r.sku): (r.title, r.url, None if r.current_price is None else float(r.current_price)) for r in P.page_listings(df, P.layout_table(spark)).collect()}
+    assert got[("amazon_us", "B1")] == ("One big tv", "https://www.amazon.com/dp/B1", 1299.0)
+    assert got[("amazon_us", "B2")] == ("Two", "https://www.amazon.com/dp/B2", None)
+    assert got[("target", "11")] == ("Inner title", "https://www.target.com/p/x/A-11", 5.0)
+    assert got[("target", "12")][0] == "Second" and ("target", "13") not in got
+    assert got[("woot", "woot-in")][0] == "In"
+    assert {k for k in got if k[0] == "amazon_us"} == {("amazon_us", "B1"), ("amazon_us", "B2")}
+
+
+def test_crumbs_in_nested_elements(spark):
+    html = '<nav class="x breadcrumb"><nav><a href="/">Home</a></nav><a href="/c/toys?x=1">Toys</a></nav><a href="/c/other">Shop other</a>'
+    got = P.page_categories(spark.createDataFrame([(1, "target", html)], "page_id int, store string, html string")).collect()
+    assert [(r.category_url, r.category_name, r.category_confidence) for r in got] == [("https://www.target.com/c/toys", "Toys", 0.9)]
+
+
+def test_intervals(spark):
+    page = '<a><b>x<b>y</b></b><img><b>z</a>'
+    tags = H.tagged(F.col("h"))
+    row = spark.createDataFrame([(page,)], "h string").select(
+        H.intervals(tags, F.transform(tags, lambda t: t["tag"] == "b")).alias("b"), H.intervals(tags, F.transform(tags, lambda t: t["tag"].isin("a", "img"))).alias("a"),
+        H.element(F.col("h"), F.lit("<b>y")).alias("text"),
+    ).first()
+    assert [tuple(x) for x in row.b] == [(1, 4), (2, 3), (6, 7)] and [tuple(x) for x in row.a] == [(0, 7), (5, 5)]
