@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from driftmark.session import checkpoint_root
 
 
-#: Rows of an Arrow batch where whole texts travel: tens of thousands of long texts at once would fill a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch where whole texts travel: many long texts at once would fill an executor and its workers.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the session's Arrow batches to ``BATCH_ROWS``."""
+    """``df``, after bounding the session's Arrow batches to ``BATCH_ROWS`` and about ``BATCH_BYTES``."""
+    conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) not in range(1, BATCH_ROWS + 1):
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    if int(conf.get(key)) not in range(1, BATCH_ROWS + 1):
+        conf.set(key, str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
