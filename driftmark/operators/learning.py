@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from driftmark.operators.baseline import recent_with_current
 
@@ -118,6 +118,41 @@ class Forest:
         })
 
 
+def tree_checks(nodes: DataFrame) -> DataFrame:
+    """Per tree: its rows, whether leaves are one more than splits, and whether the rows of children add up everywhere."""
+    child = nodes.select(F.col("tree").alias("c_tree"), F.col("node").alias("c_node"), F.col("rows").alias("c_rows"))
+    inner = nodes.filter(F.col("feature") >= 0).withColumn("c", F.explode(F.array("left", "right")))
+    added = inner.join(child, (F.col("tree") == F.col("c_tree")) & (F.col("c") == F.col("c_node"))).groupBy("tree", "node", "rows").agg(F.sum("c_rows").alias("below"))
+    wrong = added.groupBy("tree").agg(F.count_if(F.col("rows") != F.col("below")).alias("wrong"))
+    shape = nodes.groupBy("tree").agg(F.max(F.when(F.col("node") == 0, F.col("rows"))).alias("rows"), (F.count_if(F.col("feature") < 0) == F.count_if(F.col("feature") >= 0) + 1).alias("leaves_fit"))
+    return shape.join(wrong, "tree", "left").select("tree", "rows", "leaves_fit", (F.coalesce("wrong", F.lit(0)) == 0).alias("rows_add_up"))
+
+
+def isolation_by_expression(rows: DataFrame, nodes: pd.DataFrame) -> DataFrame:
+    """Adds ``isolation_again``: the score of ``Forest.depth_score``, by walking the node table in expressions.
+
+    The table is one row of a bounded number of nodes.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame(nodes.sort_values(["tree", "node"]), TREE_SCHEMA)
+    node = F.struct("node", "feature", "threshold", "left", "right", "path")
+    trees = table.groupBy("tree").agg(F.sort_array(F.collect_list(node)).alias("nodes")).agg(F.collect_list("nodes")).scalar()
+    unit = mean_path(float(nodes[nodes["node"] == 0]["rows"].max()))
+    deepest = int(np.ceil(np.log2(SAMPLE))) + 1
+    x = F.array(*[F.col(c).cast("double") for c in FEATURES])
+
+    def walked(tree: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            n = F.get(tree, at)
+            return F.when(n["feature"] < 0, at).when(F.get(F.col("_x"), n["feature"]) <= n["threshold"], n["left"]).otherwise(n["right"])
+
+        return F.get(tree, F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), F.lit(0), step))["path"]
+
+    d = rows.withColumns({"_trees": trees, "_x": x})
+    total = F.aggregate(F.transform("_trees", walked), F.lit(0.0), lambda a, p: a + p)
+    return d.withColumn("isolation_again", F.pow(F.lit(2.0), -total / F.size("_trees") / unit)).drop("_trees", "_x")
+
+
 def fit_forest(rows: DataFrame, key: list[str]) -> Forest | None:
     """Trains on feature rows; None below the least count. Runs jobs, as every fit does.
 
@@ -132,7 +167,7 @@ def fit_forest(rows: DataFrame, key: list[str]) -> Forest | None:
 
 MIXTURE = StructType([
     StructField("log_prob", DoubleType()), StructField("threshold", DoubleType()), StructField("score", DoubleType()),
-    StructField("is_anomaly", BooleanType()),
+    StructField("is_anomaly", BooleanType()), *[StructField(c, ArrayType(DoubleType())) for c in ("weights", "means", "variances")],
 ])
 
 
@@ -176,7 +211,7 @@ def log_density(x, weight, mean, var) -> np.ndarray:
 @F.pandas_udf(MIXTURE)
 def mixture_score(prices: pd.Series, current: pd.Series) -> pd.DataFrame:
     """Is the current price less likely than a tenth of the recent prices under their own mixture?"""
-    out = pd.DataFrame(index=prices.index, columns=["log_prob", "threshold", "score", "is_anomaly"], dtype=object)
+    out = pd.DataFrame(index=prices.index, columns=MIXTURE.names, dtype=object)
     sizes = prices.map(len)
     components = np.minimum(3, sizes // 5)
     for k in sorted(set(components)):
@@ -194,15 +229,33 @@ def mixture_score(prices: pd.Series, current: pd.Series) -> pd.DataFrame:
             score = np.clip(np.where(cut < 0, 1.0 - (now - cut) / np.abs(cut), 0.5), 0.0, 1.0)
         out.loc[rows, "log_prob"], out.loc[rows, "threshold"] = now, cut
         out.loc[rows, "score"], out.loc[rows, "is_anomaly"] = score, now < cut
+        for name, values in (("weights", w), ("means", m), ("variances", v)):
+            out.loc[rows, name] = pd.Series(list(values), index=rows)
     return out.astype({"log_prob": float, "threshold": float, "score": float, "is_anomaly": bool})
 
 
-def mixture_detector(observations: DataFrame, order, newest: int = 50, least: int = 10) -> DataFrame:
-    """Mixture score of each product's newest price over the 50 before it, from ten on."""
+def fitted_mixtures(observations: DataFrame, order, newest: int = 50, least: int = 10) -> DataFrame:
+    """The ``prices`` (50 at most) before each product's newest one, from ten on, with the ``mixture`` fitted to them."""
     recent = recent_with_current(observations, order, newest)
     lists = recent.groupBy("product_id", "current_price").agg(F.sort_array(F.collect_list(F.col("price").cast("double"))).alias("prices"))
-    d = lists.filter(F.size("prices") >= least)
-    return d.withColumn("mixture", mixture_score("prices", F.col("current_price").cast("double"))).select("product_id", "current_price", "mixture.*")
+    return lists.filter(F.size("prices") >= least).withColumn("mixture", mixture_score("prices", F.col("current_price").cast("double")))
+
+
+def mixture_detector(observations: DataFrame, order, newest: int = 50, least: int = 10) -> DataFrame:
+    """Mixture score of each product's newest price over the 50 before it, from ten on."""
+    parts = [f"mixture.{c}" for c in ("log_prob", "threshold", "score", "is_anomaly")]
+    return fitted_mixtures(observations, order, newest, least).select("product_id", "current_price", *parts)
+
+
+def mixture_log_density(x: Column, mixture: Column) -> Column:
+    """Log density of a value under a fitted mixture, as an expression."""
+    def part(w: Column, mv: Column) -> Column:
+        return F.log(w) - F.lit(0.5) * (F.log(2 * np.pi * mv["v"]) + (x - mv["m"]) * (x - mv["m"]) / mv["v"])
+
+    shapes = F.zip_with(mixture["means"], mixture["variances"], lambda m, v: F.struct(m.alias("m"), v.alias("v")))
+    logs = F.zip_with(mixture["weights"], shapes, part)
+    top = F.array_max(logs)
+    return top + F.log(F.aggregate(logs, F.lit(0.0), lambda a, p: a + F.exp(p - top)))
 
 
 FEATURE_COUNT = 28
