@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.repeats import beside, byte_units, covered, keyed, lists_of, repeated_runs, span_arrays
-from driftmark.llm.tables import stored, tidied
-from driftmark.llm.words import BYTE_VALUE, U64, prefix_sums, span_hash
+from driftmark.llm.repeats import beside, byte_units, covered, keyed, lists_of, repeated_runs, sliding_min, span_arrays
+from driftmark.llm.tables import sieve, sifted, stored, tidied
+from driftmark.llm.words import BYTE_VALUE, U64, mixed, prefix_sums, span_hash
 
 
 class Text:
@@ -39,6 +39,8 @@ class Text:
         Suffixes that begin with the same ``depth`` bytes are sorted as one; the others eight bytes at a time, each
         round within the ties that are left.
         """
+        if not len(at):  # as in a text whose letters only fall
+            return at
         same = span_hash(self.sums, at, at + self.depth)
         _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
         pos = at[first]
@@ -167,6 +169,29 @@ def _segments(batches, size):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "part", "parts", "times", "id", "h", "start", "raw"])
 
 
+def _finer(batches, size, gram):
+    """Runs of crowded minimisers cut by the next smallest gram hash of each window, keyed by both hashes."""
+    for batch in batches:
+        out = []
+        for i, h, text, spans in zip(*[batch.column(c).to_pylist() for c in ("id", "h", "text", "spans")]):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            for s in spans:
+                values = BYTE_VALUE[raw[s["start"]:s["start"] + s["n"] + size - 1]]
+                sums = prefix_sums(values)
+                at = np.arange(len(values) - gram + 1)
+                hashes = span_hash(sums, at, at + gram)
+                first = np.int64(s["key"]).view(U64)
+                second = sliding_min(np.where(hashes == first, np.iinfo(U64).max, hashes), size - gram + 1)
+                begin = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
+                n = np.diff(np.r_[begin, len(second)])
+                keys = mixed(second[begin] ^ mixed(np.full(len(begin), first))).view(np.int64)
+                segs = span_hash(sums, begin, begin + n + size - 1).view(np.int64)
+                out += [(k, g, i, h, s["start"] + b, m, s["times"]) for k, g, b, m in zip(keys.tolist(), segs.tolist(), begin.tolist(), n.tolist())]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        names = ["key", "seg", "id", "h", "start", "n", "times"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=names)
+
+
 def _spans_of(rows, segment, offset):
     """(id, h, start, n, window) for ascending (segment, offset): maximal runs of offsets."""
     if not len(segment):
@@ -238,11 +263,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. ``repeated_runs`` narrows the corpus to runs of windows whose minimiser is met twice.
     2. Runs with equal bytes are one segment.  Met twice, all its windows are repeated, wherever it stands.
-    3. One copy of each segment goes to its minimiser's block.  A block of about ``block`` bytes gets a suffix array by
-       two-stage sorting; neighbours in it with a common prefix of ``size`` bytes are repeats.  A minimiser with more
-       segments than a block holds is cut into parts; what is unique within a part is then matched between parts by a
-       hash of the window.
-    4. The windows found meet their documents again, and the rest of the bytes is kept.
+    3. The segments of a minimiser with more of them than a block holds are cut once more, by the next smallest hash of
+       each window, into finer runs: equal windows agree in both.  Finer runs with equal bytes are again one segment.
+    4. One copy of each segment goes to its minimiser's block.  A block of about ``block`` bytes gets a suffix array by
+       two-stage sorting; neighbours in it with a common prefix of ``size`` bytes are repeats.  What is crowded even
+       then is cut into parts; what is unique within a part is then matched between parts by a hash of the window.
+    5. The windows found meet their documents again, and the rest of the bytes is kept.
 
     Null texts are empty.  Documents shorter than ``size`` lose nothing.  Rows that repeat an id are separate documents,
     so a row that repeats another wholly is removed like any copy.  Null ids stay null.  No rows give no rows.
@@ -251,8 +277,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = repeated_runs(named, byte_units, size, gram)
     segments = runs.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "h", "start", "n")).alias("one"))
     segments = stored(segments, "segments")
-    bulk = segments.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("one.n") + size - 1) / block)).cast("int").alias("parts"))
-    sorted_in = segments.join(bulk, "key").select("one.*", "key", "times", "parts", F.pmod(F.xxhash64("seg"), F.col("parts")).cast("int").alias("part"))
+    def parted(some: DataFrame) -> DataFrame:
+        bulk = some.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("one.n") + size - 1) / block)).cast("int").alias("parts"))
+        return some.join(bulk, "key")
+
+    dealt = parted(segments)
+    crowded = dealt.where("parts > 1").select("one.*", "key", "times")
+    likely = sifted(named, "h", sieve(crowded, "h")).where("let_through").select(*named.columns)
+    finer = likely.join(lists_of(crowded, "key", "times", "start", "n"), ["id", "h"]).select("id", "h", "text", "spans").mapInArrow(
+        tidied(lambda b: _finer(b, size, gram)), "key long, seg long, id long, h long, start int, n int, times long")
+    finer = stored(finer, "finer-runs")
+    again = finer.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("met"), F.max("times").alias("times"), F.min(F.struct("id", "h", "start", "n")).alias("one"))
+    copies_within = finer.join(again.where("met > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("id", "h", "start", "n")
+    once = parted(again.select("key", "seg", F.greatest("met", "times").alias("times"), "one"))
+    sorted_in = dealt.where("parts = 1").unionByName(once).select("one.*", "key", "times", "parts", F.pmod(F.xxhash64("seg"), F.col("parts")).cast("int").alias("part"))
     raw = beside(named, lists_of(sorted_in, "key", "part", "parts", "times", "start", "n")).mapInArrow(
         lambda b: _segments(b, size), "key long, part int, parts int, times long, id long, h long, start int, raw binary")
     blocks = raw.repartition("key", "part").sortWithinPartitions("key", "part")
@@ -262,6 +300,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = between.groupBy("window").agg(F.count(F.lit(1)).alias("parts_with")).where("parts_with > 1")
     late = between.where("open").join(shared, "window").select("id", "h", "start", "n")
     copies = runs.join(segments.where("times > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("id", "h", "start", "n")
-    gone = found.where("window is null").select("id", "h", "start", "n").unionByName(late).unionByName(copies)
+    gone = found.where("window is null").select("id", "h", "start", "n").unionByName(late).unionByName(copies).unionByName(copies_within)
     return beside(named, lists_of(gone, "start", "n")).mapInArrow(
         lambda b: _removed(b, size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -530,3 +530,21 @@ def test_language_of_long_text(spark):
     got = {r.doc_id: r for r in langid.identify(made, dictionaries).collect()}
     assert [(got[i].lang_pred, got[i].rejected) for i in (1, 2)] == [("en", False)] * 2
     assert got[2].score > got[1].score / 2
+
+
+def test_suffix_array_of_crowded_minimisers(spark):
+    """Near copies of one passage, more than a block holds: runs are dealt by a second minimiser, rows stay few."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    base = rng.choice(letters, 900)
+    rows = []
+    for i in range(60):
+        x = base.copy()
+        for at in rng.integers(0, 900, 2):
+            x[at] = ord("0") + i % 10
+        rows.append((i, x.tobytes().decode() + " " + rng.choice(letters, 500).tobytes().decode()))
+    rows += [(100, "q" * 2000), (101, "q" * 700), (102, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1 << 20, 4000, 700):
+        got = rows_of(suffixarray.remove_repeats(docs, block=block), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == sorted(bytes_by_force(rows, 400), key=str)
