@@ -24,7 +24,7 @@ from driftmark.llm.words import BYTE_VALUE, SPACES, U64, Slice, mixed, prefix_su
 RUN = np.dtype([("key", "<u8"), ("seg", "<u8"), ("id", "<i8"), ("h", "<i8"), ("start", "<i4"), ("n", "<i4")])
 RUN_SCHEMA = "key long, seg long, id long, h long, start int, n int"
 UNDECIDED, SIGNAL, DECIDED = 0, 1, 2
-FLUSH = 400_000
+FLUSH = 200_000
 
 
 def byte_units(piece: Slice) -> tuple[np.ndarray, np.ndarray]:

@@ -82,7 +82,7 @@ def _sent(parts, buckets):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "n", "blob"])
 
 
-def _suffixes(batches, size, frequent, bits, buckets, flush=500_000):
+def _suffixes(batches, size, frequent, bits, buckets, flush=200_000):
     """Suffixes of the segments named in each document's spans, with their prefixes.
 
     A prefix goes on until a word that is not frequent, and no further than ``size`` words.
@@ -186,7 +186,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bulk = segments.agg(F.sum("one.n")).first()[0] or 0
     buckets = parts_for(bulk * SUFFIX.itemsize, 12 << 20, spark)
     sent = beside(named, lists_of(segments.select("one.*"), "start", "n")).mapInArrow(
-        lambda b: _suffixes(b, size, frequent, bits, buckets), "bucket int, kind int, n int, blob binary")
+        tidied(lambda b: _suffixes(b, size, frequent, bits, buckets)), "bucket int, kind int, n int, blob binary")
     later = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_subtrees), "id long, h long, start int, n int")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     if keep:
