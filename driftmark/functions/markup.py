@@ -159,7 +159,7 @@ def intervals(tags: Column, begins: Column) -> Column:
     return F.aggregate(F.zip_with(tags, begins, lambda t, h: F.struct(t.alias("t"), h.alias("hit"))), start, step, end)
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -174,7 +174,7 @@ def element(text: Column, start: Column) -> Column:
     found = extract(text, start, 0)
     tag = F.regexp_extract(found, "(?s)<[^<]*$", 0)
     behind = F.concat(tag, F.substring(text, F.instr(text, found) + F.length(found), F.length(text)))
-    return _bound(tagged(behind), lambda tags: within(tags, F.get(intervals(tags, F.transform(tags, lambda t: t["i"] == 0)), F.lit(0))))
+    return bound(tagged(behind), lambda tags: within(tags, F.get(intervals(tags, F.transform(tags, lambda t: t["i"] == 0)), F.lit(0))))
 
 
 def selector_pairs(group: str) -> list[tuple[str, str | None]]:
@@ -197,7 +197,7 @@ def element_items(page: Column, groups: Column) -> Column:
             return F.transform(tags, lambda t: F.coalesce(F.rlike(t["piece"], pattern), F.lit(False)))
 
         def below(g: Column) -> Column:
-            return _bound(intervals(tags, hits(g["outer"])), lambda around: F.zip_with(
+            return bound(intervals(tags, hits(g["outer"])), lambda around: F.zip_with(
                 tags, hits(g["inner"]), lambda t, h: h & F.exists(around, lambda s: (s["i"] < t["i"]) & (t["i"] <= s["j"]))
             ))
 
@@ -207,4 +207,4 @@ def element_items(page: Column, groups: Column) -> Column:
         found = F.filter(F.transform(F.filter(groups, lambda g: F.rlike(page, g["any"])), spans), lambda f: F.size(f) > 0)
         return F.transform(F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<struct<i: int, j: int>>")), lambda s: within(tags, s))
 
-    return _bound(tagged(page), picked)
+    return bound(tagged(page), picked)

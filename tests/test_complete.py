@@ -152,3 +152,30 @@ def test_intervals(spark):
         H.element(F.col("h"), F.lit("<b>y")).alias("text"),
     ).first()
     assert [tuple(x) for x in row.b] == [(1, 4), (2, 3), (6, 7)] and [tuple(x) for x in row.a] == [(0, 7), (5, 5)]
+
+
+def test_priced_objects_at_any_depth(spark):
+    """Against a walk over the parsed text: nesting, arrays, braces and quotes within strings, keys of inner objects only."""
+    def walk(node):
+        out = []
+        if isinstance(node, dict):
+            out = [node] if {"title", "name"} & set(node) and {"price", "currentPrice", "priceValue"} & set(node) else []
+        for child in node.values() if isinstance(node, dict) else node if isinstance(node, list) else ():
+            out += walk(child)
+        return out
+
+    def make(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice([1, 2.5, None, True, "x", 'a "quoted" {brace}', "price", "back\\slash", "é\n"])
+        if kind < 0.5:
+            return [make(depth - 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(["title", "name", "price", "currentPrice", "priceValue", "a", "b"]): make(depth - 1) for _ in range(rng.randrange(5))}
+
+    rng = random.Random(12)
+    made = [make(6) for _ in range(150)] + [{"title": "t", "price": {"title": "in", "price": 1}}]
+    df = spark.createDataFrame([(i, json.dumps(m, indent=rng.choice([None, 1]))) for i, m in enumerate(made)] + [(999, None), (1000, '{"title": 1, "price"'), (1001, "")], "i int, t string")
+    got = {r.i: r.found for r in df.select("i", P.priced_objects(F.col("t")).alias("found")).collect()}
+    for i, m in enumerate(made):
+        assert [json.loads(x) for x in got[i]] == walk(m)
+    assert not got[999] and not got[1000] and not got[1001] and sum(len(got[i]) for i in range(len(made))) > 20
