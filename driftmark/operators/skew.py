@@ -14,14 +14,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 SLICE = "_slice"
 
 
-def beside(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with the columns of the one side row of their key and slice; null keys and times are values like others."""
-    own = [*keys, SLICE]
-    side = side.withColumnsRenamed({k: f"_side_{k}" for k in own})
-    same = F.lit(True)
-    for k in own:
-        same = same & F.col(k).eqNullSafe(F.col(f"_side_{k}"))
-    return rows.join(side, same).drop(*[f"_side_{k}" for k in own])
+OWN = "_own"
+
+
+def in_slices(df: DataFrame, keys: Sequence[str], ts: str, unit: str) -> DataFrame:
+    """Rows with ``OWN``: their key and slice as one struct.
+
+    Structs are equal where nulls meet nulls, so a plain equality on it takes null keys and times for values like
+    others, and one shuffle by it serves a join and the windows that follow.
+    """
+    return with_slice(df, ts, unit).withColumn(OWN, F.struct(*keys, SLICE)).drop(SLICE)
+
+
+def beside(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Rows with the columns of the one side row of their key and slice."""
+    return rows.join(side, OWN)
 
 
 def with_slice(df: DataFrame, ts: str, unit: str) -> DataFrame:
@@ -33,32 +40,27 @@ def sliced_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
 
     ``order`` starts with the time column that is cut into slices.
     """
-    rows = with_slice(df, order[0], unit)
+    rows = in_slices(df, keys, order[0], unit)
     last = F.max(F.struct(*order, *[v for v in values if v not in order])).alias("last")
-    borders = rows.groupBy(*keys, SLICE).agg(last)
-    over_slices = W.partitionBy(*keys).orderBy(SLICE)
-    borders = borders.select(*keys, SLICE, F.lag("last").over(over_slices).alias("border"))
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order)
-    rows = beside(rows, borders, keys)
+    over_slices = W.partitionBy(*[f"{OWN}.{k}" for k in keys]).orderBy(f"{OWN}.{SLICE}")
+    borders = rows.groupBy(OWN).agg(last).select(OWN, F.lag("last").over(over_slices).alias("border"))
+    inside = W.partitionBy(OWN).orderBy(*order)
+    rows = beside(rows, borders)
     first = F.row_number().over(inside) == 1
     rows = rows.withColumns(
         {f"prev_{v}": F.when(first, F.col(f"border.{v}")).otherwise(F.lag(v).over(inside)) for v in values}
     )
-    return rows.drop("border", SLICE)
+    return rows.drop("border", OWN)
 
 
 def sliced_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, unit: str, name: str) -> DataFrame:
     """Adds the running sum of ``value`` over the rows of the key, oldest first."""
-    rows = with_slice(df.withColumn("_v", value), order[0], unit)
-    sizes = rows.groupBy(*keys, SLICE).agg(F.sum("_v").alias("n"))
-    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, SLICE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        beside(rows, sizes, keys)
-        .withColumn(name, F.col("offset") + F.sum("_v").over(inside))
-        .drop("offset", "_v", SLICE)
-    )
+    rows = in_slices(df.withColumn("_v", value), keys, order[0], unit)
+    sizes = rows.groupBy(OWN).agg(F.sum("_v").alias("n"))
+    before = W.partitionBy(*[f"{OWN}.{k}" for k in keys]).orderBy(f"{OWN}.{SLICE}").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(OWN, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = W.partitionBy(OWN).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return beside(rows, sizes).withColumn(name, F.col("offset") + F.sum("_v").over(inside)).drop("offset", "_v", OWN)
 
 
 def sliced_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], unit: str, name: str = "rank") -> DataFrame:
