@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftmark import params
 from driftmark.operators.dedupe import Budget, Cooldown
+from driftmark.streaming.ordered import DropFold
 
 TIMER = GroupStateTimeout.EventTimeTimeout
 
@@ -144,28 +145,18 @@ def rapid_drop_stream(observations: DataFrame, hours: int = 24, threshold: float
 
     Reads ``product_id, row_id, fetched_at, price``.
     """
-    span = hours * 3_600_000_000
+    rule = DropFold(hours, threshold)
 
     def fold(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        times, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         pdf = _sorted(batches, "fetched_at", "row_id")
+        at, prices = _micros(pdf["fetched_at"]).tolist(), pdf["price"].astype(float).tolist()
         # rows at one time see each other, as peers of a range frame do
-        at_all = _micros(pdf["fetched_at"]).tolist()
-        found = []
-        for i, (at, price) in enumerate(zip(at_all, pdf["price"].astype(float))):
-            times = [t for t in times if t >= at - span]
-            peers = sum(1 for t in at_all[i:] if t == at)
-            in_window = len(times) + peers
-            if last and last > 0 and in_window >= 3:
-                drop = (last - price) / last * 100
-                if drop >= threshold:
-                    found.append((key[0], pdf["row_id"].iloc[i], pdf["fetched_at"].iloc[i], last, price, drop, (in_window - 1) / hours))
-            times.append(at)
-            last = price
-        _keep(state, (times, last), at_all[-1] + span)
+        extras, saved = rule.take(state.get if state.exists else None, [(t, None, p) for t, p in zip(at, prices)])
+        _keep(state, saved, rule.until(saved))
+        found = [(key[0], i, when, prev, p, drop, rate) for (prev, drop, rate, hit), i, when, p in zip(extras, pdf["row_id"], pdf["fetched_at"], prices) if hit]
         if found:
             yield pd.DataFrame(found, columns=["product_id", "row_id", "fetched_at", "prev_price", "price", "drop_percent", "change_velocity"])
 
