@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from driftmark.session import cut_lineage
 
 WRAPPERS = ("products", "items", "data", "results")
 ITEM = "map<string,string>"
@@ -69,8 +70,8 @@ PRODUCT_URL_PARTS = ("/dp/", "/product/", "/p/", "/item/", "/products/", "?sku="
 def sitemap_urls(docs: DataFrame, roots: DataFrame, cap: int | None = None, parts=PRODUCT_URL_PARTS) -> DataFrame:
     """Product URLs of sitemaps and of all sitemaps that indexes lead to, indexes within indexes too.
 
-    ``docs`` holds ``doc_url, xml`` of all fetched documents, ``roots`` the ``doc_url`` to start from.  One small job
-    per level of indexes tells whether another follows; an index met again is not followed twice.
+    ``docs`` holds ``doc_url, xml`` of all fetched documents, ``roots`` the ``doc_url`` to start from.  Each level
+    of indexes is checkpointed, so finding the next one does not repeat those before; an index met again is not followed twice.
     ``cap`` bounds the URLs per root where the caller wants a bounded scan; by default all are kept.
     """
     locs = F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))
@@ -82,7 +83,7 @@ def sitemap_urls(docs: DataFrame, roots: DataFrame, cap: int | None = None, part
         flat = here.filter(~F.col("is_index")).select("root", "locs")
         leaves = flat if leaves is None else leaves.unionByName(flat)
         named = here.filter("is_index").select("root", F.explode("locs").alias("doc_url")).distinct()
-        level = named.join(seen, ["root", "doc_url"], "left_anti")
+        level = cut_lineage(named.join(seen, ["root", "doc_url"], "left_anti"))
         seen = seen.unionByName(level)
     urls = leaves.select("root", F.explode("locs").alias("url"))
     wanted = F.lit(False)
