@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftmark import params
 from driftmark.functions.numbers import clamp, fixed_text, mean_of_decimals, percent_off
 from driftmark.operators import baseline as B, skew
+from driftmark.operators.learning import ensemble
 
 
 def quartile_fences(profile: DataFrame) -> DataFrame:
@@ -99,8 +100,17 @@ def detector_confidence(history_count: Column, n_methods: Column, stability: Col
     return F.least(F.lit(1.0), F.lit(0.5) + seen + agreed + steady)
 
 
-def statistical_detectors(d: DataFrame) -> DataFrame:
-    d = fuse_scores(below_minimum(rate_of_change(iqr(zscore(d)))))
+def statistical_detectors(d: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """All methods fused, with a confidence.
+
+    ``learned`` has a row per product with the verdicts of the learned detectors (``learning.learned_scores``); they and
+    their common vote then take part like the statistical methods.
+    """
+    d = below_minimum(rate_of_change(iqr(zscore(d))))
+    if learned is None:
+        d = fuse_scores(d)
+    else:
+        d = fuse_scores(ensemble(d.join(learned, "product_id", "left")), METHODS + LEARNED_METHODS)
     conf = detector_confidence(F.col("observation_count"), F.col("n_methods"), F.col("stability"))
     return d.withColumn("confidence_score", conf)
 

@@ -299,6 +299,16 @@ def reconstruction_detector(observations: DataFrame, order, newest: int = 100, c
     )
 
 
+def learned_scores(observations: DataFrame, order, isolation: DataFrame) -> DataFrame:
+    """Scores and verdicts of the learned detectors, a row per product that any of them judged.
+
+    ``isolation`` has the forest's ``product_id, isolation_score, isolation_hit``.
+    """
+    mixture = mixture_detector(observations, order).select("product_id", F.col("score").alias("mixture_score"), F.col("is_anomaly").alias("mixture_hit"))
+    rebuilt = reconstruction_detector(observations, order).select("product_id", F.col("score").alias("reconstruction_score"), F.col("is_anomaly").alias("reconstruction_hit"))
+    return isolation.join(mixture, "product_id", "full").join(rebuilt, "product_id", "full")
+
+
 def ensemble(d: DataFrame) -> DataFrame:
     """Mean of the learned scores where two or more exist, and whether all of them exceed one half."""
     scores = F.array_compact(F.array("isolation_score", "mixture_score", "reconstruction_score"))

@@ -64,13 +64,8 @@ def iforest_score(t: Tables):
 @query("e10_learned_fusion")
 def learned_fusion(t: Tables):
     """All methods, statistical and learned, with the vote of the learned ones."""
-    mixture = L.mixture_detector(t.observations(), ORDER).select("product_id", F.col("score").alias("mixture_score"), F.col("is_anomaly").alias("mixture_hit"))
-    rebuilt = L.reconstruction_detector(t.observations(), ORDER).select("product_id", F.col("score").alias("reconstruction_score"), F.col("is_anomaly").alias("reconstruction_hit"))
-    d = A.below_minimum(A.rate_of_change(A.iqr(A.zscore(inputs(t)))))
-    for scores in (isolated(t), mixture, rebuilt):
-        d = d.join(scores, "product_id", "left")
     methods = A.METHODS + A.LEARNED_METHODS
-    d = A.fuse_scores(L.ensemble(d), methods)
+    d = A.statistical_detectors(inputs(t), L.learned_scores(t.observations(), ORDER, isolated(t)))
     return d.select("product_id", *[c for hit, score, _ in methods for c in (hit, score)], "n_methods", "methods", "anomaly_score", "is_anomaly", "is_significant")
 
 
