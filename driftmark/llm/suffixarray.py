@@ -169,8 +169,8 @@ def _segments(batches, size):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "part", "parts", "times", "id", "h", "start", "raw"])
 
 
-def _finer(batches, size, gram):
-    """Runs of crowded minimisers cut by the next smallest gram hash of each window, keyed by both hashes."""
+def _finer(batches, size, gram, more=4):
+    """Runs of crowded minimisers cut by ``more`` further minimisers of each window, of other hashes, and keyed by all."""
     for batch in batches:
         out = []
         for i, h, text, spans in zip(*[batch.column(c).to_pylist() for c in ("id", "h", "text", "spans")]):
@@ -180,11 +180,12 @@ def _finer(batches, size, gram):
                 sums = prefix_sums(values)
                 at = np.arange(len(values) - gram + 1)
                 hashes = span_hash(sums, at, at + gram)
-                first = np.int64(s["key"]).view(U64)
-                second = sliding_min(np.where(hashes == first, np.iinfo(U64).max, hashes), size - gram + 1)
-                begin = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
-                n = np.diff(np.r_[begin, len(second)])
-                keys = mixed(second[begin] ^ mixed(np.full(len(begin), first))).view(np.int64)
+                keys = np.full(s["n"], np.int64(s["key"]).view(U64))
+                for r in range(1, more + 1):
+                    keys = mixed(keys ^ sliding_min(mixed(hashes ^ U64(r * 0x8CB92BA72F3D8DD7 % 2**64)), size - gram + 1))
+                begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                n = np.diff(np.r_[begin, len(keys)])
+                keys = keys[begin].view(np.int64)
                 segs = span_hash(sums, begin, begin + n + size - 1).view(np.int64)
                 out += [(k, g, i, h, s["start"] + b, m, s["times"]) for k, g, b, m in zip(keys.tolist(), segs.tolist(), begin.tolist(), n.tolist())]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
@@ -263,8 +264,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. ``repeated_runs`` narrows the corpus to runs of windows whose minimiser is met twice.
     2. Runs with equal bytes are one segment.  Met twice, all its windows are repeated, wherever it stands.
-    3. The segments of a minimiser with more of them than a block holds are cut once more, by the next smallest hash of
-       each window, into finer runs: equal windows agree in both.  Finer runs with equal bytes are again one segment.
+    3. The segments of a minimiser with more of them than a block holds are cut once more, by four further minimisers of
+       each window, into finer runs: equal windows agree in all.  Finer runs with equal bytes are again one segment.
     4. One copy of each segment goes to its minimiser's block.  A block of about ``block`` bytes gets a suffix array by
        two-stage sorting; neighbours in it with a common prefix of ``size`` bytes are repeats.  What is crowded even
        then is cut into parts; what is unique within a part is then matched between parts by a hash of the window.
