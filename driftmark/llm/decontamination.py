@@ -188,6 +188,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     with more than one, results meet per document.  Words: A-Z lower-cased, runs of letters, digits and bytes above
     0x7F.  Null and empty texts have no words and are not hit; items without words match nothing; items with equal
     ids are one item; null item ids are left out; rows that repeat are judged one by one.
+    Other columns are ignored, whatever their names.  No documents give no rows; without items nothing is hit.
     """
     spark = docs.sparkSession
     sought = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))

@@ -88,8 +88,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Null labels, null ids, and vectors that are null, zero, or hold null or non-finite components link with nothing.
     Vectors of different lengths never link.  Rows that repeat an id are separate vectors with one id: they count in
-    links and share a component if linked.  Recall (all links at cosine 0.98 on the test tables) is what ``reach``
-    gives: raise it, a multiple of ``tables`` less one, for lower thresholds.
+    links and share a component if linked.  Other columns are ignored, whatever their names; no rows give no rows.
+    Recall is what ``reach`` gives: with the defaults 0.995 of the pairs at cosine 0.980, 0.998 at 0.985 and all at 0.990
+    (measured on planted partners of the test vectors); raise it, a multiple of ``tables`` less one, for lower thresholds.
     """
     if reach // tables > 1:
         raise ValueError("substrings are looked up to one flip; use more tables for this reach")

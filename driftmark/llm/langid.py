@@ -74,7 +74,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     The whole text, lower-cased, is compressed with each dictionary in pieces of ``PIECE`` bytes; the smallest sum wins, equal
     ones go to the language with the most training rows.  ``score`` is by how much the second best is larger, as a share of it.
     Below ``margin`` the language is rejected.  Null texts and texts without a letter are ``und`` with score 0 and
-    rejected; so is everything if nothing was learned.  Rows are classified one by one, repeated ones alike.
+    rejected; so is everything if nothing was learned.  Rows are classified one by one, repeated ones alike; no rows
+    give no rows.  Columns not in ``keep`` are ignored, whatever their names.
     The dictionaries travel with the task: their size is bounded by ``train``.
     """
     text = F.col(text_col).cast("string")

@@ -107,7 +107,7 @@ def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", te
     """doc_id, score and predicted (score >= threshold) of every row, from its whole text.
 
     Each feature counts once a document.  Null and empty texts get the bias alone.  Rows are scored one by one,
-    null and repeated ids too.  The weights travel with the tasks: at most 2**bits of them, far fewer after L1.
+    null and repeated ids too; other columns are ignored, whatever their names; no rows give no rows.  The weights travel with the tasks: at most 2**bits of them, far fewer after L1.
     """
     ids, values = np.fromiter(weights.keys(), np.int64, len(weights)), np.fromiter(weights.values(), float, len(weights))
     narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
