@@ -213,7 +213,9 @@ def product_pages(t: Tables):
     other = F.concat(F.lit('<p>x</p><a href="/site/'), cat, F.lit('?q=1">more</a>'))
     html = F.concat(F.lit("<html><body>"), F.when(k == 0, crumb).when(k == 1, shop).when(k == 2, other).otherwise("<p>none</p>"), F.lit("</body></html>"))
     store = F.when(F.floor(F.col("product_id") / 4) % 2 == 0, "bestbuy").otherwise("target")
-    return t.products().select(F.col("product_id").alias("page_id"), store.alias("store"), html.alias("html"))
+    # a small file is one task, and building and reading pages is the work: the rows are dealt out first
+    rows = t.products().select("product_id", "category").repartition(4 * t.spark.sparkContext.defaultParallelism)
+    return rows.select(F.col("product_id").alias("page_id"), store.alias("store"), html.alias("html"))
 
 
 @query("a11_page_category", with_views("products", body="""
