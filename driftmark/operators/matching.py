@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from driftmark import params
@@ -78,56 +79,112 @@ def upsert_embeddings(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("product_id", "model_name").agg(top).select("product_id", "model_name", "t.*")
 
 
-def _best_pairs(left: pd.DataFrame, right: pd.DataFrame, k: int, threshold: float, other_group: bool) -> pd.DataFrame:
-    """Exact similarities of one block against another: per left row its k best at or above the threshold."""
-    if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "match_id": [], "similarity": []}).astype({"id": "int64", "match_id": "int64", "similarity": "float64"})
-    a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-    lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-    out_l, out_r, out_s = [], [], []
-    for start in range(0, len(a), 1024):
-        sim = np.round(a[start:start + 1024] @ b.T, 8)
-        ok = (sim >= threshold) & (lid[start:start + 1024, None] != rid[None, :])
+def _exact_best(a: np.ndarray, b: np.ndarray, rid: np.ndarray, barred: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every row of ``a`` over all of ``b``, in double throughout: ``row, column, similarity``."""
+    sim = np.round(a @ b.T, 8)
+    ok = (sim >= threshold) & ~barred
+    rows, cols, sims = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for i in np.flatnonzero(ok.any(axis=1)):
+        hits = np.flatnonzero(ok[i])
+        if len(hits) > k:
+            hits = hits[sim[i, hits] >= np.partition(sim[i, hits], -k)[-k]]
+        best = hits[np.lexsort((rid[hits], -sim[i, hits]))[:k]]
+        rows.append(np.full(len(best), i))
+        cols.append(best)
+        sims.append(sim[i, best])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
+
+
+def _best_pairs(a: np.ndarray, lid: np.ndarray, lg: np.ndarray, b: np.ndarray, rid: np.ndarray, rg: np.ndarray, k: int, threshold: float, other_group: bool, width: int = 64):
+    """Similarities of one block against another: per left row its k best at or above the threshold.
+
+    Single precision, whose error is bounded, finds the few columns that can be among the k best; these are then
+    compared in double.  The bound of a row is the k-th largest of the greatest values of ``width`` columns each, taken at even
+    distances: as many columns are at least as similar.  A row with very many columns at the bound (copies) is compared in double as a whole.
+    """
+    fa, fb = np.isfinite(a).all(axis=1), np.isfinite(b).all(axis=1)
+    a, lid, lg, b, rid, rg = a[fa], lid[fa], lg[fa], b[fb], rid[fb], rg[fb]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(a) or not len(b):
+        return none
+    order = np.argsort(rid, kind="stable")
+    b, rid, rg = b[order], rid[order], rg[order]
+    longest = float(np.sqrt((a * a).sum(axis=1).max() * (b * b).sum(axis=1).max()))
+    slack = 2.0 * (a.shape[1] + 2) * 2.0 ** -24 * longest
+    a32, b32 = a.astype(np.float32), b.astype(np.float32).T
+    whole = len(b) // width * width
+    many = max(64 * k, 1024)
+    found = []
+    for start in range(0, len(a), 256):
+        stop = min(start + 256, len(a))
+        sim = a32[start:stop] @ b32
+        low, high = np.searchsorted(rid, lid[start:stop]), np.searchsorted(rid, lid[start:stop], "right")
+        own = np.repeat(np.arange(stop - start), high - low), np.concatenate([np.arange(x, y) for x, y in zip(low, high)])
         if other_group:
-            ok &= left["g"].to_numpy()[start:start + 1024, None] != right["g"].to_numpy()[None, :]
-        for i in np.flatnonzero(ok.any(axis=1)):
-            hits = np.flatnonzero(ok[i])
-            best = hits[np.lexsort((rid[hits], -sim[i, hits]))[:k]]
-            out_l.append(np.full(len(best), lid[start + i]))
-            out_r.append(rid[best])
-            out_s.append(sim[i, best])
-    if not out_l:
-        return _best_pairs(left.iloc[:0], right, k, threshold, other_group)
-    return pd.DataFrame({"id": np.concatenate(out_l), "match_id": np.concatenate(out_r), "similarity": np.concatenate(out_s)})
+            np.copyto(sim, -np.inf, where=lg[start:stop, None] == rg[None, :])
+        sim[own] = -np.inf
+        bound = np.full(stop - start, threshold - slack)
+        if whole >= k * width:
+            tops = sim[:, :whole].reshape(stop - start, width, -1).max(axis=1)
+            bound = np.maximum(bound, np.partition(tops, -k, axis=1)[:, -k] - 2 * slack)
+        near = sim >= (bound - 1e-7).astype(np.float32)[:, None]
+        crowded = np.flatnonzero(np.count_nonzero(near, axis=1) > many)
+        near[crowded] = False
+        rows, cols = np.divmod(np.flatnonzero(near), len(b))
+        exact = np.round(np.einsum("ij,ij->i", a[start + rows], b[cols]), 8)
+        ok = exact >= threshold
+        rows, cols, exact = rows[ok], cols[ok], exact[ok]
+        best = np.lexsort((cols, -exact, rows))
+        rows, cols, exact = rows[best], cols[best], exact[best]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        found.append((lid[start + rows[first]], rid[cols[first]], exact[first]))
+        for at in range(0, len(crowded), 32):
+            part = crowded[at:at + 32]
+            i, j, s = _exact_best(a[start + part], b, rid, np.isneginf(sim[part]), k, threshold)
+            found.append((lid[start + part[i]], rid[j], s))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str], k: int, threshold: float, other_group: bool) -> DataFrame:
-    def block(_key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _best_pairs(a, b, k, threshold, other_group)
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        sides = [(matrix(x["v"], len(x)), x["id"].to_numpy()) for x in (a, b)]
+        groups = pd.factorize(np.concatenate([x["g"].to_pandas().to_numpy(object) for x in (a, b)]), use_na_sentinel=False)[0].astype(np.int32)
+        pairs = _best_pairs(*sides[0], groups[:len(a)], *sides[1], groups[len(a):], k, threshold, other_group)
+        return pa.table(dict(zip(("id", "match_id", "similarity"), pairs)))
 
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, MATCH_SCHEMA)
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, MATCH_SCHEMA)
     best = W.partitionBy("id").orderBy(F.desc("similarity"), "match_id")
-    ranked = pairs.dropDuplicates(["id", "match_id"]).withColumn("rank", F.row_number().over(best))
+    # dealt by id first: pairs that met twice and the ranking both need no other shuffle
+    ranked = pairs.repartition("id").dropDuplicates(["id", "match_id"]).withColumn("rank", F.row_number().over(best))
     return ranked.filter(F.col("rank") <= k)
 
 
+def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    if not rows:
+        return np.zeros((0, 0))
+    values = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return values.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(rows, -1)
+
+
 def _vectors(df: DataFrame, group: str | None) -> DataFrame:
     g = F.col(group).cast("string") if group else F.lit("")
     return df.select(F.col("product_id").alias("id"), F.col("embedding").alias("v"), g.alias("g"))
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, threshold: float, block_rows: int = 8192, other_group: str | None = None) -> DataFrame:
-    """Exact k nearest by cosine similarity over normalised vectors.
+def knn(queries: DataFrame, index: DataFrame, k: int, threshold: float, block_rows: int = 32768, other_group: str | None = None) -> DataFrame:
+    """Exact k nearest by cosine similarity over normalised vectors; a row without a vector has none and is none.
 
-    Both sides are cut into hash blocks of about ``block_rows``, counted first; every pair of blocks is one task that
-    multiplies two matrices and emits at most k rows per query, so neither a cross join nor all pairs appear and a
-    task's memory does not grow with the tables.  The work is quadratic by nature; see ``InvertedFile`` for large
-    tables.
+    Both sides are cut into hash blocks of at most about ``block_rows``, counted first, and of a sixteenth of that where
+    this gives fewer than six; every pair of blocks is one task that multiplies two matrices and emits at most k rows per
+    query, so neither a cross join nor all pairs appear and a task's memory does not grow with the tables.  A row travels
+    once for each block of the other side.  The work is quadratic by nature; see ``InvertedFile`` for large tables.
     """
-    blocks = max(1, -(-max(queries.count(), index.count()) // block_rows))
+    rows = max(queries.count(), index.count())
+    blocks = max(1, -(-rows // block_rows), min(6, -(-16 * rows // block_rows)))
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = _vectors(queries, other_group).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("ib", F.explode(numbers))
-    b = _vectors(index, other_group).withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(numbers))
+    a = _vectors(queries, other_group).filter(F.col("v").isNotNull()).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("ib", F.explode(numbers))
+    b = _vectors(index, other_group).filter(F.col("v").isNotNull()).withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(numbers))
     return _match(a, b, ["qb", "ib"], k, threshold, other_group is not None)
 
 
@@ -215,18 +272,21 @@ class InvertedFile:
         blocked.drop("blocks").hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(f"{path}/vectors")
         return cls(spark, path)
 
-    def knn(self, queries: DataFrame, k: int, threshold: float, probes: int = 8, block_rows: int = 5000, other_group: str | None = None) -> DataFrame:
-        """The k best of each query among the rows of its ``probes`` nearest cells, with exact similarities."""
+    def knn(self, queries: DataFrame, k: int, threshold: float, probes: int = 8, block_rows: int = 32768, other_group: str | None = None) -> DataFrame:
+        """The k best of each query among the rows of its ``probes`` nearest cells, with exact similarities.
+
+        Stored blocks of a cell are searched together, up to about ``block_rows``, by as many queries at a time.
+        """
         nearest = _nearest(self.centres, self.numbers, probes)
         a = _vectors(queries, other_group).filter(F.col("v").isNotNull()).withColumn("cell", F.explode(nearest("v")))
         asked = a.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("asked"))
-        sizes = self.cells.select("cell", "blocks").join(asked, "cell")
-        blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-        left = a.join(sizes, "cell").select("id", "v", "g", "cell", F.pmod(F.xxhash64("id"), F.col("asked")).cast("int").alias("qb"), F.explode(blocks).alias("block"))
-        renamed = sizes.select(F.col("cell").alias("_cell"), F.col("asked").alias("_asked"))
+        sizes = self.cells.select("cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("parts")).join(asked, "cell")
+        parts = F.sequence(F.lit(0), F.col("parts") - 1)
+        left = a.join(sizes, "cell").select("id", "v", "g", "cell", F.pmod(F.xxhash64("id"), F.col("asked")).cast("int").alias("qb"), F.explode(parts).alias("part"))
+        renamed = sizes.select(F.col("cell").alias("_cell"), F.col("asked").alias("_asked"), F.col("parts").alias("_parts"))
         held = self.vectors.select("id", "v", "g", F.col("cell").cast("long").alias("cell"), "block").join(renamed, F.col("cell") == F.col("_cell"))
-        right = held.select("id", "v", "g", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("_asked") - 1)).alias("qb"))
-        return _match(left, right, ["cell", "block", "qb"], k, threshold, other_group is not None)
+        right = held.select("id", "v", "g", "cell", (F.col("block") % F.col("_parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("_asked") - 1)).alias("qb"))
+        return _match(left, right, ["cell", "part", "qb"], k, threshold, other_group is not None)
 
 
 def _nearest(centres: np.ndarray, numbers: np.ndarray, probes: int):
@@ -241,10 +301,12 @@ def _nearest(centres: np.ndarray, numbers: np.ndarray, probes: int):
     return cells
 
 
-def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row: how many exact matches there are and the share of them that were found."""
-    hits = exact.select("id", "match_id").join(found.select("id", "match_id", F.lit(True).alias("hit")), ["id", "match_id"], "left")
-    return hits.agg(F.count("*").alias("pairs"), F.coalesce(F.count("hit") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("recall"))
+def recall(found: DataFrame, exact: DataFrame, tolerance: float = 1e-7) -> DataFrame:
+    """One row: how many exact matches there are, the share of them that were found and how many with another similarity."""
+    mine = found.select("id", "match_id", F.lit(True).alias("hit"), F.col("similarity").alias("_found"))
+    hits = exact.select("id", "match_id", "similarity").join(mine, ["id", "match_id"], "left")
+    share = F.coalesce(F.count("hit") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0))
+    return hits.agg(F.count("*").alias("pairs"), share.alias("recall"), F.count_if(F.abs(F.col("similarity") - F.col("_found")) > tolerance).alias("differing"))
 
 
 def match_confidence(similarity: Column, price_a: Column, price_b: Column, msrp_a: Column, msrp_b: Column) -> Column:

@@ -1,8 +1,10 @@
 """Work that must not grow faster than the input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from driftmark.operators import pages as P
+from driftmark.operators import matching as M, pages as P
 
 
 def plan(df, part="optimizedPlan"):
@@ -16,3 +18,50 @@ def test_page_links_are_found_once(spark):
     found = P.page_categories(rows)
     assert plan(found).count("regexp_extract_all") <= 2
     assert sorted((r.page_id, r.category_url, r.category_name) for r in found.collect()) == [(i, "https://www.target.com/c/x", "shop x") for i in range(3)]
+
+
+def test_norm_of_a_vector_is_summed_once(spark, tables):
+    """The norm is no part of the function that runs for each dimension."""
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    text = plan(tables.embeddings())
+    assert text.count("aggregate(") == 1 and "array_repeat(SQRT" in text and "/ SQRT" not in text
+
+
+def pairs_by_hand(x, ids, groups, k, threshold):
+    sim = np.round(x @ x.T, 8)
+    out = set()
+    for i in range(len(x)):
+        ok = np.flatnonzero((sim[i] >= threshold) & (ids != ids[i]) & ((groups != groups[i]) if groups is not None else True))
+        out |= {(ids[i], ids[j], sim[i, j], r + 1) for r, j in enumerate(ok[np.lexsort((ids[ok], -sim[i, ok]))[:k]])}
+    return out
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_nearest_of_copies_and_near_ties(spark, grouped):
+    """Copies beyond the bound on candidates, similarities closer than single precision, ids out of order, a vector that is null or not finite."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 16))
+    x = np.concatenate([x, np.repeat(x[:1], 1500, axis=0), x[1:200] + rng.normal(size=(199, 16)) * 1e-5])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(len(x)) * 3
+    groups = np.array([f"s{i % 4}" for i in ids])
+    rows = [(int(i), g, v.tolist()) for i, g, v in zip(ids, groups, x)] + [(1, "s1", None), (2, "s1", [float("nan")] * 16)]
+    df = spark.createDataFrame(rows, "product_id long, store string, embedding array<double>").repartition(3)
+    found = M.knn(df, df, 4, 0.3, block_rows=5000, other_group="store" if grouped else None).collect()
+    want = pairs_by_hand(x, ids, groups if grouped else None, 4, 0.3)
+    assert {(r.id, r.match_id, r["rank"]) for r in found} == {(a, b, r) for a, b, _, r in want}
+    value = {(a, b): s for a, b, s, _ in want}
+    assert all(abs(r.similarity - value[r.id, r.match_id]) < 2e-8 for r in found)
+
+
+def test_block_kernel_compares_few_in_double(spark, monkeypatch):
+    """Candidates of a block are found in single precision; only they are compared in double."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4096, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    seen = []
+    whole = np.einsum
+    monkeypatch.setattr(M.np, "einsum", lambda f, a, b: seen.append(len(a)) or whole(f, a, b))
+    ids, groups = np.arange(4096), np.zeros(4096, np.int32)
+    got = M._best_pairs(x, ids, groups, x, ids, groups, 10, 0.25, False)
+    assert sum(seen) < 20 * 4096 and len(got[0]) == len(pairs_by_hand(x, ids, None, 10, 0.25))
