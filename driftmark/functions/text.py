@@ -63,9 +63,10 @@ def tokens(text: Column) -> Column:
 def keywords(docs: DataFrame, key: str, text: str, k: int = 10) -> DataFrame:
     """The most frequent tokens per document: top 2k by count, of those three letters or more, top k.
 
-    Equal counts keep the order of first occurrence.
+    Equal counts keep the order of first occurrence.  Texts are dealt by their key once, so that their words, several
+    times as large, do not travel: all later steps keep that partitioning.
     """
-    words = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "word"))
+    words = docs.select(key, text).repartition(key).select(key, F.posexplode(tokens(F.col(text))).alias("pos", "word"))
     counts = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     w = W.partitionBy(key).orderBy(F.desc("n"), "first")
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * k)

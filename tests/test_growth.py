@@ -65,3 +65,14 @@ def test_block_kernel_compares_few_in_double(spark, monkeypatch):
     ids, groups = np.arange(4096), np.zeros(4096, np.int32)
     got = M._best_pairs(x, ids, groups, x, ids, groups, 10, 0.25, False)
     assert sum(seen) < 20 * 4096 and len(got[0]) == len(pairs_by_hand(x, ids, None, 10, 0.25))
+
+
+def test_keywords_shuffle_texts_not_words(spark, tables):
+    """Documents are dealt by their key once; words, counts and ranks stay where their document is."""
+    from driftmark.functions import text as T
+
+    found = T.keywords(tables.raw("documents"), "doc_id", "text")
+    assert plan(found, "executedPlan").count("Exchange") == 1
+    rows = [(1, "red fox red hen"), (1, "hen hen fox fox owl"), (None, "fox"), (None, "owl owl"), (2, None)]
+    got = {r.k: r.keywords for r in T.keywords(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert got == {1: ["hen", "fox", "red", "owl"], None: ["owl", "fox"]}
