@@ -76,3 +76,30 @@ def test_keywords_shuffle_texts_not_words(spark, tables):
     rows = [(1, "red fox red hen"), (1, "hen hen fox fox owl"), (None, "fox"), (None, "owl owl"), (2, None)]
     got = {r.k: r.keywords for r in T.keywords(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
     assert got == {1: ["hen", "fox", "red", "owl"], None: ["owl", "fox"]}
+
+
+def test_forest_rows_are_computed_once(spark):
+    """Fitting reads its rows several times; what they come from runs once."""
+    from driftmark.operators import learning as L
+
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("long", useArrow=False)
+    def seen(x):
+        runs.add(1)
+        return x
+
+    rows = spark.range(400, numPartitions=2).withColumn("product_id", seen("id"))
+    rows = rows.select("product_id", *[(F.hash("product_id", F.lit(i)) / 2.0**31).alias(c) for i, c in enumerate(L.FEATURES)])
+    model = L.fit_forest(rows, ["product_id"])
+    assert runs.value == 400
+    assert L.fit_forest(rows.limit(L.MIN_ROWS - 1), ["product_id"]) is None
+    scored = model.depth_score(rows).select(*L.FEATURES, "isolation").limit(40).collect()
+    for r in scored:
+        total = 0.0
+        for _, g in model.nodes.groupby("tree"):
+            nodes, at = {n.node: n for n in g.itertuples()}, 0
+            while nodes[at].feature >= 0:
+                at = nodes[at].left if r[nodes[at].feature] <= nodes[at].threshold else nodes[at].right
+            total += nodes[at].path
+        assert abs(r.isolation - 2.0 ** (-total / L.TREES / L.mean_path(256.0))) < 1e-12
