@@ -103,3 +103,23 @@ def test_forest_rows_are_computed_once(spark):
                 at = nodes[at].left if r[nodes[at].feature] <= nodes[at].threshold else nodes[at].right
             total += nodes[at].path
         assert abs(r.isolation - 2.0 ** (-total / L.TREES / L.mean_path(256.0))) < 1e-12
+
+
+def test_mixtures_are_fitted_in_bounded_parts(monkeypatch):
+    """Rows are fitted in parts of like length; rounds, and so results, are those of all rows together."""
+    from driftmark.operators import learning as L
+
+    rng = np.random.default_rng(5)
+    size = rng.integers(15, 51, 700)
+    used = np.arange(50) < size[:, None]
+    x = np.where(used, np.round(rng.normal(100, 20, (700, 50)), 2), 0.0)
+    seen, fit = [], L._fit_rows
+    monkeypatch.setattr(L, "_fit_rows", lambda *a: seen.append(a[0].shape) or fit(*a))
+    weight, mean, var, history = L.fit_mixture(x, used, 3)
+    assert max(n for n, _ in seen) <= L.MIXTURE_ROWS and min(w for _, w in seen) < 50
+    w, m, v, whole = fit(x, used, 3, min(len(history), 100), 1e-6)
+    for a, b in ((weight, w), (mean, m), (var, v)):
+        assert np.allclose(a, b, rtol=1e-6)
+    assert np.allclose(np.array(history), whole, atol=1e-9) and abs(weight.sum(axis=1) - 1).max() < 1e-6
+    *_, one = L.fit_mixture(x, used, 1)
+    assert len(one) <= 4  # a single component is at rest after two rounds
