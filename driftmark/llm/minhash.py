@@ -134,8 +134,9 @@ def _verified(batches, size, threshold):
         for piece in slices(pa.array([held[i] for i in ids], pa.binary())):
             doc, unit = shingle_units(piece, size)
             order = np.lexsort((unit, doc))
+            unit = unit[order]  # once: a copy for each document would hold all units as often as there are documents
             cut = np.searchsorted(doc[order], np.arange(len(piece) + 1))
-            own += [unit[order][cut[d]:cut[d + 1]] for d in range(len(piece))]
+            own += [unit[cut[d]:cut[d + 1]] for d in range(len(piece))]
         centre = stars(_similar(own, threshold))
         moved = [(ids[i], ids[c]) for i, c in enumerate(centre.tolist()) if c != i]
         cols = [pa.array([x[s][p] for x in moved], pa.int64()) for s in (0, 1) for p in (0, 1)]

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge_rows import EDGE
 
@@ -142,6 +144,25 @@ def test_near_duplicates_edges(edge):
     assert minhash.near_duplicates(edge.limit(0)).collect() == []
 
 
+def test_compared_blocks_hold_their_units_once():
+    """The memory of a block's exact comparison follows its units, not units times documents."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 300)) for _ in range(300)]
+    texts[7] = texts[3] + " tail"
+    n = len(texts)
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.string()]
+    columns = [[1] * n, [1] * n, [0] * n, [0] * n, range(n), range(n), texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["c1", "c2", "i", "j", "h1", "h2", "text"])
+    list(minhash._verified([batch.slice(0, 2)], 5, 0.8))  # tables of powers are made once
+    tracemalloc.start()
+    found = pa.Table.from_batches(minhash._verified([batch], 5, 0.8)).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"a1": 7, "a2": 7, "b1": 3, "b2": 3}]
+    units = 300 * 296 * 8
+    assert peak < 140 * units  # a copy for each document alone is 300
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (600, 200, 200))
