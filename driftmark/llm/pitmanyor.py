@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import struct
 from dataclasses import dataclass, field, replace
 
@@ -18,8 +17,8 @@ from driftmark.llm.tables import parts_for, small_batches, stored
 from driftmark.llm.words import SPACES, U64, mixed, slices, words
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-FLUSH = 1_000_000
-COUNTS, SHARED, TEXTS, DOCS = 0, 1, 2, 3
+FLUSH = 2_000_000
+COUNTS, SHARED, TEXTS = 0, 1, 2
 TABLE, ASK, SUMS, ANSWER = 0, 1, 2, 3
 
 
@@ -93,10 +92,26 @@ def _pairs(word, context, weight):
 
 
 def _whole(parts: list[Tokens], ids, valid, held_out, chunk: int):
-    """One row with all tokens of some documents, as places in their sorted vocabulary."""
-    vocabulary, place = np.unique(np.concatenate([p.word for p in parts]), return_inverse=True)
+    """One row with all tokens of some documents, as places in their vocabulary, frequent words first."""
+    vocabulary, place, count = np.unique(np.concatenate([p.word for p in parts]), return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
     per_doc = np.concatenate([p.per_doc for p in parts])
-    return _rows([(0, COUNTS, chunk, _packed(vocabulary, place.astype(np.uint32), ids, valid.astype(np.uint8), held_out.astype(np.uint8), per_doc.astype(np.int64)))])
+    return _rows([(0, COUNTS, chunk, _packed(vocabulary[order], rank[place], ids, valid.astype(np.uint8), held_out.astype(np.uint8), per_doc.astype(np.int64)))])
+
+
+def _rises(ordered: np.ndarray) -> np.ndarray:
+    """Ascending numbers as steps, which are shorter."""
+    return np.diff(ordered, prepend=U64(0))
+
+
+def _met(own: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each number asked for in the ascending ``own``, and whether it is there."""
+    if not len(own):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+    return at, own[at] == asked
 
 
 def _known(vocabulary: np.ndarray, bits: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +131,7 @@ def _questions(batches, bits, parts):
     for batch in batches:
         for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
             keys, _ = _known(_unpacked(blob.as_py())[0], bits)
-            yield _rows([(p, ASK, chunk, _packed(keys[x])) for p, x in _divided(keys, bits, parts)])
+            yield _rows([(p, ASK, chunk, _packed(_rises(keys[x]))) for p, x in _divided(keys, bits, parts)])
 
 
 def _replies(batches, samples):
@@ -129,46 +144,55 @@ def _replies(batches, samples):
             if kind == TABLE:
                 keys, *table[chunk] = _unpacked(blob)
                 continue
-            (asked,) = _unpacked(blob)
-            at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-            hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+            at, hit = _met(keys, np.cumsum(*_unpacked(blob), dtype=U64))
             columns = [table[0][1], *[table[k][0] for k in samples]] if len(keys) else [np.zeros(1, np.int64)] * (1 + len(samples))
             yield _rows([(b, SHARED, chunk, _packed(*[np.where(hit, x[at], 0) for x in columns]))])
 
 
-def _chunks(batches, bits, buckets):
-    """One row for each bucket of words of a chunk: its words, (word, context) pairs, what its restaurants hold and the
-    documents they stand in; one row of documents."""
-    for chunk, rows in by_bucket(batches, 3):
-        vocabulary, place, ids, valid, held_out, per_doc = _unpacked(rows[0][2])
-        held = [np.concatenate(x) for x in zip(*[_unpacked(blob) for kind, _, blob in rows if kind == SHARED])]
-        _, of = _known(vocabulary, bits)
-        before = np.empty(len(place), np.int64)
-        before[1:] = place[:-1]
-        before[np.cumsum(per_doc) - per_doc] = len(vocabulary)
-        own = mixed(restaurants(np.append(vocabulary, BEGIN), bits))
-        doc = np.repeat(np.arange(len(per_doc)), per_doc)
-        pair = mixed(vocabulary[place] + own[before])
-        order = np.argsort(pair, kind="stable")  # documents stay in order within a pair
-        pair, doc = pair[order], doc[order]
-        new = np.r_[True, pair[1:] != pair[:-1]]
-        places = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]])
-        times = np.diff(np.r_[places, len(doc)]).astype(np.uint32)
-        begin = np.flatnonzero(new)
-        docs_of = np.diff(np.r_[np.searchsorted(places, begin), len(places)])
-        w, c = vocabulary[place[order[begin]]], of[before[order[begin]]]
-        bucket = (mixed(w) % U64(buckets)).astype(np.int64)
-        by = np.lexsort((w, bucket))
-        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        start = np.cumsum(docs_of) - docs_of
-        out = []
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            some = by[cut[b]:cut[b + 1]]
-            m = docs_of[some]
-            at = np.repeat(start[some] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            out.append((b, TEXTS, chunk, _packed(w[some], pair[begin[some]], m.astype(np.uint32), doc[places[at]].astype(np.uint32), times[at], *[x[c[some]] for x in held])))
-        out.append((chunk % buckets, DOCS, chunk, _packed(ids, valid, held_out, per_doc)))
-        yield _rows(out)
+@dataclass
+class Chunk:
+    """The tokens of some documents: distinct (word, context) pairs and words, and what each bucket is asked of them.
+
+    Of each pair: its hash, word (place in the vocabulary) and restaurant (place among the chunk's own); ``pair``: that
+    of each token.  ``pairs_by`` and ``words_by``: the pairs and words bucket after bucket, by ascending hash within
+    one; a bucket's are between its two cuts.
+    """
+
+    key: np.ndarray
+    word: np.ndarray
+    restaurant: np.ndarray
+    pair: np.ndarray
+    vocabulary: np.ndarray
+    pairs_by: np.ndarray
+    words_by: np.ndarray
+    pair_cut: np.ndarray
+    word_cut: np.ndarray
+
+
+def _chunk(vocabulary, place, per_doc, bits, buckets) -> Chunk:
+    _, of = _known(vocabulary, bits)
+    before = np.empty(len(place), np.int64)
+    before[1:] = place[:-1]
+    before[np.cumsum(per_doc) - per_doc] = len(vocabulary)
+    own = mixed(restaurants(np.append(vocabulary, BEGIN), bits))
+    key, first, pair = np.unique(mixed(vocabulary[place] + own[before]), return_index=True, return_inverse=True)
+    word = place[first].astype(np.int64)
+    bucket = (mixed(vocabulary) % U64(buckets)).astype(np.int64)
+    pairs_by, words_by = np.argsort(bucket[word], kind="stable"), np.lexsort((vocabulary, bucket))
+    edge = np.arange(buckets + 1)
+    return Chunk(key, word, of[before[first]], pair, vocabulary, pairs_by, words_by,
+                 np.searchsorted(bucket[word[pairs_by]], edge), np.searchsorted(bucket[words_by], edge))
+
+
+def _wanted(batches, bits, buckets):
+    """Which pairs and words each chunk has to know, for each bucket."""
+    for batch in batches:
+        for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
+            vocabulary, place, _, _, _, per_doc = _unpacked(blob.as_py())
+            c = _chunk(vocabulary, place, per_doc, bits, buckets)
+            pairs, words_of = c.key[c.pairs_by], vocabulary[c.words_by]
+            yield _rows([(b, TEXTS, number, _packed(_rises(pairs[c.pair_cut[b]:c.pair_cut[b + 1]]), _rises(words_of[c.word_cut[b]:c.word_cut[b + 1]])))
+                         for b in np.flatnonzero(np.diff(c.word_cut)).tolist()])
 
 
 def _texts(batches, bits):
@@ -222,7 +246,7 @@ def _merged(batches, bits):
         w, c, k = (np.concatenate(x) for x in zip(*[_unpacked(blob) for _, _, blob in rows]))
         w, c, k = _pairs(w, c, k)
         keys, place = np.unique(c, return_inverse=True)
-        yield _rows([(bucket, COUNTS, 0, _packed(w, (place if bits is None else c).astype(np.uint32), k, keys))])
+        yield _rows([(bucket, COUNTS, 0, _packed(w, (place if bits is None else c).astype(np.uint32), k, _rises(keys)))])
 
 
 @dataclass
@@ -275,7 +299,8 @@ class Bucket:
 
     def __init__(self, number: int, blob: bytes):
         self.number = number
-        self.word, self.context, self.count, self.keys = _unpacked(blob)
+        self.word, self.context, self.count, rises = _unpacked(blob)
+        self.keys = np.cumsum(rises, dtype=U64)
         new = np.r_[True, self.word[1:] != self.word[:-1]]
         self.begin = np.flatnonzero(new)
         self.words = self.word[self.begin]
@@ -349,15 +374,20 @@ def _gather(counts: DataFrame, shared: list[DataFrame], state: State | None, bit
     if rows is not counts:
         rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
     asked = rows.mapInArrow(lambda b: _seatings(b, state, bits, buckets), SCHEMA)
-    shared.append(stored(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(lambda b: _summed(b, sweep), SCHEMA), "lm-contexts"))
+    shared.append(_stored(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(lambda b: _summed(b, sweep), SCHEMA), "lm-contexts"))
     sums = [_unpacked(bytes(r.blob))[0] for r in shared[-1].where(F.col("kind") == SUMS).select("blob").collect()]
     return np.sum(sums, axis=0) if sums else np.zeros(8, np.int64)
 
 
-def _freed(spark) -> None:
-    """Shuffle files of finished sweeps go now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``stored``, after which the shuffle files of that write go, not when the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stored(df, label)
+    finally:
+        conf.set(key, before)
 
 
 def _beside(counts: DataFrame, shared: list[DataFrame]) -> DataFrame:
@@ -407,10 +437,9 @@ def fit(docs: DataFrame, text_col: str = "text", bits: int | None = None, sweeps
     octets = narrow.agg(F.sum(F.octet_length("text"))).first()[0]
     buckets = parts_for(octets or 0, bucket_bytes, docs.sparkSession)
     sent = narrow.mapInArrow(lambda b: _counted(b, bits, buckets), SCHEMA)
-    counts = stored(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _merged(b, bits), SCHEMA), "lm-counts")
+    counts = _stored(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _merged(b, bits), SCHEMA), "lm-counts")
     shared: list[DataFrame] = []
     s = _gather(counts, shared, None, bits, buckets)
-    _freed(docs.sparkSession)
 
     def discount(ones, twos):
         return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95))
@@ -419,15 +448,17 @@ def fit(docs: DataFrame, text_col: str = "text", bits: int | None = None, sweeps
     state = State(int(s[0]), int(s[1]), customers, discount(s[4], s[5]), discount(s[6], s[7]), strength, [(tables, int(s[2]), int(s[3]))])
     for _ in range(sweeps):
         s = _gather(counts, shared, state, bits, buckets)
-        _freed(docs.sparkSession)
         state.sweeps.append((None if bits is None else _hashed(shared[-1], 1 << bits)[0], int(s[2]), int(s[3])))
     return Model(counts, shared, state, buckets, bits, burn_in)
 
 
-def _scored(batches, state: State, chosen: list[int]):
-    """Sums for each chunk's documents over the words of a bucket: the bucket's counts come first, then its chunks."""
+def _answers(batches, state: State, chosen: list[int]):
+    """What a bucket holds of the pairs and words that chunks ask for: its counts come first, then the questions.
+
+    Of pairs: customers, and tables of each sample; of words: customers, then tables and the parent's tables of each.
+    Whom a bucket does not know has none.
+    """
     bucket, samples, number, held = None, [], None, []
-    v1 = state.v + 1
     for batch in batches:
         for b, kind, chunk, blob in zip(*[c.to_pylist() for c in batch.columns]):
             if b != number:
@@ -438,76 +469,68 @@ def _scored(batches, state: State, chosen: list[int]):
             if kind == SHARED:
                 held.append((chunk, blob))
                 continue
-            if kind == DOCS:
-                yield _rows([(b, DOCS, chunk, blob)])
+            pairs, words_of = (np.cumsum(x, dtype=U64) for x in _unpacked(blob))
+            if bucket is None:
+                nobody = [np.zeros(len(x), np.int64) for x in (pairs, words_of)]
+                yield _rows([(b, TEXTS, chunk, _packed(*nobody[:1] * (1 + len(chosen)), *nobody[1:] * (1 + 2 * len(chosen))))])
                 continue
             if not samples:
-                if bucket is not None:
-                    local, held = _local(state, held), []
-                    restaurant = bucket.keys[bucket.context] if state.customers is None else bucket.context.astype(U64)
-                    pairs = mixed(bucket.word + mixed(restaurant))
-                    by_pair = np.argsort(pairs)
-                    pairs = pairs[by_pair]
-                    for sweep in range(max(chosen)):
-                        bucket.sweep(local, sweep)
-                        if sweep + 1 in chosen:
-                            samples.append((bucket.tables[by_pair], *bucket.parent(local, sweep + 1)))
-                else:
-                    samples = [_unseen(state, k) for k in chosen]
-            w, key, m, doc, times, customers, *tables_of = _unpacked(blob)
-            known = np.zeros(len(w), np.int64)
-            place, hit = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-            seen, at = np.zeros(len(w)), np.zeros(len(w), np.int64)
-            if bucket is not None:
-                place = np.minimum(np.searchsorted(bucket.words, w), len(bucket.words) - 1)
-                hit = bucket.words[place] == w
-                known[hit] = bucket.total[place[hit]]
-                at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                seen = np.where(pairs[at] == key, bucket.count[by_pair[at]], 0)
-            p = np.zeros(len(w))
-            for tables, (own, p_word, p_new) in zip(tables_of, samples):
-                parent = np.where(hit, p_word[place], p_new) if len(p_word) else np.full(len(w), p_new)
-                sat = np.where(seen > 0, seen - state.discount * own[at], 0.0) if len(own) else seen
-                p += (sat + (state.strength + state.discount * tables) * parent) / (state.strength + customers)
-            p /= len(samples)
-            base = (known + 0.5) / (state.n + 0.5 * v1)
-            times = times.astype(float)
-            n = int(doc.max()) + 1
-            own_docs = np.unique(doc)
-            sums = [np.bincount(doc, np.repeat(x, m) * times, n)[own_docs] for x in (np.log10(p), np.log10(base), (known > 0).astype(float))]
-            yield _rows([(b, TEXTS, chunk, _packed(own_docs, *sums))])
-
-
-def _unseen(state: State, sweep: int):
-    """A sample for a bucket without counts: only the probability of a new word."""
-    _, customers, parent_tables = state.sweeps[sweep]
-    new = (state.strength + state.parent_discount * parent_tables) / (state.v + 1)
-    return np.zeros(0), np.zeros(0), new / (state.strength + customers)
-
-
-def _by_document(batches, n_train):
-    def finished(rows):
-        ids, valid, held, per_doc = _unpacked(next(blob for kind, blob in rows if kind == DOCS))
-        total = np.zeros((3, len(ids)))
-        for kind, blob in rows:
-            if kind == TEXTS:
-                doc, *sums = _unpacked(blob)
-                total[:, doc] += sums
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=valid == 0), pa.array(held == 1), pa.array(per_doc), pa.array(np.rint(total[2]).astype(np.int64)), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(total[1]), pa.array(total[0])],
+                local, held = _local(state, held), []
+                restaurant = bucket.keys[bucket.context] if state.customers is None else bucket.context.astype(U64)
+                known = mixed(bucket.word + mixed(restaurant))
+                by_pair = np.argsort(known)
+                known = known[by_pair]
+                for sweep in range(max(chosen) + 1):
+                    if sweep:
+                        bucket.sweep(local, sweep - 1)
+                    if sweep in chosen:
+                        samples.append((bucket.tables[by_pair], np.add.reduceat(bucket.tables, bucket.begin), bucket.parent_tables))
+            at, hit = _met(known, pairs)
+            of_pairs = [np.where(hit, x[at], 0) for x in (bucket.count[by_pair], *[s[0] for s in samples])]
+            at, hit = _met(bucket.words, words_of)
+            of_words = [np.where(hit, x[at], 0) for x in (bucket.total, *[x for s in samples for x in s[1:]])]
+            yield _rows([(b, TEXTS, chunk, _packed(*of_pairs, *of_words))])
+
+
+def _by_document(batches, state: State, chosen: list[int], bits, buckets):
+    """The documents of a chunk, which meets all answers; rows come with the chunk itself first."""
+    new = [(state.strength + state.parent_discount * tables) / (state.v + 1) for _, _, tables in state.sweeps]
+    for _, rows in by_bucket(batches, 3):
+        vocabulary, place, ids, valid, held, per_doc = _unpacked(rows[0][2])
+        c = _chunk(vocabulary, place, per_doc, bits, buckets)
+        customers, *tables_of = (np.concatenate(x)[c.restaurant] for x in zip(*[_unpacked(blob) for kind, _, blob in rows if kind == SHARED]))
+        answers = [np.concatenate(x) for x in zip(*[_unpacked(blob) for kind, _, blob in rows if kind == TEXTS])]
+        of_pairs, of_words = answers[:1 + len(chosen)], answers[1 + len(chosen):]
+        seen, *own = (_back(x, c.pairs_by) for x in of_pairs)
+        known, *seated_at = (_back(x, c.words_by) for x in of_words)
+        p = np.zeros(len(c.key))
+        for k, tables, own_tables, word_tables, parent_tables in zip(chosen, tables_of, own, seated_at[::2], seated_at[1::2]):
+            parent = ((word_tables - state.parent_discount * parent_tables + new[k]) / (state.strength + state.sweeps[k][1]))[c.word]
+            sat = np.where(seen > 0, seen - state.discount * own_tables, 0.0)
+            p += (sat + (state.strength + state.discount * tables) * parent) / (state.strength + customers)
+        p /= len(chosen)
+        base = (known + 0.5) / (state.n + 0.5 * (state.v + 1))
+        doc = np.repeat(np.arange(len(per_doc)), per_doc)
+        score, base_score, n_known = (np.bincount(doc, x, len(per_doc)) for x in (np.log10(p)[c.pair], np.log10(base)[place], (known > 0)[place]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=valid == 0), pa.array(held == 1), pa.array(per_doc), pa.array(np.rint(n_known).astype(np.int64)), pa.array(np.full(len(ids), state.n, np.int64)), pa.array(base_score), pa.array(score)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    for _, rows in by_bucket(batches, 2):
-        yield finished(rows)
+
+def _back(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Values given in the order ``by``, in their own."""
+    out = np.empty_like(x)
+    out[by] = x
+    return out
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity of every row.
 
     A text's probability is the product over its tokens of the predictive probability averaged over the sweeps after
-    ``burn_in``.  Documents go through in chunks: a chunk learns what its restaurants hold, then the (word, context) pairs of a chunk meet the counts of their bucket,
-    which is held while the chunks pass by, and only sums for each document come back.  A frequent pair is one entry a
-    document at most, in the bucket's stream, never gathered.
+    ``burn_in``.  Documents stay together in chunks.  A chunk asks what its restaurants hold, and each bucket for the
+    counts and seating of its distinct words and (word, context) pairs; the answers are counts, and meet the chunk
+    again.  So a frequent pair is one entry a chunk in its bucket's stream, and lists of documents do not travel.
 
     Null texts are the end token alone.  Null and repeated ids are scored row by row.
     """
@@ -516,17 +539,16 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
     last = len(model.state.sweeps) - 1
     chosen = list(range(model.burn_in + 1, last + 1)) or [last]
     # stored: the same chunks are asked about and then scored
-    chunks = stored(narrow.mapInArrow(lambda b: _texts(b, bits), SCHEMA), "lm-chunks")
+    chunks = _stored(narrow.mapInArrow(lambda b: _texts(b, bits), SCHEMA), "lm-chunks")
     asked = chunks.mapInArrow(lambda b: _questions(b, bits, buckets), SCHEMA)
     for k in sorted({0, *chosen}):
         asked = asked.unionByName(model.shared[k].where(F.col("kind") == TABLE))
-    replies = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: _replies(b, chosen), SCHEMA)
-    whole = chunks.unionByName(replies).select("chunk", "kind", "bucket", "blob").repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    dealt = whole.mapInArrow(lambda b: _chunks(b, bits, buckets), SCHEMA)
-    every = _beside(model.counts, model.shared if bits is None else []).unionByName(dealt).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
-    sums = every.mapInArrow(lambda b: _scored(b, state.value, chosen), SCHEMA)
-    n_train = model.state.n
-    back = sums.select("chunk", "kind", "blob").repartition("chunk").sortWithinPartitions("chunk", "kind")
+    # each round of answers is stored, so that its questions' shuffle files go before the next
+    replies = _stored(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: _replies(b, chosen), SCHEMA), "lm-restaurants")
+    wanted = chunks.mapInArrow(lambda b: _wanted(b, bits, buckets), SCHEMA)
+    every = _beside(model.counts, model.shared if bits is None else []).unionByName(wanted).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
+    answers = _stored(every.mapInArrow(lambda b: _answers(b, state.value, chosen), SCHEMA), "lm-answers")
+    whole = chunks.unionByName(replies).unionByName(answers).select("chunk", "kind", "bucket", "blob").repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = back.mapInArrow(lambda b: _by_document(b, n_train), schema)
+    scored = whole.mapInArrow(lambda b: _by_document(b, state.value, chosen, bits, buckets), schema)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

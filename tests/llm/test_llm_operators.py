@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -361,6 +362,24 @@ def test_language_model_keeps_contexts_apart(spark):
     assert sorted(customers)[-2:] == [1, 300] and customers.sum() == 300_300
 
 
+def test_language_model_asks_once_a_chunk(spark):
+    """What scoring deals by word follows a chunk's distinct pairs, not its documents, and fitting leaves no shuffle files."""
+    def sent(times):
+        texts = pa.array([" ".join(f"w{k}" for k in range(50))] * times)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(times), pa.int64()), pa.array([False] * times), texts], names=["doc_id", "held_out", "text"])
+        return sum(len(b) for x in pitmanyor._wanted(pitmanyor._texts([batch], None), None, 4) for b in x.column("blob").to_pylist())
+
+    assert sent(2000) == sent(1) < 50 * 2 * 12 + 200
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_", held.getAllFiles().mkString(" ")))
+    before = shuffles()
+    pitmanyor.fit(spark.createDataFrame([("a b a c",), ("c a b",)], "text string"))
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(4)
     c = np.full(4000, 30)
