@@ -435,7 +435,8 @@ def fit(docs: DataFrame, text_col: str = "text", bits: int | None = None, sweeps
     """
     narrow = small_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     octets = narrow.agg(F.sum(F.octet_length("text"))).first()[0]
-    buckets = parts_for(octets or 0, bucket_bytes, docs.sparkSession)
+    # each bucket sends to each part: no more of them than the size asks for, however many shuffle partitions are set
+    buckets = max(1, min(parts_for(octets or 0, bucket_bytes, docs.sparkSession), -(-int(octets or 0) // (bucket_bytes // 3))))
     sent = narrow.mapInArrow(lambda b: _counted(b, bits, buckets), SCHEMA)
     counts = _stored(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _merged(b, bits), SCHEMA), "lm-counts")
     shared: list[DataFrame] = []

@@ -363,7 +363,7 @@ def test_language_model_keeps_contexts_apart(spark):
 
 
 def test_language_model_asks_once_a_chunk(spark):
-    """What scoring deals by word follows a chunk's distinct pairs, not its documents, and fitting leaves no shuffle files."""
+    """What scoring deals by word follows a chunk's distinct pairs, not its documents, and a table stored leaves no shuffle files."""
     def sent(times):
         texts = pa.array([" ".join(f"w{k}" for k in range(50))] * times)
         batch = pa.RecordBatch.from_arrays([pa.array(range(times), pa.int64()), pa.array([False] * times), texts], names=["doc_id", "held_out", "text"])
@@ -373,13 +373,26 @@ def test_language_model_asks_once_a_chunk(spark):
     held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: set(re.findall(r"shuffle_\d+_", held.getAllFiles().mkString(" ")))
     before = shuffles()
-    pitmanyor.fit(spark.createDataFrame([("a b a c",), ("c a b",)], "text string"))
+    pitmanyor._stored(spark.range(100).repartition(3), "lm-test")
     until = time.time() + 10
     while shuffles() - before and time.time() < until:
         time.sleep(0.2)
     assert not shuffles() - before
 
 
+def test_language_model_buckets_follow_the_size(spark):
+    """Buckets send to each other, so their number follows the texts and not the shuffle partitions set."""
+    docs = spark.createDataFrame([(f"w{k} " * 50,) for k in range(100)], "text string")
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        assert pitmanyor.fit(docs, sweeps=1, burn_in=0).buckets == 1
+        assert pitmanyor.fit(docs, sweeps=1, burn_in=0, bucket_bytes=3000).buckets == 20
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(4)
     c = np.full(4000, 30)
